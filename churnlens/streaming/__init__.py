@@ -1,0 +1,7 @@
+"""No streaming surface.
+
+The analyses this library rebuilds are bounded batch reports: the "hourly"
+payment fact is read as a bounded date range, and no watermark, window or
+stateful operator is involved. Nothing is built here on purpose; every
+analysis is a batch DataFrame function in :mod:`churnlens.plans`.
+"""
