@@ -203,18 +203,25 @@ def region_daily_signups(funnel: DataFrame, subdivisions: DataFrame, signups: Da
 
 def activation_geo(funnel: DataFrame, subdivisions: DataFrame, activations: DataFrame,
                    region_map: Mapping[str, Iterable[str]], since: int, country: str,
-                   default_region: str = "Other") -> DataFrame:
+                   default_region: str = "Other", multiplicity: bool = True) -> DataFrame:
     """Funnel geography of the linked (streaming) accounts of activations.
-    One row per funnel row and activation sharing the link, as in the
-    original."""
+
+    As written (``multiplicity=True``) a funnel row appears once per
+    activation sharing its link.  ``multiplicity=False`` keeps each funnel
+    row once (a semi join on the links), which is all that consumers taking
+    a per-link minimum or set of values need.
+    """
     nm = funnel.filter((F.col("event_region_date") >= since) & (F.col("funnel_event_desc") == "signup")
                        & (F.col("de_country_desc") == country))
     gs = subdivisions.select(F.col("country_iso_code").alias("gs_country"), "subdivision_iso_code",
                              "subdivision_desc")
     links = activations.select(F.col("current_connected_to_account_id").alias("link"))
-    j = (nm.join(gs, (nm["de_country_desc"] == gs["gs_country"])
-                 & (nm["de_region_desc"] == gs["subdivision_iso_code"]), "inner")
-         .join(links, nm["account_id"] == links["link"], "inner"))
+    j = nm.join(gs, (nm["de_country_desc"] == gs["gs_country"])
+                & (nm["de_region_desc"] == gs["subdivision_iso_code"]), "inner")
+    if multiplicity:
+        j = j.join(links, j["account_id"] == links["link"], "inner")
+    else:
+        j = j.join(links, j["account_id"] == links["link"], "left_semi")
     return j.select(
         "account_id", "subscrn_id", F.col("de_country_desc").alias("country_iso_code"), "de_region_desc",
         "subdivision_desc", bucket("subdivision_desc", region_map, default_region).alias("region"))
@@ -309,29 +316,43 @@ def missingness_crosstab_rows(wide: DataFrame) -> DataFrame:
     return missingness_crosstab(wide, MISSING_FLAGS)
 
 
-def _per_link_sides(activations: DataFrame, geo: DataFrame, account_geo: DataFrame, cohort: DataFrame,
-                    country: str, nm_value: str, rpt_value: str):
-    """Per-link summaries of the funnel and report sides: for each link,
-    the number of rows per value of interest (value may be NULL)."""
-    nm = (geo.groupBy(F.col("account_id").alias("nm_link"), F.col(nm_value).alias("nm_v"))
-          .agg(F.count(F.lit(1)).alias("nm_n")))
-    rpt = (cohort.groupBy(F.col("current_connected_to_account_id").alias("rpt_link"),
-                          F.col(rpt_value).alias("rpt_v"))
-           .agg(F.count(F.lit(1)).alias("rpt_n")))
-    ag = (account_geo.filter(F.col("prim_country_iso_code") == country)
-          .select(F.col("account_id").alias("geo_account_id"), "prim_subdivision_iso_code"))
-    return nm, ag, rpt
+def _link_value_counts(activations: DataFrame, geo_rows: DataFrame, value: str) -> DataFrame:
+    """Rows per (link, value) of the as-written funnel geography: each
+    distinct funnel row counts once per activation sharing its link."""
+    mult = (activations.groupBy(F.col("current_connected_to_account_id").alias("m_link"))
+            .agg(F.count(F.lit(1)).alias("m_n")))
+    per_value = (geo_rows.groupBy(F.col("account_id").alias("nm_link"), F.col(value).alias("nm_v"))
+                 .agg(F.count(F.lit(1)).alias("nm_n")))
+    return (per_value.join(mult, per_value["nm_link"] == mult["m_link"], "inner")
+            .select("nm_link", "nm_v", (F.col("nm_n") * F.col("m_n")).alias("nm_n")))
+
+
+def _report_value_counts(cohort: DataFrame, value: str) -> DataFrame:
+    return (cohort.groupBy(F.col("current_connected_to_account_id").alias("rpt_link"), F.col(value).alias("rpt_v"))
+            .agg(F.count(F.lit(1)).alias("rpt_n")))
+
 
+def _primary_geo(account_geo: DataFrame, country: str) -> DataFrame:
+    return (account_geo.filter(F.col("prim_country_iso_code") == country)
+            .select(F.col("account_id").alias("geo_account_id"), "prim_subdivision_iso_code"))
 
-def missingness_by_source(activations: DataFrame, geo: DataFrame, account_geo: DataFrame,
+
+def missingness_by_source(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame,
                           cohort: DataFrame, country: str) -> DataFrame:
     """Same counts as ``missingness_crosstab_rows(wide_geo(...))`` without
-    building the fan-out: both many-sides are first reduced to
-    (link, missing?) -> row count, and each activation contributes the
-    product of the two counts."""
-    nm, ag, rpt = _per_link_sides(activations, geo, account_geo, cohort, country, "region", "geo_desc")
-    nm = nm.groupBy("nm_link", F.col("nm_v").isNull().alias("nm_null")).agg(F.sum("nm_n").alias("nm_n"))
-    rpt = rpt.groupBy("rpt_link", F.col("rpt_v").isNull().alias("rpt_null")).agg(F.sum("rpt_n").alias("rpt_n"))
+    building the fan-out.
+
+    ``geo_rows`` is the funnel geography with each funnel row once
+    (``activation_geo(..., multiplicity=False)``).  Both many-sides are
+    reduced to (link, missing?) -> row count, and each activation adds the
+    product of the two counts: work and output are bounded by the number of
+    activations and links, whatever the number of rows per link.
+    """
+    nm = (_link_value_counts(activations, geo_rows, "region")
+          .groupBy("nm_link", F.col("nm_v").isNull().alias("nm_null")).agg(F.sum("nm_n").alias("nm_n")))
+    rpt = (_report_value_counts(cohort, "geo_desc")
+           .groupBy("rpt_link", F.col("rpt_v").isNull().alias("rpt_null")).agg(F.sum("rpt_n").alias("rpt_n")))
+    ag = _primary_geo(account_geo, country)
     s = activations.select("current_connected_to_account_id")
     link = s["current_connected_to_account_id"]
     j = (s.join(nm, link == nm["nm_link"], "left")
@@ -345,6 +366,52 @@ def missingness_by_source(activations: DataFrame, geo: DataFrame, account_geo: D
             .agg(F.sum(weight).cast("bigint").alias("cnt")))
 
 
+def market_region_rollup_by_source(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame,
+                                   cohort: DataFrame, country: str, market_map: Mapping[str, Iterable[str]],
+                                   before: int, default_region: str = "missing") -> DataFrame:
+    """Same result as ``market_region_rollup(wide_geo(...))`` without
+    building the fan-out.
+
+    The state of a wide row is the first known of (funnel subdivision,
+    primary subdivision, report geography).  Per activation: every funnel
+    value v with c rows gives state v for c x (report rows) wide rows; the
+    rows without a funnel value take the primary subdivision if known, and
+    otherwise one state per report value.  Each activation thus yields at
+    most (distinct funnel values + distinct report values + 1) rows.
+    """
+    nm = _link_value_counts(activations, geo_rows, "subdivision_desc")
+    nm_tot = nm.groupBy(F.col("nm_link").alias("t_link")).agg(
+        F.sum("nm_n").alias("n1"), F.sum(F.when(F.col("nm_v").isNull(), F.col("nm_n"))).alias("n1_null"))
+    rpt = _report_value_counts(cohort, "geo_desc")
+    rpt_tot = rpt.groupBy(F.col("rpt_link").alias("r_link")).agg(F.sum("rpt_n").alias("n3"))
+    ag = _primary_geo(account_geo, country)
+    s = activations.filter(F.col("signup_date") < before).select(
+        "account_id", "signup_date", F.col("current_connected_to_account_id").alias("link"))
+    e = (s.join(nm_tot, s["link"] == nm_tot["t_link"], "left")
+         .join(rpt_tot, s["link"] == rpt_tot["r_link"], "left")
+         .join(ag, s["link"] == ag["geo_account_id"], "left")
+         .select("account_id", "signup_date", "link", "prim_subdivision_iso_code",
+                 F.greatest(F.coalesce(F.col("n3"), F.lit(0)), F.lit(1)).alias("n3"),
+                 F.when(F.coalesce(F.col("n1"), F.lit(0)) == 0, F.lit(1))
+                 .otherwise(F.coalesce(F.col("n1_null"), F.lit(0))).alias("n_null")))
+    known = (e.join(nm.filter(F.col("nm_v").isNotNull()), e["link"] == nm["nm_link"], "inner")
+             .select("account_id", "signup_date", F.col("nm_v").alias("state"),
+                     (F.col("nm_n") * F.col("n3")).alias("n")))
+    primary = (e.filter((F.col("n_null") > 0) & F.col("prim_subdivision_iso_code").isNotNull())
+               .select("account_id", "signup_date", F.col("prim_subdivision_iso_code").alias("state"),
+                       (F.col("n_null") * F.col("n3")).alias("n")))
+    rest = e.filter((F.col("n_null") > 0) & F.col("prim_subdivision_iso_code").isNull())
+    report = (rest.join(rpt, rest["link"] == rpt["rpt_link"], "left")
+              .select("account_id", "signup_date", F.col("rpt_v").alias("state"),
+                      (F.col("n_null") * F.coalesce(F.col("rpt_n"), F.lit(1))).alias("n")))
+    per_state = (known.unionByName(primary).unionByName(report)
+                 .groupBy("signup_date", "state")
+                 .agg(F.sum("n").alias("n_rows"), F.count_distinct("account_id").alias("n_accounts")))
+    return (per_state.groupBy("signup_date", bucket("state", market_map, default_region).alias("region"))
+            .agg(F.sum("n_rows").cast("bigint").alias("signup_cnt"),
+                 F.sum("n_accounts").cast("bigint").alias("signup_accounts")))
+
+
 def market_region_rollup(wide: DataFrame, market_map: Mapping[str, Iterable[str]], before: int,
                          default_region: str = "missing") -> DataFrame:
     """Per signup day and market region: wide-table rows (``signup_cnt``)

@@ -22,9 +22,8 @@ from churnlens.operators import joins as J
 from churnlens.operators import windows as W
 from churnlens.plans import cohorts, geo, partners, payments
 from churnlens.session import shared_dir
-from churnlens.sources import adapters as ad
 from churnlens.sources import text
-from churnlens.sources.tables import Tables
+from churnlens.sources.warehouse import Warehouse
 
 # Business parameters of the registered runs (values of the driver data).
 P = {
@@ -55,29 +54,29 @@ POSTAL_SLICES = [(20240101, 20240115), (20240110, 20240131)]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _t(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+def _t(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return Warehouse(spark, sf_dir)
 
 
 # --- cohorts ------------------------------------------------------------------------
 
-def _cohort_c1(t: Tables) -> DataFrame:
-    return cohorts.signup_cancel_reason(ad.signup_retention(t), ad.billing_subscription(t),
+def _cohort_c1(t: Warehouse) -> DataFrame:
+    return cohorts.signup_cancel_reason(t.signup_retention, t.billing_subscription,
                                         P["partner"], P["channel"], P["since"])
 
 
-def _flagged(t: Tables) -> DataFrame:
-    return cohorts.inactivity_flag(_cohort_c1(t), ad.device_activity(t), 1, P["since"],
+def _flagged(t: Warehouse) -> DataFrame:
+    return cohorts.inactivity_flag(_cohort_c1(t), t.device_activity, 1, P["since"],
                                    partner=P["partner"], channel=P["channel"])
 
 
-def _outcome(t: Tables) -> DataFrame:
-    return cohorts.subscription_outcome(cohorts.signup_cohort(ad.subscription(t), 19980101, 19981231),
-                                        ad.billing_period(t), 2, 19980101)
+def _outcome(t: Warehouse) -> DataFrame:
+    return cohorts.subscription_outcome(cohorts.signup_cohort(t.subscription, 19980101, 19981231),
+                                        t.billing_period, 2, 19980101)
 
 
-def _views_by_device(t: Tables) -> DataFrame:
-    return cohorts.title_views_by_device(ad.title_views(t), ad.device_type(t), 2, 20240101, 20240131,
+def _views_by_device(t: Warehouse) -> DataFrame:
+    return cohorts.title_views_by_device(t.title_views, t.device_type, 2, 20240101, 20240131,
                                          "darwin", P["stb"])
 
 
@@ -88,7 +87,7 @@ def q_cancel_type_matrix(s, d): return cohorts.cancel_type_matrix(_flagged(_t(s,
 def q_daily_early_cancel(s, d): return cohorts.daily_early_cancel(_flagged(_t(s, d)), 7)
 def q_days_in_subscription_hist(s, d): return cohorts.days_in_subscription_hist(_flagged(_t(s, d)), 19970101, 19991231)
 def q_cancel_reason_same_day(s, d): return cohorts.cancel_reason_same_day(_flagged(_t(s, d)), 19950101, 20011231)
-def q_signup_cohort(s, d): return cohorts.signup_cohort(ad.subscription(_t(s, d)), 19980101, 19980131)
+def q_signup_cohort(s, d): return cohorts.signup_cohort(_t(s, d).subscription, 19980101, 19980131)
 def q_title_views_by_device(s, d): return _views_by_device(_t(s, d))
 def q_subscription_outcome(s, d): return _outcome(_t(s, d))
 def q_main_device(s, d): return cohorts.main_device(_views_by_device(_t(s, d)), 360, "per_category")
@@ -101,13 +100,13 @@ def q_retention_by_exposure(s, d):
 
 
 def q_account_period_rollup(s, d):
-    return cohorts.account_period_rollup(ad.signup_retention(_t(s, d)), P["partner2"], 19950101, 20011231)
+    return cohorts.account_period_rollup(_t(s, d).signup_retention, P["partner2"], 19950101, 20011231)
 
 
 # --- partners ------------------------------------------------------------------------
 
-def _eligible(t: Tables) -> DataFrame:
-    return partners.eligible_partners(ad.signup_retention(t), "OWN", 19980101, 19980228, P["country_desc"], "STB")
+def _eligible(t: Warehouse) -> DataFrame:
+    return partners.eligible_partners(t.signup_retention, "OWN", 19980101, 19980228, P["country_desc"], "STB")
 
 
 def q_eligible_partners(s, d): return _eligible(_t(s, d))
@@ -115,52 +114,52 @@ def q_eligible_partners(s, d): return _eligible(_t(s, d))
 
 def q_partner_retention_by_pmt(s, d):
     t = _t(s, d)
-    return partners.partner_retention_by_pmt(ad.signup_retention(t), ad.billing_period(t), _eligible(t),
+    return partners.partner_retention_by_pmt(t.signup_retention, t.billing_period, _eligible(t),
                                              19980101, 19980228, P["country_desc"], "STB", P["partner2"], 19980101)
 
 
 def q_involuntary_cancel_list(s, d):
     t = _t(s, d)
-    return partners.involuntary_cancel_list(ad.signup_retention(t), ad.billing_subscription(t), P["partner2"],
+    return partners.involuntary_cancel_list(t.signup_retention, t.billing_subscription, P["partner2"],
                                             19970101, 19971231, 19970101, 19981231)
 
 
 def q_cancel_reason_by_hold(s, d):
     t = _t(s, d)
-    return partners.cancel_reason_by_hold(ad.signup_retention(t), ad.billing_subscription(t), ad.billing_period(t),
-                                          ad.subscription_hold(t), P["partner2"], 19970101, 19971231,
+    return partners.cancel_reason_by_hold(t.signup_retention, t.billing_subscription, t.billing_period,
+                                          t.subscription_hold, P["partner2"], 19970101, 19971231,
                                           19970101, 19981231, 19970101, 410, 19970101)
 
 
 def q_cancel_reasons_eligible_partners(s, d):
     t = _t(s, d)
-    return partners.cancel_reasons_eligible_partners(ad.signup_retention(t), ad.billing_subscription(t),
-                                                     ad.billing_period(t), _eligible(t), 19970101, 19971231,
+    return partners.cancel_reasons_eligible_partners(t.signup_retention, t.billing_subscription,
+                                                     t.billing_period, _eligible(t), 19970101, 19971231,
                                                      19970101, 19981231, 19970101)
 
 
 def q_partner_cancel_totals(s, d):
-    return partners.partner_cancel_totals(ad.billing_period(_t(s, d)), 2, P["partner"], "Credit", P["country"],
+    return partners.partner_cancel_totals(_t(s, d).billing_period, 2, P["partner"], "Credit", P["country"],
                                           19950101)
 
 
-def _activations(t: Tables, clean: bool = True) -> DataFrame:
-    return partners.activated_bundles(ad.subscription(t), P["since"], P["country"], P["partner"], "P", clean)
+def _activations(t: Warehouse, clean: bool = True) -> DataFrame:
+    return partners.activated_bundles(t.subscription, P["since"], P["country"], P["partner"], "P", clean)
 
 
 def q_stream_limit_by_plan(s, d):
     t = _t(s, d)
-    return partners.stream_limit_by_plan(_activations(t, clean=False), ad.stream_block(t), P["country"], 20240101)
+    return partners.stream_limit_by_plan(_activations(t, clean=False), t.stream_block, P["country"], 20240101)
 
 
 def q_accounts_with_device_prefix(s, d):
     t = _t(s, d)
-    return partners.accounts_with_device_prefix(_activations(t), ad.signup_retention(t), "Customer#0000001",
+    return partners.accounts_with_device_prefix(_activations(t), t.signup_retention, "Customer#0000001",
                                                 P["since"])
 
 
-def _rejoins(t: Tables) -> DataFrame:
-    return partners.rejoin_with_handle(ad.signup_retention(t), ad.partner_signup_service(t), P["partner3"],
+def _rejoins(t: Warehouse) -> DataFrame:
+    return partners.rejoin_with_handle(t.signup_retention, t.partner_signup_service, P["partner3"],
                                        P["since"], 20240101)
 
 
@@ -168,14 +167,14 @@ def q_rejoin_with_handle(s, d): return _rejoins(_t(s, d))
 
 
 def q_monthly_rejoin_rate(s, d):
-    return partners.monthly_rejoin_rate(partners.rejoin_cohort(ad.signup_retention(_t(s, d)), P["partner3"],
+    return partners.monthly_rejoin_rate(partners.rejoin_cohort(_t(s, d).signup_retention, P["partner3"],
                                                                P["since"]))
 
 
 def q_top_accounts_by_subs(s, d):
     t = _t(s, d)
-    return partners.top_accounts_by_subs(partners.rejoin_cohort(ad.signup_retention(t), P["partner3"], P["since"]),
-                                         partners.partner_handles(ad.partner_signup_service(t), 20240101), 20)
+    return partners.top_accounts_by_subs(partners.rejoin_cohort(t.signup_retention, P["partner3"], P["since"]),
+                                         partners.partner_handles(t.partner_signup_service, 20240101), 20)
 
 
 def q_account_history(s, d): return partners.account_history(_rejoins(_t(s, d)), 2)
@@ -183,8 +182,8 @@ def q_account_history(s, d): return partners.account_history(_rejoins(_t(s, d)),
 
 # --- geography ------------------------------------------------------------------------
 
-def _ip_geo(t: Tables) -> DataFrame:
-    return geo.ip_geo_attribution(ad.signup_retention(t), ad.connection_event(t), ad.geo_market(t), P["partner2"],
+def _ip_geo(t: Warehouse) -> DataFrame:
+    return geo.ip_geo_attribution(t.signup_retention, t.connection_event, t.geo_market, P["partner2"],
                                   19950101, 20011231, 20240101, 20240131, "US")
 
 
@@ -192,8 +191,8 @@ def q_ip_geo_attribution(s, d): return _ip_geo(_t(s, d))
 def q_involuntary_by_region(s, d): return geo.involuntary_by_region(_ip_geo(_t(s, d)))
 
 
-def _postal(t: Tables, slices=None) -> DataFrame:
-    return geo.postal_attribution(ad.event_signups(t), ad.billing_period(t), ad.payment_event(t), "STB", None,
+def _postal(t: Warehouse, slices=None) -> DataFrame:
+    return geo.postal_attribution(t.event_signups, t.billing_period, t.payment_event, "STB", None,
                                   [P["partner"], P["partner2"], P["partner3"]], 19950101, None, 1, 2, slices)
 
 
@@ -204,17 +203,17 @@ def q_postal_daily_rates(s, d): return geo.postal_daily_rates(_postal(_t(s, d)))
 
 def q_postal_enrich(s, d):
     t = _t(s, d)
-    return geo.postal_enrich(_postal(t), ad.geo_postal(t))
+    return geo.postal_enrich(_postal(t), t.geo_postal)
 
 
 def q_partner_state_summary(s, d):
     t = _t(s, d)
-    return geo.partner_state_summary(_postal(t), ad.geo_postal(t))
+    return geo.partner_state_summary(_postal(t), t.geo_postal)
 
 
-def _region_daily(t: Tables, activated_since=None) -> DataFrame:
-    return geo.region_daily_signups(ad.signup_funnel(t), ad.geo_subdivision(t), ad.subscription_signup(t),
-                                    ad.subscription(t), REGION_MAP, P["partner"], P["since"], P["country"],
+def _region_daily(t: Warehouse, activated_since=None) -> DataFrame:
+    return geo.region_daily_signups(t.signup_funnel, t.geo_subdivision, t.subscription_signup,
+                                    t.subscription, REGION_MAP, P["partner"], P["since"], P["country"],
                                     19951231, activated_since)
 
 
@@ -224,21 +223,21 @@ def q_bundle_activations(s, d):
     return _activations(_t(s, d)).select("account_id", "subscrn_id", "signup_date", "current_connected_to_account_id")
 
 
-def _activation_geo(t: Tables) -> DataFrame:
-    return geo.activation_geo(ad.signup_funnel(t), ad.geo_subdivision(t), _activations(t), REGION_MAP, 19951231,
-                              P["country"])
+def _activation_geo(t: Warehouse, multiplicity: bool = True) -> DataFrame:
+    return geo.activation_geo(t.signup_funnel, t.geo_subdivision, _activations(t), REGION_MAP, 19951231,
+                              P["country"], multiplicity=multiplicity)
 
 
-def _primary(t: Tables) -> DataFrame:
-    return geo.attach_primary_geo(_activations(t), _activation_geo(t), ad.account_geo(t), P["country"])
+def _primary(t: Warehouse) -> DataFrame:
+    return geo.attach_primary_geo(_activations(t), _activation_geo(t, False), t.account_geo, P["country"])
 
 
-def _cohort_geo(t: Tables) -> DataFrame:
-    return geo.attach_cohort_geo(_primary(t), ad.partner_cohort(t))
+def _cohort_geo(t: Warehouse) -> DataFrame:
+    return geo.attach_cohort_geo(_primary(t), t.partner_cohort)
 
 
-def _wide(t: Tables) -> DataFrame:
-    return geo.wide_geo(_activations(t), _activation_geo(t), ad.account_geo(t), ad.partner_cohort(t), P["country"])
+def _wide(t: Warehouse) -> DataFrame:
+    return geo.wide_geo(_activations(t), _activation_geo(t), t.account_geo, t.partner_cohort, P["country"])
 
 
 def q_activation_geo(s, d): return _activation_geo(_t(s, d))
@@ -246,17 +245,23 @@ def q_attach_primary_geo(s, d): return _primary(_t(s, d))
 def q_attach_cohort_geo(s, d): return _cohort_geo(_t(s, d))
 def q_state_counts_priority(s, d): return geo.state_counts_priority(_cohort_geo(_t(s, d)), 20000101)
 def q_wide_geo(s, d): return _wide(_t(s, d))
-def q_missingness_crosstab(s, d): return geo.missingness_crosstab_rows(_wide(_t(s, d)))
+def _missing(t: Warehouse) -> DataFrame:
+    return geo.missingness_by_source(_activations(t), _activation_geo(t, False), t.account_geo, t.partner_cohort,
+                                     P["country"])
 
 
-def q_missingness_by_source(s, d):
-    t = _t(s, d)
-    return geo.missingness_by_source(_activations(t), _activation_geo(t), ad.account_geo(t), ad.partner_cohort(t),
-                                     P["country"])
+# The missing-source and roll-up reports are computed from per-link counts
+# (no activation x funnel x report rows are built); tests check them
+# against the row-level forms over ``wide_geo``.
+def q_missingness_crosstab(s, d): return _missing(_t(s, d))
+def q_missingness_by_source(s, d): return _missing(_t(s, d))
 
 
-def q_market_region_rollup(s, d): return geo.market_region_rollup(_wide(_t(s, d)), MARKET_MAP, 20000101)
-def q_cohort_size(s, d): return geo.cohort_size(ad.partner_cohort(_t(s, d)), P["partner"], "PS", 19970520)
+def q_market_region_rollup(s, d):
+    t = _t(s, d)
+    return geo.market_region_rollup_by_source(_activations(t), _activation_geo(t, False), t.account_geo,
+                                              t.partner_cohort, P["country"], MARKET_MAP, 20000101)
+def q_cohort_size(s, d): return geo.cohort_size(_t(s, d).partner_cohort, P["partner"], "PS", 19970520)
 
 
 # --- payments ------------------------------------------------------------------------
@@ -268,13 +273,13 @@ def _tag(sf_dir: str) -> str:
 def q_ingest_delimited(s, d):
     t = _t(s, d)
     path = shared_dir(s, f"fraud_file_{_tag(d)}")
-    text.write_delimited(ad.fraud_file(t), path)
+    text.write_delimited(t.fraud_file, path)
     return text.read_delimited(s, path, text.FRAUD_FILE_SCHEMA)
 
 
-def _pipe_lines(t: Tables) -> DataFrame:
+def _pipe_lines(t: Warehouse) -> DataFrame:
     """Raw report lines: 16 pipe-separated fields from purchase events."""
-    e = t.events.filter(F.col("event_type") == "purchase")
+    e = t.tables.events.filter(F.col("event_type") == "purchase")
     k = F.get_json_object("props", "$.k")
     fields = [F.lit("TC40"), F.col("event_id").cast("string"), F.col("user_id").cast("string"),
               F.concat(F.lit("R"), F.col("event_id").cast("string")), F.col("event_type"), k,
@@ -299,16 +304,16 @@ def q_ingest_pipe_columns(s, d):
                       F.col("sale_amt").cast("double").alias("sale_amt"), "fraud_reason")
 
 
-def _reports(t: Tables) -> DataFrame:
-    return payments.decode_reason(ad.fraud_file(t))
+def _reports(t: Warehouse) -> DataFrame:
+    return payments.decode_reason(t.fraud_file)
 
 
-def _matched(t: Tables) -> DataFrame:
-    return payments.match_fraud_to_txn(ad.payment_txn_event(t), _reports(t), 20240101)
+def _matched(t: Warehouse) -> DataFrame:
+    return payments.match_fraud_to_txn(t.payment_txn_event, _reports(t), 20240101)
 
 
-def _status(t: Tables) -> DataFrame:
-    return payments.fraud_chargeback_status(_matched(t), ad.subscription(t), ad.chargeback_summary(t),
+def _status(t: Warehouse) -> DataFrame:
+    return payments.fraud_chargeback_status(_matched(t), t.subscription, t.chargeback_summary,
                                             P["since"], 20240101)
 
 
@@ -318,38 +323,38 @@ def q_fraud_chargeback_status(s, d): return _status(_t(s, d))
 def q_fraud_summary(s, d): return payments.fraud_summary(_status(_t(s, d)))
 
 
-def _cube(t: Tables) -> DataFrame:
-    return payments.chargeback_cube(ad.payment_event(t), ad.payment_method(t), ad.institution(t),
-                                    ad.institution_group(t), ad.geo_country(t), 20240101, 20231001)
+def _cube(t: Warehouse) -> DataFrame:
+    return payments.chargeback_cube(t.payment_event, t.payment_method, t.institution,
+                                    t.institution_group, t.geo_country, 20240101, 20231001)
 
 
 def q_chargeback_cube(s, d): return _cube(_t(s, d))
-def q_approved_renewals(s, d): return payments.approved_renewals(ad.renewal_agg(_t(s, d)), 20231001)
-def q_approved_rejoin_charges(s, d): return payments.approved_rejoin_charges(ad.validation_agg(_t(s, d)), 20231001)
+def q_approved_renewals(s, d): return payments.approved_renewals(_t(s, d).renewal_agg, 20231001)
+def q_approved_rejoin_charges(s, d): return payments.approved_rejoin_charges(_t(s, d).validation_agg, 20231001)
 
 
-def _cb_vs(t: Tables, txn_type_map=None) -> DataFrame:
+def _cb_vs(t: Warehouse, txn_type_map=None) -> DataFrame:
     return payments.chargeback_vs_approved(
-        _cube(t), payments.approved_rejoin_charges(ad.validation_agg(t), 20231001),
-        payments.approved_renewals(ad.renewal_agg(t), 20231001), FOCUS_ISSUERS, txn_type_map)
+        _cube(t), payments.approved_rejoin_charges(t.validation_agg, 20231001),
+        payments.approved_renewals(t.renewal_agg, 20231001), FOCUS_ISSUERS, txn_type_map)
 
 
 def q_chargeback_vs_approved(s, d): return _cb_vs(_t(s, d))
 def q_chargeback_vs_approved_aligned(s, d): return _cb_vs(_t(s, d), {"SALE": "RENEWAL"})
 
 
-def _refunds(t: Tables) -> DataFrame:
-    return payments.refund_count_monthly(ad.payment_event(t), ad.payment_method(t), ad.institution(t),
-                                         ad.institution_group(t), ad.geo_country(t), 20231001)
+def _refunds(t: Warehouse) -> DataFrame:
+    return payments.refund_count_monthly(t.payment_event, t.payment_method, t.institution,
+                                         t.institution_group, t.geo_country, 20231001)
 
 
 def q_refund_count_monthly(s, d): return _refunds(_t(s, d))
-def q_approved_monthly(s, d): return payments.approved_monthly(ad.renewal_agg(_t(s, d)), 20231001)
+def q_approved_monthly(s, d): return payments.approved_monthly(_t(s, d).renewal_agg, 20231001)
 
 
 def q_refund_vs_approved(s, d):
     t = _t(s, d)
-    return payments.refund_vs_approved(payments.approved_monthly(ad.renewal_agg(t), 20231001), _refunds(t),
+    return payments.refund_vs_approved(payments.approved_monthly(t.renewal_agg, 20231001), _refunds(t),
                                        FOCUS_ISSUERS)
 
 
@@ -357,35 +362,35 @@ def q_refund_vs_approved(s, d):
 
 def q_existence_flag(s, d):
     t = _t(s, d)
-    cust = t.customer.select(F.col("c_custkey").alias("account_id"))
-    buyers = t.events.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("account_id"))
+    cust = t.tables.customer.select(F.col("c_custkey").alias("account_id"))
+    buyers = t.tables.events.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("account_id"))
     return J.existence_flag(cust, buyers, ["account_id"], "has_purchase")
 
 
 def q_dedupe_first(s, d):
-    li = _t(s, d).lineitem
+    li = _t(s, d).tables.lineitem
     order = [c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
     return W.dedupe_first(li, ["l_orderkey", "l_linenumber"], order)
 
 
 def q_event_sequence(s, d):
-    e = _t(s, d).events.select("event_id", "user_id", "ts", D.int_date("ts").alias("event_date"))
+    e = _t(s, d).tables.events.select("event_id", "user_id", "ts", D.int_date("ts").alias("event_date"))
     return W.event_sequence(e, "user_id", "ts", "event_id", "event_date", "row_cnt").select(
         "event_id", "user_id", "row_cnt")
 
 
-def q_distinct_pairs(s, d): return _t(s, d).events.select("user_id", "event_type").distinct()
+def q_distinct_pairs(s, d): return _t(s, d).tables.events.select("user_id", "event_type").distinct()
 
 
 def q_region_bucket(s, d):
-    return _t(s, d).nation.select("n_nationkey", "n_name",
+    return _t(s, d).tables.nation.select("n_nationkey", "n_name",
                                   V.bucket("n_name", REGION_MAP, "Other").alias("region"))
 
 
 def q_normalise_institution(s, d):
     t = _t(s, d)
-    inst = ad.institution(t)
-    grp = ad.institution_group(t)
+    inst = t.institution
+    grp = t.institution_group
     return (inst.join(grp, "pmt_institution_desc", "left")
             .select("pmt_institution_sk",
                     V.normalise_institution("grouped_pmt_institution_desc", "pmt_institution_desc")
@@ -393,13 +398,13 @@ def q_normalise_institution(s, d):
 
 
 def q_safe_cast_keys(s, d):
-    txn = ad.payment_txn_event(_t(s, d))
+    txn = _t(s, d).payment_txn_event
     acct = V.map_get("other_properties", "customerId")
     return txn.select(acct.alias("acct_text"), V.safe_cast(acct, "bigint").alias("acct_id"))
 
 
 def q_map_extract(s, d):
-    pe = ad.payment_event(_t(s, d))
+    pe = _t(s, d).payment_event
     m = F.col("degenerate_values_map")
     return pe.select("account_id", "event_utc_ms_ts",
                      V.map_get(m, "mop_postal_code").alias("mop_postal_code"),
@@ -408,56 +413,56 @@ def q_map_extract(s, d):
 
 
 def q_int_date_diff(s, d):
-    bs = ad.billing_subscription(_t(s, d))
+    bs = _t(s, d).billing_subscription
     return bs.select("subscrn_id", D.int_date_diff("billing_start_date", "billing_end_date").alias("days"))
 
 
 def q_int_date_add(s, d):
-    sub = ad.subscription(_t(s, d))
+    sub = _t(s, d).subscription
     return sub.select("subscrn_id", "signup_date", D.int_date_add("signup_date", 45).alias("plus_45"),
                       D.int_date_add("signup_date", -1).alias("minus_1"))
 
 
 def q_int_date_month(s, d):
-    sub = ad.subscription(_t(s, d))
+    sub = _t(s, d).subscription
     return sub.select("subscrn_id", D.int_date_month("signup_date").alias("signup_month"))
 
 
 def q_int_date_timestamp(s, d):
-    sub = ad.subscription(_t(s, d))
+    sub = _t(s, d).subscription
     return sub.select("subscrn_id", D.int_date_timestamp("signup_date").alias("signup_midnight"))
 
 
 def q_epoch_ms_to_int_date(s, d):
-    pe = ad.payment_event(_t(s, d))
+    pe = _t(s, d).payment_event
     ms = V.map_get("degenerate_values_map", "original_txn_date")
     return pe.select("account_id", "event_utc_ms_ts", D.epoch_ms_to_int_date(ms).alias("original_txn_utc_date"))
 
 
 def q_filter_date_range(s, d):
-    sub = ad.subscription(_t(s, d))
+    sub = _t(s, d).subscription
     return sub.filter(F.col("signup_date").between(19970301, 19970331)).select("subscrn_id", "signup_date")
 
 
 def q_filter_in_list(s, d):
-    return _t(s, d).part.filter(F.col("p_type").isin("PROMO", "SMALL")).select("p_partkey", "p_type")
+    return _t(s, d).tables.part.filter(F.col("p_type").isin("PROMO", "SMALL")).select("p_partkey", "p_type")
 
 
 def q_filter_sentinels(s, d):
-    pe = ad.payment_event(_t(s, d))
+    pe = _t(s, d).payment_event
     code = V.map_get("degenerate_values_map", "mop_postal_code")
     return pe.select("account_id", "event_utc_ms_ts", code.alias("mop_postal_code")).filter(
         V.not_sentinel("mop_postal_code", ("--",)))
 
 
 def q_filter_clean_accounts(s, d):
-    sub = ad.subscription(_t(s, d))
+    sub = _t(s, d).subscription
     return sub.filter(V.null_safe_zero("fraud_flag") == 0).select("subscrn_id", "fraud_flag")
 
 
 def q_conditional_ratio(s, d):
     """Safe ratio with zero denominators: invol / complete per partner."""
-    sr = ad.signup_retention(_t(s, d))
+    sr = _t(s, d).signup_retention
     c = A.conditional_distinct_counts(sr, ["partner_name", "acquisition_channel"], "subscrn_id",
                                       {"n_complete": F.col("p1_possible_complete_cnt") == 1,
                                        "n_invol": F.col("p1_invol_cancel_cnt") == 1})
