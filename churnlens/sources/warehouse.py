@@ -13,7 +13,8 @@ domain view once per input folder to the shared checkpoint folder
 - builds each adapter join once instead of once per analysis.
 
 Tables are keyed by the input folder, its size and modification time and
-the adapter source, so a changed input or rule gives a new table.
+the source of the rules (adapters and the column functions they use), so a
+changed input or rule gives a new table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from churnlens.functions import dates as _dates
+from churnlens.functions import values as _values
 from churnlens.session import shared_dir
 from churnlens.sources import adapters as ad
 from churnlens.sources.tables import TABLES, Tables
@@ -75,7 +78,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _fingerprint(spark: SparkSession, root: str) -> str:
     h = hashlib.sha1(root.encode())
-    h.update(inspect.getsource(ad).encode())
+    for module in (ad, _dates, _values):  # the rules that define the views
+        h.update(inspect.getsource(module).encode())
     for name in TABLES:
         fs, p = _jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
         if fs.exists(p):
@@ -115,9 +119,19 @@ class Warehouse:
             df.write.mode("overwrite").parquet(path)
         return path
 
-    def prepare(self, names=None, force: bool = False) -> None:
-        for name in names or VIEWS:
-            self.build(name, force=force)
+    def prepare(self, names=None, force: bool = False, parallel: int = 4) -> None:
+        """Build several views at once: each build is an independent Spark
+        job, and jobs submitted from different threads share the cluster."""
+        names = list(names or VIEWS)
+        self._path(names[0])  # resolve the folder once, before the threads start
+        if parallel <= 1:
+            for name in names:
+                self.build(name, force=force)
+            return
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            for future in [pool.submit(self.build, n, force) for n in names]:
+                future.result()
 
     def view(self, name: str) -> DataFrame:
         if not self.materialize:

@@ -80,3 +80,12 @@ def test_payment_events_scanned_once_with_slices(spark, t):
 def test_nation_dimensions_are_broadcast(spark):
     p = _plan(R.q_chargeback_cube(spark, SF))
     assert "BroadcastExchange" in p
+
+
+def test_materialised_views_equal_lazy_adapters(spark):
+    lazy = Warehouse(spark, SF, materialize=False)
+    stored = Warehouse(spark, SF)
+    for name in ("payment_event", "billing_period", "signup_retention"):
+        a = lazy.view(name)
+        b = stored.view(name).select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
