@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _complete_attempts(spark: SparkSession, folder: str) -> list[str]:
+    """Attempt folders under ``folder`` whose write committed (``_SUCCESS``)."""
+    fs, p = _jvm_fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        child = st.getPath().toString()
+        if st.isDirectory() and st.getPath().getName().startswith("attempt-") \
+                and _exists(spark, child + "/_SUCCESS"):
+            out.append(child)
+    return sorted(out)
+
+
 def _fingerprint(spark: SparkSession, root: str) -> str:
     h = hashlib.sha1(root.encode())
     for module in (ad, _dates, _values):  # the rules that define the views
@@ -102,6 +117,7 @@ class Warehouse:
         self.tables = Tables(spark, root)
         self.materialize = materialize
         self._base = None
+        self._forced: dict[str, str] = {}
 
     def _path(self, name: str) -> str:
         if self._base is None:
@@ -109,14 +125,26 @@ class Warehouse:
         return os.path.join(self._base, name)
 
     def build(self, name: str, force: bool = False) -> str:
-        """Write view ``name`` unless a complete copy exists; return its path."""
+        """Path of a complete copy of view ``name``, writing one if needed.
+
+        Every write goes to its own ``attempt-<id>`` folder and is never
+        overwritten, so concurrent builders (threads or jobs) cannot clash:
+        readers take the first committed attempt, and all attempts hold the
+        same rows.  ``force`` always writes (and then uses) a fresh attempt.
+        """
+        folder = self._path(name)
+        if not force:
+            done = _complete_attempts(self.spark, folder)
+            if done:
+                return done[0]
         adapter, sort_col = VIEWS[name]
-        path = self._path(name)
-        if force or not _exists(self.spark, os.path.join(path, "_SUCCESS")):
-            df = adapter(self.tables)
-            if sort_col is not None:
-                df = df.sortWithinPartitions(sort_col)
-            df.write.mode("overwrite").parquet(path)
+        df = adapter(self.tables)
+        if sort_col is not None:
+            df = df.sortWithinPartitions(sort_col)
+        path = os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
+        df.write.mode("errorifexists").parquet(path)
+        if force:
+            self._forced[name] = path
         return path
 
     def prepare(self, names=None, force: bool = False, parallel: int = 4) -> None:
@@ -136,7 +164,7 @@ class Warehouse:
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
             return VIEWS[name][0](self.tables)
-        return self.spark.read.parquet(self.build(name))
+        return self.spark.read.parquet(self._forced.get(name) or self.build(name))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

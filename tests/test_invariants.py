@@ -85,7 +85,11 @@ def test_nation_dimensions_are_broadcast(spark):
 def test_materialised_views_equal_lazy_adapters(spark):
     lazy = Warehouse(spark, SF, materialize=False)
     stored = Warehouse(spark, SF)
+    def comparable(df):
+        return df.select(*[F.array_sort(F.map_entries(c)).alias(c) if t.startswith("map") else F.col(c)
+                           for c, t in df.dtypes])
+
     for name in ("payment_event", "billing_period", "signup_retention"):
-        a = lazy.view(name)
-        b = stored.view(name).select(*a.columns)
+        a = comparable(lazy.view(name))
+        b = comparable(stored.view(name).select(*lazy.view(name).columns))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
