@@ -25,6 +25,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlens.functions import dates as _dates
 from churnlens.functions import values as _values
@@ -66,6 +67,13 @@ VIEWS = {
 }
 
 
+# Views whose size is fixed by definition (derived from the 25-row nation
+# and 5-row region tables: geography and issuer catalogues).  Only these are
+# broadcast explicitly; every other join side is left to AQE, which
+# broadcasts only after measuring the side under the threshold.
+BOUNDED = {"geo_market", "geo_postal", "geo_subdivision", "geo_country", "institution", "institution_group"}
+
+
 def _jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -164,7 +172,8 @@ class Warehouse:
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
             return VIEWS[name][0](self.tables)
-        return self.spark.read.parquet(self._forced.get(name) or self.build(name))
+        df = self.spark.read.parquet(self._forced.get(name) or self.build(name))
+        return F.broadcast(df) if name in BOUNDED else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
