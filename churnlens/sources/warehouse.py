@@ -23,6 +23,7 @@ import hashlib
 import inspect
 import os
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +112,20 @@ def _fingerprint(spark: SparkSession, root: str) -> str:
     return h.hexdigest()[:16]
 
 
+# Per-session memo of resolved folders and opened views: a view is listed
+# and its schema read once per session, later analyses reuse the same
+# relation (a plan node, not data).
+_SESSION_STATE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _state(spark: SparkSession) -> dict:
+    st = _SESSION_STATE.get(spark)
+    if st is None:
+        st = {"base": {}, "views": {}}
+        _SESSION_STATE[spark] = st
+    return st
+
+
 class Warehouse:
     """``Warehouse(spark, root).billing_period`` -> the materialised view.
 
@@ -129,7 +144,11 @@ class Warehouse:
 
     def _path(self, name: str) -> str:
         if self._base is None:
-            self._base = shared_dir(self.spark, f"churnlens/warehouse/{_fingerprint(self.spark, self.root)}")
+            bases = _state(self.spark)["base"]
+            if self.root not in bases:
+                bases[self.root] = shared_dir(self.spark,
+                                              f"churnlens/warehouse/{_fingerprint(self.spark, self.root)}")
+            self._base = bases[self.root]
         return os.path.join(self._base, name)
 
     def build(self, name: str, force: bool = False) -> str:
@@ -172,7 +191,12 @@ class Warehouse:
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
             return VIEWS[name][0](self.tables)
-        df = self.spark.read.parquet(self._forced.get(name) or self.build(name))
+        path = self._forced.get(name) or None
+        views = _state(self.spark)["views"]
+        key = (self.root, name, path)
+        if key not in views:
+            views[key] = self.spark.read.parquet(path or self.build(name))
+        df = views[key]
         return F.broadcast(df) if name in BOUNDED else df
 
     def __getattr__(self, name: str) -> DataFrame:
