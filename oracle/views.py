@@ -241,7 +241,7 @@ SELECT user_id AS account_id, {idate('ts')} AS event_utc_date, epoch_us(ts) // 1
        CAST(event_id AS VARCHAR) AS original_txn_id,
        'Q' || CAST(event_id // 2 AS VARCHAR) AS req_proc_ref_id,
        CAST({K} AS BIGINT) * 25 AS pmt_mop_metadata_sk,
-       value * 100.0 AS chargeback_amount, 1.0 AS record_count
+       value * 100.0 AS chargeback_amount, CAST(1.0 AS DOUBLE) AS record_count
 FROM events""")
 
 view("v_payment_txn_event", f"""
