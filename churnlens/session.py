@@ -12,29 +12,26 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL options the plans assume.  AQE re-plans joins at runtime:
-# it broadcasts a side only when its *measured* size is under
+# Runtime features the plans rely on.  AQE re-plans joins at runtime: it
+# broadcasts a side only when its *measured* size is under
 # ``autoBroadcastJoinThreshold`` and otherwise keeps the sort-merge join,
-# splits skewed join partitions, and coalesces tiny shuffle partitions.
-RUNTIME_DEFAULTS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
-    "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-}
+# splits skewed join partitions, and coalesces small shuffle partitions.
+# They are on by default in Spark 4; ``configure`` turns them on only if a
+# session has them switched off, and never touches sizes a cluster chose.
+REQUIRED_FEATURES = (
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.coalescePartitions.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`RUNTIME_DEFAULTS` (UTC is forced: integer dates and epoch
-    conversions are defined in UTC)."""
-    for key, value in RUNTIME_DEFAULTS.items():
-        if key == "spark.sql.session.timeZone":
-            spark.conf.set(key, value)
-        elif spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
+    """Force the UTC session time zone (integer dates and epoch conversions
+    are defined in UTC) and make sure the AQE features are on."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key in REQUIRED_FEATURES:
+        if str(spark.conf.get(key, "true")).lower() != "true":
+            spark.conf.set(key, "true")
     return spark
 
 
