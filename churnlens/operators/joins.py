@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.functions.dates import int_date_add
+from churnlens.functions.dates import int_date, int_date_to_date
 
 
 def attach_left(left: DataFrame, right: DataFrame, on: Sequence[str], right_filter: Column | None = None) -> DataFrame:
@@ -51,17 +51,23 @@ def semi_by_aggregate(df: DataFrame, qualifying: DataFrame, on: Sequence[str]) -
 
 
 def band_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-              left_date: str, right_date: str, before: int, after: int,
-              how: str = "inner") -> DataFrame:
-    """Equi join on an id plus a day band on integer dates:
+              left_date: str, right_date: str, before: int, after: int) -> DataFrame:
+    """Inner equi join on an id plus a day band on integer dates:
     ``right_date - before <= left_date <= right_date + after``.
 
-    The band bounds are computed once on the right side, so the join is a
-    plain equi join (shuffled on the id) with a residual range condition.
+    Written as a pure equi join on (id, day): every left row is expanded to
+    the ``before + after + 1`` right dates its band can meet
+    (``left_date - after .. left_date + before``), and the join key is
+    (id, date).  Each matching pair meets on exactly one day, so the result
+    is exact; the shuffle is keyed by (id, day), which spreads an id with a
+    large share of the rows over its days instead of comparing all its rows
+    in one task.  (The original's left join is turned inner by its WHERE
+    clause, so only the inner form is needed.)
     """
-    lo, hi = "__band_lo", "__band_hi"
-    r = (right.withColumn(lo, int_date_add(right_date, -before))
-              .withColumn(hi, int_date_add(right_date, after)))
-    cond = ((left[left_key] == r[right_key])
-            & (left[left_date] >= r[lo]) & (left[left_date] <= r[hi]))
-    return left.join(r, cond, how).drop(lo, hi)
+    day = "__band_day"
+    lo = int_date_to_date(left_date)
+    days = F.transform(F.sequence(F.lit(0), F.lit(before + after)),
+                       lambda i: int_date(F.date_add(lo, i - F.lit(after))))
+    expanded = left.withColumn(day, F.explode(days))
+    cond = (expanded[left_key] == right[right_key]) & (expanded[day] == right[right_date])
+    return expanded.join(right, cond, "inner").drop(day)

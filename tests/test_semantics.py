@@ -225,3 +225,32 @@ def test_d18_null_only_partner_is_eligible_unless_required_known(spark):
     assert as_written == [("A",), ("C",)]
     strict = partners.eligible_partners(s, "OWN", 20180801, 20180930, "US", "STB", require_known=True)
     assert rows(strict.select("partner_name")) == [("C",)]
+
+
+def _flagged_rows(spark):
+    return spark.createDataFrame(
+        [(1, 10, "VOL_CUSTOMER", "CLOSED", 0, 20180604, 20180705, 1),
+         (2, 20, "INVOL_UNPAID", "CLOSED", None, 20180604, 20180604, 0),
+         (3, 30, None, "OPEN", 0, 20180801, 20180901, 0),
+         (4, 40, "INVOL_NO_MOP", "CLOSED", 1, 20180712, 20180712, 1)],
+        "account_id long, subscrn_id long, cancellation_reason_desc string, subscrn_status string, "
+        "fraud_flag int, signup_dateint int, last_billing_end_date int, p1_inactivity_t_f int")
+
+
+def test_paid_a_month_sample_is_ordered_and_limited(spark):
+    got = cohorts.paid_but_inactive_sample(_flagged_rows(spark), 31, 1)
+    assert [r.subscrn_id for r in got.collect()] == [10]  # 31 days: subscriptions 10 and 30; first by account
+    both = cohorts.paid_but_inactive_sample(_flagged_rows(spark), 31, 10)
+    assert [r.subscrn_id for r in both.collect()] == [10, 30]
+
+
+def test_same_day_cancel_reasons_in_window(spark):
+    got = rows(cohorts.cancel_reason_same_day(_flagged_rows(spark), 20180601, 20180710))
+    assert got == [("INVOL_UNPAID", 1)]  # subscription 40 is outside the signup window
+
+
+def test_histogram_overflow_and_early_cancels(spark):
+    hist = rows(cohorts.days_in_subscription_hist(_flagged_rows(spark), 20180101, 20181231, cap=30))
+    assert hist == [(0, 2, 1), (999, 2, 1)]
+    early = rows(cohorts.daily_early_cancel(_flagged_rows(spark), 7))
+    assert early == [(20180604, 2, 1), (20180712, 1, 1), (20180801, 1, 0)]
