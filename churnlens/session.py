@@ -35,17 +35,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "churnlens") -> SparkSession:
-    """A local session for tests and the bench (UI off, UTC, AQE on)."""
-    spark = (
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "churnlens",
+                  event_log_dir: str | None = None) -> SparkSession:
+    """A local session for tests and the bench (UI off, UTC, AQE on).
+
+    ``event_log_dir`` writes Spark's event log there (stage and task times
+    for offline reading; no server is started)."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     ensure_checkpoint_dir(spark)
