@@ -94,3 +94,31 @@ def test_materialised_views_equal_lazy_adapters(spark):
         a = comparable(lazy.view(name))
         b = comparable(stored.view(name).select(*lazy.view(name).columns))
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_skew_safe_plan_shapes(spark, t):
+    from churnlens.operators import aggregates as A
+    from churnlens.operators import joins as J
+    from churnlens.operators import windows as W
+
+    ev = t.tables.events.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    # conditional distinct counts: no Expand copy per distinct expression
+    cdc = A.conditional_distinct_counts(ev, ["day"], "user_id", {"n": None, "v": F.col("event_id") > 5})
+    assert "Expand" not in _plan(cdc)
+    # dedupe: one partial aggregate per map task before the shuffle, no window over the whole key
+    dd = _plan(W.dedupe_first(ev, ["user_id"], ["ts", "event_id"]))
+    assert "partial_min" in dd and "Window" not in dd
+    # event numbering: the row_number window is partitioned by (key, bucket)
+    seq = _plan(W.event_sequence(ev, "user_id", "ts", "event_id", "day"))
+    assert any("row_number()" in line and "windowspecdefinition(user_id" in line and "day#" in line
+               for line in seq.splitlines())
+    # band join: the join keys include the expanded day
+    left = ev.select(F.col("user_id").alias("a"), D_int(F.col("ts")).alias("d"))
+    right = ev.select(F.col("user_id").alias("b"), D_int(F.col("ts")).alias("e"))
+    bj = _plan(J.band_join(left, right, "a", "b", "d", "e", 1, 2))
+    assert any(("Join" in line) and ("__band_day" in line) for line in bj.splitlines())
+
+
+def D_int(c):
+    from churnlens.functions.dates import int_date
+    return int_date(c)
