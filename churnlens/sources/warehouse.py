@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import logging
 import os
 import uuid
 import weakref
@@ -190,12 +191,20 @@ class Warehouse:
 
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
-            return VIEWS[name][0](self.tables)
+            df = VIEWS[name][0](self.tables)
+            return F.broadcast(df) if name in BOUNDED else df
         path = self._forced.get(name) or None
         views = _state(self.spark)["views"]
         key = (self.root, name, path)
         if key not in views:
-            views[key] = self.spark.read.parquet(path or self.build(name))
+            try:
+                views[key] = self.spark.read.parquet(path or self.build(name))
+            except Exception as exc:  # noqa: BLE001 - any storage failure
+                # The shared folder cannot be written or read: fall back to
+                # the lazy adapter plan (same rows, recomputed per analysis).
+                logging.getLogger(__name__).warning("view %s not materialised (%s); using the lazy plan",
+                                                    name, str(exc).splitlines()[0][:200])
+                views[key] = VIEWS[name][0](self.tables)
         df = views[key]
         return F.broadcast(df) if name in BOUNDED else df
 
