@@ -175,7 +175,7 @@ class Warehouse:
             self._forced[name] = path
         return path
 
-    def prepare(self, names=None, force: bool = False, parallel: int = 4) -> None:
+    def prepare(self, names=None, force: bool = False, parallel: int = 8) -> None:
         """Build several views at once: each build is an independent Spark
         job, and jobs submitted from different threads share the cluster."""
         names = list(names or VIEWS)
