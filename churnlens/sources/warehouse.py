@@ -36,6 +36,11 @@ from churnlens.sources import adapters as ad
 from churnlens.sources.tables import TABLES, Tables
 
 # view name -> (adapter, column the files are sorted on inside each task)
+# Event facts are also partitioned by that integer date (one folder per
+# day), so a date range on the stored column prunes whole folders.
+PARTITIONED = {"payment_event", "title_views", "connection_event", "stream_block", "partner_signup_service",
+               "payment_txn_event", "chargeback_summary", "event_signups"}
+
 VIEWS = {
     "subscription": (ad.subscription, "signup_date"),
     "signup_retention": (ad.signup_retention, "signup_date"),
@@ -105,6 +110,8 @@ def _fingerprint(spark: SparkSession, root: str) -> str:
     h = hashlib.sha1(root.encode())
     for module in (ad, _dates, _values):  # the rules that define the views
         h.update(inspect.getsource(module).encode())
+    h.update(inspect.getsource(Warehouse).encode())  # and the storage layout
+    h.update(repr((sorted(VIEWS), sorted(PARTITIONED), sorted(BOUNDED))).encode())
     for name in TABLES:
         fs, p = _jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
         if fs.exists(p):
@@ -167,10 +174,13 @@ class Warehouse:
                 return done[0]
         adapter, sort_col = VIEWS[name]
         df = adapter(self.tables)
-        if sort_col is not None:
-            df = df.sortWithinPartitions(sort_col)
         path = os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
-        df.write.mode("errorifexists").parquet(path)
+        writer = (df.sortWithinPartitions(sort_col) if sort_col is not None else df).write.mode("errorifexists")
+        if name in PARTITIONED:
+            # one file per (task, day): cluster each day's rows into one task first
+            writer = df.repartition(sort_col).sortWithinPartitions(sort_col).write.mode("errorifexists") \
+                       .partitionBy(sort_col)
+        writer.parquet(path)
         if force:
             self._forced[name] = path
         return path
