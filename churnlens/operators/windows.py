@@ -40,16 +40,20 @@ def event_sequence(df: DataFrame, key: str, order_col: str, tie_col: str, bucket
     """``row_number() over (partition by key order by order_col, tie_col)``
     that stays balanced when one key holds a large share of the rows.
 
-    Rows are cut into (key, bucket) slices, where ``bucket_col`` is a coarse,
-    order-compatible value (for example the event day).  Slice sizes are
+    Rows are cut into (key, bucket) slices, where ``bucket_col`` is a coarse
+    value that never decreases as ``order_col`` grows (for example the event
+    day; a NULL bucket sorts first).  Slice sizes are
     counted (map-side aggregation), turned into per-key offsets with a window
     over the small slice table, and each slice is numbered on its own.  A hot
     key is therefore numbered by as many tasks as it has buckets.
     """
     sizes = df.groupBy(key, bucket_col).agg(F.count(F.lit(1)).alias("__n"))
     w_prev = Window.partitionBy(key).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(w_prev), F.lit(0))).drop("__n")
+    offsets = (sizes.withColumn("__off", F.coalesce(F.sum("__n").over(w_prev), F.lit(0)))
+               .select(F.col(key).alias("__k"), F.col(bucket_col).alias("__b"), "__off"))
+    # null-safe: rows with a NULL key or bucket are numbered too, as row_number does
+    cond = df[key].eqNullSafe(offsets["__k"]) & df[bucket_col].eqNullSafe(offsets["__b"])
     w = Window.partitionBy(key, bucket_col).orderBy(F.col(order_col), F.col(tie_col))
-    return (df.join(offsets, on=[key, bucket_col], how="inner")
+    return (df.join(offsets, cond, "inner").drop("__k", "__b")
             .withColumn(name, (F.row_number().over(w) + F.col("__off")).cast("int"))
             .drop("__off"))

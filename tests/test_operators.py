@@ -70,7 +70,8 @@ def test_dedupe_first_matches_row_number(spark):
 
 def test_event_sequence_equals_row_number_with_hot_key(spark):
     # key 0 holds most rows and spans many buckets
-    data = [(0, t, t, t // 5) for t in range(60)] + [(1, 3, 100, 0), (1, 1, 101, 0), (2, 7, 102, 1)]
+    data = [(0, t, t, t // 5) for t in range(60)] + [(1, 3, 100, 0), (1, 1, 101, 0), (2, 7, 102, 1),
+                                                    (None, 4, 103, 0), (None, 9, 104, 1), (3, 2, 105, None)]
     df = spark.createDataFrame(data, "key int, ts int, id int, bucket int")
     got = W.event_sequence(df, "key", "ts", "id", "bucket", "rn").select("id", "rn")
     w = Window.partitionBy("key").orderBy("ts", "id")
