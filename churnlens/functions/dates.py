@@ -25,12 +25,9 @@ def int_date(ts: ColumnOrName) -> Column:
 
 
 def int_date_to_date(d: ColumnOrName) -> Column:
-    """``yyyymmdd`` integer -> DATE (by arithmetic, no string parsing)."""
-    d = _col(d).cast("int")
-    year = (d / 10000).cast("int")
-    month = ((d / 100).cast("int") % 100).cast("int")
-    day = (d % 100).cast("int")
-    return F.make_date(year, month, day)
+    """``yyyymmdd`` integer -> DATE; an impossible date (``20180230``, ``0``)
+    gives NULL instead of failing the job under ANSI mode."""
+    return F.try_to_date(_col(d).cast("int").cast("string"), "yyyyMMdd")
 
 
 def int_date_diff(start: ColumnOrName, end: ColumnOrName) -> Column:

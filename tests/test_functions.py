@@ -76,3 +76,9 @@ def test_zip5_and_institution(spark):
     out = df.select(V.zip5("p").alias("z"), V.normalise_institution("g", "d").alias("i")).collect()
     assert [r.z for r in out] == ["02139", "123"]
     assert [r.i for r in out] == ['BANK ""X""', "WELLS FARGO"]
+
+
+def test_impossible_int_dates_are_null(spark):
+    df = spark.createDataFrame([(20180230, 20180301), (0, 20180301), (None, 20180301)], "a int, b int")
+    out = df.select(D.int_date_diff("a", "b").alias("d"), D.int_date_add("a", 1).alias("p")).collect()
+    assert [(r.d, r.p) for r in out] == [(None, None)] * 3
