@@ -383,18 +383,23 @@ def q_distinct_pairs(s, d): return _t(s, d).tables.events.select("user_id", "eve
 
 
 def q_region_bucket(s, d):
-    return _t(s, d).tables.nation.select("n_nationkey", "n_name",
-                                  V.bucket("n_name", REGION_MAP, "Other").alias("region"))
+    """Region of every customer's nation (list-to-label bucketing)."""
+    t = _t(s, d)
+    nation = F.broadcast(t.tables.nation.select("n_nationkey", "n_name"))
+    return (t.tables.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", "n_name", V.bucket("n_name", REGION_MAP, "Other").alias("region")))
 
 
 def q_normalise_institution(s, d):
+    """Issuer label of every payment method (grouped name, else the cleaned
+    raw name, upper-cased)."""
     t = _t(s, d)
-    inst = t.institution
-    grp = t.institution_group
-    return (inst.join(grp, "pmt_institution_desc", "left")
-            .select("pmt_institution_sk",
+    j = (t.payment_method.select("pmt_mop_metadata_sk", "pmt_institution_sk")
+         .join(t.institution, "pmt_institution_sk")
+         .join(t.institution_group, "pmt_institution_desc", "left"))
+    return j.select("pmt_mop_metadata_sk",
                     V.normalise_institution("grouped_pmt_institution_desc", "pmt_institution_desc")
-                    .alias("issuer_institution_desc_grp")))
+                    .alias("issuer_institution_desc_grp"))
 
 
 def q_safe_cast_keys(s, d):
