@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.functions.dates import int_date_timestamp
+from churnlens.functions.dates import int_date, int_date_timestamp, int_date_to_date
 from churnlens.functions.values import bucket, map_get, not_sentinel, null_default, safe_cast, zip5
 from churnlens.operators.aggregates import conditional_distinct_counts, missingness_crosstab, safe_ratio
 from churnlens.operators.joins import band_join
@@ -111,10 +111,13 @@ def postal_attribution(signups: DataFrame, periods: DataFrame, payments: DataFra
         "p1_possible_complete_cnt", "p1_invol_cancel_cnt", "p1_vol_cancel_cnt")
     peh = payment_postal_events(payments, pay_country).withColumnRenamed("account_id", "pay_account_id")
     if slices:
+        # one row per (slice, day): a day covered by two slices appears twice,
+        # reproducing the original's repetition through a plain equi join
         spark = payments.sparkSession
-        bounds = F.broadcast(spark.createDataFrame(list(slices), "slice_lo int, slice_hi int"))
-        peh = peh.join(bounds, F.col("event_utc_date").between(F.col("slice_lo"), F.col("slice_hi"))) \
-                 .drop("slice_lo", "slice_hi")
+        bounds = spark.createDataFrame(list(slices), "slice_lo int, slice_hi int")
+        days = bounds.select(F.explode(F.sequence(int_date_to_date("slice_lo"), int_date_to_date("slice_hi")))
+                             .alias("d")).select(int_date("d").alias("slice_day"))
+        peh = peh.join(F.broadcast(days), F.col("event_utc_date") == F.col("slice_day")).drop("slice_day")
     j = band_join(alloc, peh, "account_id", "pay_account_id", "signup_date", "event_utc_date", before, after)
     return (j.filter(F.col("signup_date") <= F.col("event_utc_date"))
             .select("account_id", "subscrn_id", "signup_date", "partner_name", "signup_pmt_type_desc",

@@ -61,13 +61,14 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_udf_in_any_plan(spark):
+def test_no_python_udf_or_cross_join_in_any_plan(spark):
     import __spark_entry__ as E
     for name, fn in E.queries().items():
         if name.startswith("ingest_"):
             continue
         p = _plan(fn(spark, SF))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        assert "NestedLoopJoin" not in p and "CartesianProduct" not in p, name
 
 
 def test_payment_events_scanned_once_with_slices(spark, t):
