@@ -374,8 +374,11 @@ def q_dedupe_first(s, d):
 
 
 def q_event_sequence(s, d):
-    e = _t(s, d).tables.events.select("event_id", "user_id", "ts", D.int_date("ts").alias("event_date"))
-    return W.event_sequence(e, "user_id", "ts", "event_id", "event_date", "row_cnt").select(
+    """Events numbered per user in time order; slices are (user, hour)."""
+    e = _t(s, d).tables.events.select(
+        "event_id", "user_id", "ts",
+        (D.int_date("ts").cast("bigint") * 100 + F.hour("ts")).alias("event_hour"))
+    return W.event_sequence(e, "user_id", "ts", "event_id", "event_hour", "row_cnt").select(
         "event_id", "user_id", "row_cnt")
 
 
