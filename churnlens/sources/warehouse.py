@@ -106,17 +106,27 @@ def _complete_attempts(spark: SparkSession, folder: str) -> list[str]:
     return sorted(out)
 
 
-def _fingerprint(spark: SparkSession, root: str) -> str:
+def _fingerprint(spark: SparkSession, root: str, version: str | None = None) -> str:
+    """Key of the materialised views: input identity + rules + layout.
+
+    ``version`` (a snapshot id or load date) identifies the input directly.
+    Without it, each input table's total size and modification time are
+    read, which lists the table's files: fine for test data, but on an
+    object store holding millions of files pass ``version`` instead.
+    """
     h = hashlib.sha1(root.encode())
     for module in (ad, _dates, _values):  # the rules that define the views
         h.update(inspect.getsource(module).encode())
     h.update(inspect.getsource(Warehouse).encode())  # and the storage layout
     h.update(repr((sorted(VIEWS), sorted(PARTITIONED), sorted(BOUNDED))).encode())
-    for name in TABLES:
-        fs, p = _jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
-        if fs.exists(p):
-            st = fs.getFileStatus(p)
-            h.update(f"{name}:{fs.getContentSummary(p).getLength()}:{st.getModificationTime()}".encode())
+    if version is not None:
+        h.update(f"version:{version}".encode())
+    else:
+        for name in TABLES:
+            fs, p = _jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
+            if fs.exists(p):
+                st = fs.getFileStatus(p)
+                h.update(f"{name}:{fs.getContentSummary(p).getLength()}:{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
@@ -142,9 +152,10 @@ class Warehouse:
     Raw driver tables stay available as ``.tables``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, root: str, materialize: bool = True, version: str | None = None):
         self.spark = spark
         self.root = root
+        self.version = version
         self.tables = Tables(spark, root)
         self.materialize = materialize
         self._base = None
@@ -153,10 +164,11 @@ class Warehouse:
     def _path(self, name: str) -> str:
         if self._base is None:
             bases = _state(self.spark)["base"]
-            if self.root not in bases:
-                bases[self.root] = shared_dir(self.spark,
-                                              f"churnlens/warehouse/{_fingerprint(self.spark, self.root)}")
-            self._base = bases[self.root]
+            key = (self.root, self.version)
+            if key not in bases:
+                fp = _fingerprint(self.spark, self.root, self.version)
+                bases[key] = shared_dir(self.spark, f"churnlens/warehouse/{fp}")
+            self._base = bases[key]
         return os.path.join(self._base, name)
 
     def build(self, name: str, force: bool = False) -> str:
@@ -205,7 +217,7 @@ class Warehouse:
             return F.broadcast(df) if name in BOUNDED else df
         path = self._forced.get(name) or None
         views = _state(self.spark)["views"]
-        key = (self.root, name, path)
+        key = (self.root, self.version, name, path)
         if key not in views:
             try:
                 views[key] = self.spark.read.parquet(path or self.build(name))

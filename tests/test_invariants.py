@@ -129,7 +129,7 @@ def test_unwritable_folder_falls_back_to_lazy_views(spark):
     from churnlens.sources import warehouse as wh
 
     views = wh._state(spark)["views"]
-    saved = views.pop((SF, "geo_country", None), None)
+    saved = views.pop((SF, None, "geo_country", None), None)
     try:
         w = Warehouse(spark, SF)
         w._base = "/proc/churnlens-not-writable"  # any write here fails
@@ -137,6 +137,6 @@ def test_unwritable_folder_falls_back_to_lazy_views(spark):
         assert df.count() == 25
         assert "churnlens-not-writable" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
-        views.pop((SF, "geo_country", None), None)
+        views.pop((SF, None, "geo_country", None), None)
         if saved is not None:
-            views[(SF, "geo_country", None)] = saved
+            views[(SF, None, "geo_country", None)] = saved
