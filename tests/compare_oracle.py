@@ -19,6 +19,10 @@ import duckdb  # noqa: E402
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
+# Spark type -> DuckDB type of the same values
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
 
 def norm(v):
     if v is None:
@@ -73,6 +77,8 @@ def main() -> int:
             print(f"----  {name}: rows={len(srows)} (no oracle) {t1 - t0:.1f}s")
             continue
         try:
+            rel = con.sql(sqls[name])
+            dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
             cur = con.execute(sqls[name])
             dcols = [d[0] for d in cur.description]
             raw = cur.fetchall()
@@ -84,6 +90,12 @@ def main() -> int:
             print(f"FAIL {name}: columns spark={cols} duck={sorted(dcols)}")
             bad += 1
             continue
+        type_diff = [f"{c}: spark={t} duck={dtypes.get(c)}" for c, t in sdf.dtypes
+                     if TYPE_MAP.get(t, t.upper()) != dtypes.get(c)]
+        if type_diff:
+            print(f"FAIL {name}: types {type_diff}")
+            bad += 1
+            continue
         idx = [dcols.index(c) for c in cols]
         drows = [tuple(norm(r[i]) for i in idx) for r in raw]
         ok = sorted(srows, key=key) == sorted(drows, key=key)
