@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from compare_oracle import duck, key, norm
+from compare_oracle import TYPE_MAP, duck, key, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,9 @@ def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=key)
+    rel = con.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: TYPE_MAP.get(t, t.upper()) for c, t in df.dtypes} == duck_types
     cur = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == cols
