@@ -210,9 +210,12 @@ def activation_geo(funnel: DataFrame, subdivisions: DataFrame, activations: Data
     """Funnel geography of the linked (streaming) accounts of activations.
 
     As written (``multiplicity=True``) a funnel row appears once per
-    activation sharing its link.  ``multiplicity=False`` keeps each funnel
-    row once (a semi join on the links), which is all that consumers taking
-    a per-link minimum or set of values need.
+    activation sharing its link.  The activations are first counted per
+    link, so the join is many-to-one (a hot link's funnel rows can be split
+    across tasks), and each funnel row is then repeated by its count.
+    ``multiplicity=False`` keeps each funnel row once (a semi join on the
+    links), which is all that consumers taking a per-link minimum or set of
+    values need.
     """
     nm = funnel.filter((F.col("event_region_date") >= since) & (F.col("funnel_event_desc") == "signup")
                        & (F.col("de_country_desc") == country))
@@ -222,7 +225,9 @@ def activation_geo(funnel: DataFrame, subdivisions: DataFrame, activations: Data
     j = nm.join(gs, (nm["de_country_desc"] == gs["gs_country"])
                 & (nm["de_region_desc"] == gs["subdivision_iso_code"]), "inner")
     if multiplicity:
-        j = j.join(links, j["account_id"] == links["link"], "inner")
+        per_link = links.groupBy("link").agg(F.count(F.lit(1)).cast("int").alias("__m"))
+        j = (j.join(per_link, j["account_id"] == per_link["link"], "inner")
+             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__m")))))
     else:
         j = j.join(links, j["account_id"] == links["link"], "left_semi")
     return j.select(
