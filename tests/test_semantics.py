@@ -254,3 +254,22 @@ def test_histogram_overflow_and_early_cancels(spark):
     assert hist == [(0, 2, 1), (999, 2, 1)]
     early = rows(cohorts.daily_early_cancel(_flagged_rows(spark), 7))
     assert early == [(20180604, 2, 1), (20180712, 1, 1), (20180801, 1, 0)]
+
+
+def test_d13_funnel_geo_found_through_the_linked_account(spark):
+    funnel = spark.createDataFrame(
+        [(5, 500, "US", "OH", "signup", 20180601), (1, 100, "US", "NY", "signup", 20180601)],
+        "account_id long, subscrn_id long, de_country_desc string, de_region_desc string, "
+        "funnel_event_desc string, event_region_date int")
+    subdivisions = spark.createDataFrame([("US", "OH", "Ohio"), ("US", "NY", "New York")],
+                                         "country_iso_code string, subdivision_iso_code string, subdivision_desc string")
+    acts = spark.createDataFrame([(1, 10, 20180601, 5), (2, 20, 20180601, 5)],
+                                 "account_id long, subscrn_id long, signup_date int, "
+                                 "current_connected_to_account_id long")
+    got = geo.activation_geo(funnel, subdivisions, acts, {"Northeast": ["Ohio"]}, 20180101, "US")
+    # the paying account 1 has its own funnel row (New York) that must not be used;
+    # the linked account 5 (Ohio) is found once per activation sharing the link (as written)
+    assert rows(got.select("account_id", "subdivision_desc", "region")) == [(5, "Ohio", "Northeast")] * 2
+    once = geo.activation_geo(funnel, subdivisions, acts, {"Northeast": ["Ohio"]}, 20180101, "US",
+                              multiplicity=False)
+    assert once.count() == 1
