@@ -1,4 +1,5 @@
-"""Every registered query against its DuckDB SQL on the sf0.001 tables."""
+"""Every registered query against its DuckDB SQL (sf0.001 by default; set
+CHURNLENS_ORACLE_SF to another driver folder, e.g. /root/testdata/sf0.01)."""
 
 import os
 
@@ -6,7 +7,7 @@ import pytest
 
 from compare_oracle import TYPE_MAP, duck, key, norm
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CHURNLENS_ORACLE_SF", "/root/testdata/sf0.001")
 
 import __spark_entry__ as E  # noqa: E402
 
