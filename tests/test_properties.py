@@ -62,3 +62,53 @@ def test_event_sequence_brute_force(spark, data):
         for n, (t, i) in enumerate(sorted(evs), start=1):
             want.add((i, n))
     assert got == want
+
+
+from churnlens.operators import joins as J  # noqa: E402
+from churnlens.plans import geo  # noqa: E402
+
+vals = st.one_of(st.none(), st.sampled_from(["a", "b", "c"]))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(20180101, 20180103)), min_size=1, max_size=8),
+       st.lists(st.tuples(st.integers(0, 3), vals), max_size=10),
+       st.lists(st.tuples(st.integers(0, 3), vals), max_size=10),
+       st.lists(st.tuples(st.integers(0, 3), vals), max_size=4, unique_by=lambda r: r[0]))
+def test_factorised_geo_reports_equal_row_level(spark, acts, funnel, cohort, prim):
+    activations = spark.createDataFrame(
+        [(100 + i, 1000 + i, d, link) for i, (link, d) in enumerate(acts)],
+        "account_id long, subscrn_id long, signup_date int, current_connected_to_account_id long")
+    geo_rows = spark.createDataFrame(
+        [(link, 5000 + i, "US", "R", v, v) for i, (link, v) in enumerate(funnel)],
+        "account_id long, subscrn_id long, country_iso_code string, de_region_desc string, "
+        "subdivision_desc string, region string")
+    rpt = spark.createDataFrame(cohort, "current_connected_to_account_id long, geo_desc string")
+    ag = spark.createDataFrame([(link, "US", v) for link, v in prim],
+                               "account_id long, prim_country_iso_code string, prim_subdivision_iso_code string")
+    # the as-written funnel geography repeats each funnel row once per activation of its link
+    mult = activations.groupBy(F.col("current_connected_to_account_id").alias("account_id")).count()
+    bag = geo_rows.join(mult, "account_id").withColumn("r", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
+    bag = bag.drop("count", "r")
+    wide = geo.wide_geo(activations, bag, ag, rpt, "US")
+    want_m = {tuple(r) for r in geo.missingness_crosstab_rows(wide).collect()}
+    got_m = {tuple(r) for r in geo.missingness_by_source(activations, geo_rows, ag, rpt, "US").collect()}
+    assert got_m == want_m
+    mm = {"X": ["a"], "Y": ["b"]}
+    want_r = {tuple(r) for r in geo.market_region_rollup(wide, mm, 20180103).collect()}
+    got_r = {tuple(r) for r in geo.market_region_rollup_by_source(activations, geo_rows, ag, rpt, "US", mm,
+                                                                  20180103).collect()}
+    assert got_r == want_r
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 28)), max_size=15),
+       st.lists(st.tuples(st.integers(0, 2), st.integers(1, 28)), max_size=15),
+       st.integers(0, 2), st.integers(0, 3))
+def test_band_join_brute_force(spark, left, right, before, after):
+    lf = spark.createDataFrame([(k, 20180200 + d, i) for i, (k, d) in enumerate(left)], "a int, d int, li int")
+    rf = spark.createDataFrame([(k, 20180200 + d, i) for i, (k, d) in enumerate(right)], "b int, e int, ri int")
+    got = sorted(tuple(r) for r in J.band_join(lf, rf, "a", "b", "d", "e", before, after).select("li", "ri").collect())
+    want = sorted((i, j) for i, (k, d) in enumerate(left) for j, (k2, e) in enumerate(right)
+                  if k == k2 and e - before <= d <= e + after)
+    assert got == want
