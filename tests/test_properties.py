@@ -112,3 +112,49 @@ def test_band_join_brute_force(spark, left, right, before, after):
     want = sorted((i, j) for i, (k, d) in enumerate(left) for j, (k2, e) in enumerate(right)
                   if k == k2 and e - before <= d <= e + after)
     assert got == want
+
+
+from pyspark.sql import Window  # noqa: E402
+
+from churnlens.plans import partners  # noqa: E402
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(20180101, 20180105)), min_size=1, max_size=8),
+       st.lists(st.tuples(st.integers(0, 3), st.integers(1, 9), vals), max_size=12),
+       st.lists(st.tuples(st.integers(0, 3), vals), max_size=4, unique_by=lambda r: r[0]))
+def test_attach_primary_geo_equals_join_then_row_number(spark, acts, funnel, prim):
+    activations = spark.createDataFrame(
+        [(100 + i, 1000 + i, d, link) for i, (link, d) in enumerate(acts)],
+        "account_id long, subscrn_id long, signup_date int, current_connected_to_account_id long")
+    nm = spark.createDataFrame([(link, sub, "US", "R", v, v) for link, sub, v in funnel],
+                               "account_id long, subscrn_id long, country_iso_code string, de_region_desc string, "
+                               "subdivision_desc string, region string")
+    ag = spark.createDataFrame([(link, "US", v) for link, v in prim],
+                               "account_id long, prim_country_iso_code string, prim_subdivision_iso_code string")
+    got = {tuple(r) for r in geo.attach_primary_geo(activations, nm, ag, "US").collect()}
+    # row level: join every funnel row, keep the first by (funnel subscription, other funnel columns)
+    j = (activations.alias("s")
+         .join(nm.alias("n"), F.col("n.account_id") == F.col("s.current_connected_to_account_id"), "left")
+         .join(ag.alias("g"), F.col("g.account_id") == F.col("s.current_connected_to_account_id"), "left"))
+    order = [F.col("n." + c).asc_nulls_first() for c in
+             ["subscrn_id", "country_iso_code", "de_region_desc", "subdivision_desc", "region"]]
+    w = Window.partitionBy("s.account_id", "s.subscrn_id").orderBy(*order)
+    want = {tuple(r) for r in j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
+        "s.account_id", "s.subscrn_id", "s.signup_date", "s.current_connected_to_account_id", "n.country_iso_code",
+        "n.subdivision_desc", "n.de_region_desc", "n.region", "g.prim_subdivision_iso_code").collect()}
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 1)), min_size=1, max_size=15),
+       st.lists(st.tuples(st.integers(0, 4), st.sampled_from(["h1", "h2", "h3"])), max_size=10))
+def test_top_accounts_equals_counting_over_handle_rows(spark, subs, handles):
+    s = spark.createDataFrame([(acct, 100 + i, rj) for i, (acct, rj) in enumerate(subs)],
+                              "account_id long, subscrn_id long, is_rejoin int")
+    h = spark.createDataFrame(handles, "account_id long, pai string").distinct()
+    got = [tuple(r) for r in partners.top_accounts_by_subs(s, h, 3).collect()]
+    rows_ = s.filter("is_rejoin = 1").join(h, "account_id", "left")
+    want = [tuple(r) for r in rows_.groupBy("pai", "account_id").agg(F.count_distinct("subscrn_id").alias("num_subs"))
+            .orderBy(F.col("num_subs").desc(), F.col("pai").asc_nulls_first(), F.col("account_id")).limit(3).collect()]
+    assert got == want
