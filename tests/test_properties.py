@@ -158,3 +158,28 @@ def test_top_accounts_equals_counting_over_handle_rows(spark, subs, handles):
     want = [tuple(r) for r in rows_.groupBy("pai", "account_id").agg(F.count_distinct("subscrn_id").alias("num_subs"))
             .orderBy(F.col("num_subs").desc(), F.col("pai").asc_nulls_first(), F.col("account_id")).limit(3).collect()]
     assert got == want
+
+
+from churnlens.plans import payments  # noqa: E402
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["1", "2", "3", "null"]), st.sampled_from(["A", "B"])), max_size=8),
+       st.lists(st.tuples(st.integers(1, 3), st.integers(20181030, 20181102), st.one_of(st.none(), st.integers(0, 1))),
+                max_size=8),
+       st.lists(st.tuples(st.integers(1, 3), st.integers(20181230, 20190102)), max_size=8))
+def test_fraud_status_equals_distinct_of_row_level(spark, reports, subs, cbs):
+    matched = spark.createDataFrame([(a, "US", f"R{i}", reason) for i, (a, reason) in enumerate(reports)],
+                                    "acct_id string, country_code string, referenceId string, fraud_reason_text string")
+    s = spark.createDataFrame(subs, "account_id long, signup_date int, fraud_flag int")
+    c = spark.createDataFrame(cbs, "account_id long, cb_event_utc_date int")
+    got = sorted(tuple(r) for r in payments.fraud_chargeback_status(matched, s, c, 20181101, 20190101)
+                 .select("acct_id", "referenceId", "fraud_reason_text", "fraud_flag", "cb_t_f").collect())
+    # as written: join every subscription and chargeback, require both, then keep distinct rows
+    key = F.col("acct_id").try_cast("bigint")
+    rows_ = (matched.filter(F.col("acct_id") != "null")
+             .join(s.filter("signup_date >= 20181101").alias("a"), key == F.col("a.account_id"), "inner")
+             .join(c.filter("cb_event_utc_date >= 20190101").alias("cb"), key == F.col("cb.account_id"), "inner")
+             .select("acct_id", "referenceId", "fraud_reason_text", "a.fraud_flag", F.lit(1).alias("cb_t_f"))
+             .distinct())
+    assert got == sorted(tuple(r) for r in rows_.collect())
