@@ -36,13 +36,14 @@ RUNS = "anchor bigint, cls bigint, key bigint, tag bigint, start int, n int"
 
 def anchor_runs(codes: np.ndarray, off: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
     """Runs of a slice: document index, first window (relative to the
-    document), number of windows, anchor hash, content hash.
+    document), number of windows, anchor hash, place of the anchor in the
+    first window, content hash.
 
     codes: one 64-bit code per symbol; off: where documents begin."""
     n = len(codes)
     if n < length:
         empty = np.zeros(0, np.int64)
-        return {"doc": empty, "start": empty, "n": empty, "anchor": empty.view(np.uint64), "cls": empty.view(np.uint64)}
+        return {"doc": empty, "start": empty, "n": empty, "shift": empty, "anchor": empty.view(np.uint64), "cls": empty.view(np.uint64)}
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(codes * K.powers(K.BASE, n), out=prefix[1:])
     grams = K.mix((prefix[k:] - prefix[:-k]) * K.powers(K.BASE_INV, n)[: n - k + 1])
@@ -64,7 +65,7 @@ def anchor_runs(codes: np.ndarray, off: np.ndarray, length: int, k: int) -> dict
     last = end - 1 + length
     spans = (prefix[last] - prefix[first]) * K.powers(K.BASE_INV, n + 1)[first]
     cls = K.mix(spans ^ ((end - first).astype(np.uint64) << np.uint64(40)))
-    return {"doc": doc, "start": first - off[doc], "n": end - first, "anchor": grams[at[first]], "cls": cls}
+    return {"doc": doc, "start": first - off[doc], "n": end - first, "shift": at[first] - first, "anchor": grams[at[first]], "cls": cls}
 
 
 def runs_of(base: DataFrame, symbols: Callable, length: int, k: int) -> DataFrame:
@@ -89,12 +90,12 @@ def runs_of(base: DataFrame, symbols: Callable, length: int, k: int) -> DataFram
 
 def classified(runs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
     """(runs that repeat an earlier one entirely, first runs to look at
-    window by window).  Both steps are written tables: what follows reads
-    them several times, and a lost executor costs a re-read.
+    window by window).  Each step is a written table: a lost executor costs
+    a re-read, and both sides of a join are then plain shuffles, which AQE
+    can split where an anchor is hot.  The group-bys reduce before they
+    shuffle.
 
-    within: whether an earlier place in the same document counts.  The
-    group-bys reduce before they shuffle, and both joins can be split by
-    AQE where an anchor is hot."""
+    within: whether an earlier place in the same document counts."""
     stats = [F.min("cls").alias("c0"), F.max("cls").alias("c1")]
     if within:
         shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *stats).where("c > 1")
@@ -102,9 +103,9 @@ def classified(runs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
     else:
         shared = runs.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), *stats).where("lo < hi")
         order = F.col("key")
-    shared = shared.select("anchor", (F.col("c0") != F.col("c1")).alias("several"))
+    shared = written(shared.select("anchor", (F.col("c0") != F.col("c1")).alias("several")), "shared")
     hits = written(runs.join(shared, "anchor"), "hits")
-    first = hits.groupBy("anchor", "cls").agg(F.min(order).alias("first"))
+    first = written(hits.groupBy("anchor", "cls").agg(F.min(order).alias("first")), "first")
     repeats = order > F.col("first")
     placed = hits.join(first, ["anchor", "cls"]).where(repeats | F.col("several"))
     placed = written(placed.select("anchor", "key", "tag", "start", "n", repeats.alias("whole")), "placed")

@@ -119,6 +119,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = edge_windows(base.join(lists, ["key", "tag"]).select("key", "tag", "text", "edges"), min_words)
     windows = written(windows, "windows")
     least = windows.groupBy("anchor", "win").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    least = written(least.select("anchor", "win", "lo"), "least")
     repeated = windows.join(least, ["anchor", "win"]).where("key > lo").select("key", "tag", "start", F.lit(1).alias("n"))
     spans = R.by_document(whole.unionByName(repeated), "spans", "start", "n")
     cut = cut_words(base.join(spans, ["key", "tag"], "left"), min_words, separators)
