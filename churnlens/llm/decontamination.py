@@ -145,6 +145,34 @@ class ItemIndex:
         found = starts[total + self.slack >= THRESHOLD - 1e-9]
         return found // self.blocks, found % self.blocks, seg_first
 
+    def scored(self, at, term, doc, seg_first, segs, blocks) -> Iterator[tuple[int, int, float]]:
+        """(segment, item, score) of the candidate blocks' items that reach
+        the threshold; a passage's distinct terms meet their postings."""
+        windows, place = np.unique(segs, return_inverse=True)
+        which = np.searchsorted(doc, at, side="right") - 1
+        seg = seg_first[which] + (at - doc[which]) // self.longest
+        # a word counts for the passage of its segment and of the one before
+        earlier = np.flatnonzero(seg > seg_first[which])
+        seg, term = np.concatenate([seg, seg[earlier] - 1]), np.concatenate([term, term[earlier]])
+        window = K.lookup(windows, seg) if len(windows) else np.full(len(seg), -1)
+        use = window >= 0
+        pairs = np.unique(window[use] * len(self.vocabulary) + term[use])
+        window, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        chunk = max(1, (1 << 22) // max(1, len(self.ids)))
+        for low in range(0, len(windows), chunk):
+            size = min(chunk, len(windows) - low)
+            wanted = np.zeros((size, self.blocks), dtype=bool)
+            mine = (place >= low) & (place < low + size)
+            wanted[place[mine] - low, blocks[mine]] = True
+            a, b = np.searchsorted(window, [low, low + size])
+            n = self.first[term[a:b] + 1] - self.first[term[a:b]]
+            post = np.repeat(self.first[term[a:b]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, item = np.repeat(window[a:b] - low, n), self.item[post]
+            keep = wanted[row, item // BLOCK]
+            score = np.bincount(row[keep] * len(self.ids) + item[keep], weights=self.impact[post[keep]], minlength=size * len(self.ids))
+            for hit in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist():
+                yield int(windows[low + hit // len(self.ids)]), hit % len(self.ids), float(score[hit])
+
     def matches(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float, int, float, float]]:
         """(document, item, score, first word, question and answer overlap)
         of verified items; the best passage of each document and item."""
@@ -153,23 +181,15 @@ class ItemIndex:
             return
         segs, blocks, seg_first = self.candidates(at, term, doc, self.longest)
         best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
-        for s, b in zip(segs.tolist(), blocks.tolist()):
+        for s, item, score in self.scored(at, term, doc, seg_first, segs, blocks):
             d = int(np.searchsorted(seg_first, s, side="right")) - 1
             begin = int(doc[d]) + (s - int(seg_first[d])) * self.longest
-            end = min(begin + 2 * self.longest, int(doc[d + 1]))
-            here = np.unique(term[np.searchsorted(at, begin) : np.searchsorted(at, end)])
-            n = self.first[here + 1] - self.first[here]
-            post = np.repeat(self.first[here], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            post = post[self.item[post] // BLOCK == b]
-            score = np.bincount(self.item[post] - b * BLOCK, weights=self.impact[post], minlength=BLOCK)
-            window = words[begin:end]
-            for i in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist():
-                item = b * BLOCK + i
-                share = [float(np.isin(g, grams(window, n)).mean()) if n else 1.0 for n, g in self.parts[item]]
-                if min(share) >= OVERLAP - 1e-9:
-                    found = (float(score[i]), begin - int(doc[d]), share[0], share[1])
-                    if found > best.get((d, item), (-1.0,)):
-                        best[d, item] = found
+            window = words[begin : min(begin + 2 * self.longest, int(doc[d + 1]))]
+            share = [float(np.isin(g, grams(window, n)).mean()) if n else 1.0 for n, g in self.parts[item]]
+            if min(share) >= OVERLAP - 1e-9:
+                found = (score, begin - int(doc[d]), share[0], share[1])
+                if found > best.get((d, item), (-1.0,)):
+                    best[d, item] = found
         for (d, item), (score, begin, question, answer) in sorted(best.items()):
             yield d, self.ids[item], score, begin, question, answer
 
