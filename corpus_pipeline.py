@@ -1,14 +1,55 @@
-"""Cleaning pipeline over ``documents``: five stages, each a written table."""
+"""Cleaning pipeline over ``documents``: five stages, each a written table.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that the stage
+before kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from churnlens.llm.decontamination import decontaminate
 from churnlens.llm.frames import documents, written
+from churnlens.llm.jaccard_join import one_per_class
+from churnlens.llm.pieces import encode_pieces
+from churnlens.llm.quality_rules import quality_rules
+from churnlens.llm.substring_dedup import substring_dedup
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail a rule are cut; documents that are rejected go."""
+    return quality_rules(docs).where("kept").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return one_per_class(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document also holds are cut out."""
+    return substring_dedup(docs).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the piece ids of every text."""
+    return encode_pieces(docs, samples=0)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
 
-#: Near-duplicate classes and sampled segmentations are not expressible in SQL;
+#: Near-duplicate classes and the model's encoding are not expressible in SQL;
 #: ``tests/llm/test_pipeline.py`` compares run() with a brute-force version.
 ORACLE_SQL = None
 
