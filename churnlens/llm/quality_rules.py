@@ -116,7 +116,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
     })
     out = out.withColumn(wrap("kept"), ~F.col(wrap("base_failed")) & (F.col(wrap("loss")) <= max_loss))
     rest = [F.array_join(wrap("cleaned"), "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
-    return out.select(*rest, *[F.col(wrap(c)).alias(c) for c in RESULTS])
+    # a generator of one row: a filter on the results stays above it, instead
+    # of being evaluated a second time, expression by expression, below
+    return out.select(F.inline(F.array(F.struct(*rest, *[F.col(wrap(c)).alias(c) for c in RESULTS]))))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
