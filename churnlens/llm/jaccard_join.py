@@ -43,6 +43,7 @@ RECALL = 0.999
 MAX_HASHES = 160
 #: Classes of one side of a comparison.
 BLOCK = 128
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def choose_bands(threshold: float, recall: float, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -227,7 +228,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id, and the number of rows at the threshold or above."""
     base = keyed(docs, id_col, text_col)
     found = joined(base, n, threshold, recall)
-    every = base.where(~has_id() | (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]")) == 0)).select(
+    every = base.where(~has_id() | ~F.col("text").rlike(WORD)).select(
         F.when(has_id(), F.col("key")).alias(id_col), F.when(has_id(), F.col("key")).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return found.select(F.col("key").alias(id_col), "class_id", "n_links").unionByName(every)
 
@@ -241,7 +242,7 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = found.where(F.col("stays") != F.struct("key", "tag")).select("key", "tag").distinct()
     left = base.join(gone, ["key", "tag"], "left_anti")
     # repeated rows of the document that stays are copies too
-    worded = has_id() & (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]")) > 0)
+    worded = has_id() & F.col("text").rlike(WORD)
     kept = left.where(worded).dropDuplicates(["key", "tag"]).unionByName(left.where(~worded))
     return unkeyed(kept, docs, text_col, None)
 

@@ -193,6 +193,14 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
     that several tasks share, the first of each string (``open``)."""
 
     def one(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        # a repeated row gives the same fragment again: one of them stands for both
+        same = np.ones(batch.num_rows, dtype=bool)
+        same[:1] = False
+        for x in ("anchor", "key", "start", "tag"):
+            values = batch.column(x).to_numpy()
+            same[1:] &= values[1:] == values[:-1]
+        if same.any():
+            batch = batch.filter(pa.array(~same))
         content = batch.column("content").combine_chunks().cast(pa.large_binary())
         _, o, data = content.buffers()
         off = np.frombuffer(o, np.int64)[content.offset : content.offset + len(content) + 1]
@@ -244,7 +252,7 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
         return full + 1 + int(after[0]) if len(after) else 0
 
     salt = F.pmod(F.xxhash64("key", "start"), F.col("parts"))
-    dealt = frags.repartition("anchor", salt).sortWithinPartitions("anchor", "key", "start")
+    dealt = frags.repartition("anchor", salt).sortWithinPartitions("anchor", "key", "start", "tag")
     return dealt.mapInArrow(emit, FOUND)
 
 
