@@ -45,10 +45,12 @@ def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def missingness_crosstab(df: DataFrame, cols: Mapping[str, str], count_name: str = "cnt") -> DataFrame:
+def missingness_crosstab(df: DataFrame, cols: Mapping[str, str], count_name: str = "cnt",
+                         weight: str | None = None) -> DataFrame:
     """Row counts per combination of NULL indicators.
 
-    ``cols`` maps an output flag name to the column tested for NULL.
+    ``cols`` maps an output flag name to the column tested for NULL;
+    ``weight`` names a column of row counts, for pre-aggregated input.
     """
     flags = [F.when(F.col(c).isNull(), F.lit(1)).otherwise(F.lit(0)).alias(name) for name, c in cols.items()]
-    return df.groupBy(*flags).agg(F.count(F.lit(1)).alias(count_name))
+    return df.groupBy(*flags).agg((F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")).alias(count_name))

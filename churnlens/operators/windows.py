@@ -22,10 +22,10 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) ->
     """One row per key: the row that sorts first on ``order_by`` (ascending,
     NULLs first), i.e. ``row_number() over (partition by keys order by ...) = 1``.
 
-    Written as ``min(struct(order_by..., rest...))`` per key, a hash
-    aggregate that keeps only one candidate per key in every map task before
-    the shuffle: a key holding a third of all rows costs one row per task,
-    not one sort of a third of the data.
+    Written as ``min(struct(order_by..., rest...))`` per key.  A struct has no
+    fixed-width buffer, so Spark plans a sort-based aggregate: each map task
+    sorts its rows by key and keeps one candidate per key before the shuffle.
+    A key holding a third of all rows then costs one row per task.
     """
     keys = list(keys)
     order_by = list(order_by)

@@ -90,9 +90,10 @@ def postal_attribution(signups: DataFrame, periods: DataFrame, payments: DataFra
                        country: str | None, partners: Iterable[str], p1_since: int, pay_country: str | None = None,
                        before: int = 1, after: int = 2,
                        slices: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """Signups with the postal code of payment events on the signup day
-    or within ``after`` days after it (the band ``event - before <= signup
-    <= event + after`` plus ``signup <= event``).
+    """Signups with the postal code of payment events on the signup day or
+    up to ``before`` days after it: the original's band ``event - before <=
+    signup <= event + after`` together with its ``signup <= event``, which
+    leaves ``after`` without effect.
 
     The original unions the same query over six overlapping event-date
     slices, repeating an event up to three times.  Here the event fact is
@@ -118,9 +119,8 @@ def postal_attribution(signups: DataFrame, periods: DataFrame, payments: DataFra
         days = bounds.select(F.explode(F.sequence(int_date_to_date("slice_lo"), int_date_to_date("slice_hi")))
                              .alias("d")).select(int_date("d").alias("slice_day"))
         peh = peh.join(F.broadcast(days), F.col("event_utc_date") == F.col("slice_day")).drop("slice_day")
-    j = band_join(alloc, peh, "account_id", "pay_account_id", "signup_date", "event_utc_date", before, after)
-    return (j.filter(F.col("signup_date") <= F.col("event_utc_date"))
-            .select("account_id", "subscrn_id", "signup_date", "partner_name", "signup_pmt_type_desc",
+    j = band_join(alloc, peh, "account_id", "pay_account_id", "signup_date", "event_utc_date", before, min(after, 0))
+    return (j.select("account_id", "subscrn_id", "signup_date", "partner_name", "signup_pmt_type_desc",
                     "p1_possible_complete_cnt", "p1_invol_cancel_cnt", "p1_vol_cancel_cnt",
                     "mop_postal_code", "bin_metadata_type", "event_utc_date", "event_utc_ms_ts"))
 
@@ -292,9 +292,11 @@ def wide_geo(activations: DataFrame, geo: DataFrame, account_geo: DataFrame, coh
              country: str) -> DataFrame:
     """All three geography sources side by side, without dedupe.
 
-    Output rows per activation = funnel rows x report rows of its link (the
-    original's fan-out, kept because the row counts are what the missing-
-    source and roll-up reports measure).  Those reports are also available
+    ``geo`` holds each funnel row once (``activation_geo`` with
+    ``multiplicity=False``): the original's sub-select does not join the
+    activations.  Output rows per activation = funnel rows x report rows of
+    its link (the original's fan-out, kept because the row counts are what
+    the missing-source and roll-up reports measure).  Those reports are also available
     in factorised form (:func:`missingness_by_source`,
     :func:`market_region_rollup`) that never builds the pairs.
     """
@@ -324,15 +326,10 @@ def missingness_crosstab_rows(wide: DataFrame) -> DataFrame:
     return missingness_crosstab(wide, MISSING_FLAGS)
 
 
-def _link_value_counts(activations: DataFrame, geo_rows: DataFrame, value: str) -> DataFrame:
-    """Rows per (link, value) of the as-written funnel geography: each
-    distinct funnel row counts once per activation sharing its link."""
-    mult = (activations.groupBy(F.col("current_connected_to_account_id").alias("m_link"))
-            .agg(F.count(F.lit(1)).alias("m_n")))
-    per_value = (geo_rows.groupBy(F.col("account_id").alias("nm_link"), F.col(value).alias("nm_v"))
-                 .agg(F.count(F.lit(1)).alias("nm_n")))
-    return (per_value.join(mult, per_value["nm_link"] == mult["m_link"], "inner")
-            .select("nm_link", "nm_v", (F.col("nm_n") * F.col("m_n")).alias("nm_n")))
+def _link_value_counts(geo_rows: DataFrame, value: str) -> DataFrame:
+    """Funnel rows per (link, value)."""
+    return (geo_rows.groupBy(F.col("account_id").alias("nm_link"), F.col(value).alias("nm_v"))
+            .agg(F.count(F.lit(1)).alias("nm_n")))
 
 
 def _report_value_counts(cohort: DataFrame, value: str) -> DataFrame:
@@ -356,7 +353,7 @@ def missingness_by_source(activations: DataFrame, geo_rows: DataFrame, account_g
     product of the two counts: work and output are bounded by the number of
     activations and links, whatever the number of rows per link.
     """
-    nm = (_link_value_counts(activations, geo_rows, "region")
+    nm = (_link_value_counts(geo_rows, "region")
           .groupBy("nm_link", F.col("nm_v").isNull().alias("nm_null")).agg(F.sum("nm_n").alias("nm_n")))
     rpt = (_report_value_counts(cohort, "geo_desc")
            .groupBy("rpt_link", F.col("rpt_v").isNull().alias("rpt_null")).agg(F.sum("rpt_n").alias("rpt_n")))
@@ -366,12 +363,12 @@ def missingness_by_source(activations: DataFrame, geo_rows: DataFrame, account_g
     j = (s.join(nm, link == nm["nm_link"], "left")
          .join(ag, link == ag["geo_account_id"], "left")
          .join(rpt, link == rpt["rpt_link"], "left"))
-    weight = F.coalesce(F.col("nm_n"), F.lit(1)) * F.coalesce(F.col("rpt_n"), F.lit(1))
-    return (j.groupBy(
-                F.when(F.col("prim_subdivision_iso_code").isNull(), 1).otherwise(0).alias("geo_acct_missing_t_f"),
-                F.when(F.coalesce(F.col("nm_null"), F.lit(True)), 1).otherwise(0).alias("nm_geo_missing_t_f"),
-                F.when(F.coalesce(F.col("rpt_null"), F.lit(True)), 1).otherwise(0).alias("rpt_missing_t_f"))
-            .agg(F.sum(weight).cast("bigint").alias("cnt")))
+    known = j.select(
+        "prim_subdivision_iso_code",
+        F.when(~F.coalesce(F.col("nm_null"), F.lit(True)), 1).alias("region"),
+        F.when(~F.coalesce(F.col("rpt_null"), F.lit(True)), 1).alias("geo_desc"),
+        (F.coalesce(F.col("nm_n"), F.lit(1)) * F.coalesce(F.col("rpt_n"), F.lit(1))).alias("n_rows"))
+    return missingness_crosstab(known, MISSING_FLAGS, weight="n_rows")
 
 
 def market_region_rollup_by_source(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame,
@@ -387,7 +384,7 @@ def market_region_rollup_by_source(activations: DataFrame, geo_rows: DataFrame,
     otherwise one state per report value.  Each activation thus yields at
     most (distinct funnel values + distinct report values + 1) rows.
     """
-    nm = _link_value_counts(activations, geo_rows, "subdivision_desc")
+    nm = _link_value_counts(geo_rows, "subdivision_desc")
     nm_tot = nm.groupBy(F.col("nm_link").alias("t_link")).agg(
         F.sum("nm_n").alias("n1"), F.sum(F.when(F.col("nm_v").isNull(), F.col("nm_n"))).alias("n1_null"))
     rpt = _report_value_counts(cohort, "geo_desc")

@@ -237,7 +237,7 @@ def _cohort_geo(t: Warehouse) -> DataFrame:
 
 
 def _wide(t: Warehouse) -> DataFrame:
-    return geo.wide_geo(_activations(t), _activation_geo(t), t.account_geo, t.partner_cohort, P["country"])
+    return geo.wide_geo(_activations(t), _activation_geo(t, False), t.account_geo, t.partner_cohort, P["country"])
 
 
 def q_activation_geo(s, d): return _activation_geo(_t(s, d))

@@ -510,8 +510,8 @@ def _approved_lines(t: Tables, linestatus: str) -> DataFrame:
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(F.broadcast(issuer), (F.col("p_size") % 25) == F.col("i_key"))
-            .join(F.broadcast(group), F.col("i_desc") == F.col("g_desc"), "left")
+            .join(issuer, (F.col("p_size") % 25) == F.col("i_key"))
+            .join(group, F.col("i_desc") == F.col("g_desc"), "left")
             .select(
                 int_date(F.add_months(F.col("l_shipdate").cast("date"), 276)).alias("event_utc_date"),
                 F.concat(F.lit("PROC_"), (F.col("l_linenumber") % 3).cast("string")).alias("processor"),

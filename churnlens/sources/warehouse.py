@@ -5,9 +5,9 @@ stored them with ``create table ... as``).  ``Warehouse`` writes each
 domain view once per input folder to the shared checkpoint folder
 (``spark.checkpoint.dir``) and reads it back, which
 
-- turns property maps and integer dates into stored columns, so map-key
-  predicates and date ranges are evaluated on stored values and reach the
-  Parquet scan (``PushedFilters``, row-group skipping on date-sorted files);
+- turns integer dates into stored columns, so date ranges reach the Parquet
+  scan (``PushedFilters``, row-group skipping on date-sorted files); property
+  maps are stored as maps, and predicates on their keys run above the scan;
 - cuts lineage at a written table in the shared folder, so a lost executor
   re-reads files instead of recomputing the adapter joins;
 - builds each adapter join once instead of once per analysis.
@@ -21,13 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-import logging
 import os
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from churnlens.functions import dates as _dates
 from churnlens.functions import values as _values
@@ -74,13 +72,6 @@ VIEWS = {
 }
 
 
-# Views whose size is fixed by definition (derived from the 25-row nation
-# and 5-row region tables: geography and issuer catalogues).  Only these are
-# broadcast explicitly; every other join side is left to AQE, which
-# broadcasts only after measuring the side under the threshold.
-BOUNDED = {"geo_market", "geo_postal", "geo_subdivision", "geo_country", "institution", "institution_group"}
-
-
 def _jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -93,7 +84,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _complete_attempts(spark: SparkSession, folder: str) -> list[str]:
-    """Attempt folders under ``folder`` whose write committed (``_SUCCESS``)."""
+    """Attempt folders under ``folder`` whose write committed (``_SUCCESS``),
+    newest first."""
     fs, p = _jvm_fs(spark, folder)
     if not fs.exists(p):
         return []
@@ -102,8 +94,8 @@ def _complete_attempts(spark: SparkSession, folder: str) -> list[str]:
         child = st.getPath().toString()
         if st.isDirectory() and st.getPath().getName().startswith("attempt-") \
                 and _exists(spark, child + "/_SUCCESS"):
-            out.append(child)
-    return sorted(out)
+            out.append((-st.getModificationTime(), child))
+    return [child for _, child in sorted(out)]
 
 
 def _fingerprint(spark: SparkSession, root: str, version: str | None = None) -> str:
@@ -118,7 +110,7 @@ def _fingerprint(spark: SparkSession, root: str, version: str | None = None) ->
     for module in (ad, _dates, _values):  # the rules that define the views
         h.update(inspect.getsource(module).encode())
     h.update(inspect.getsource(Warehouse).encode())  # and the storage layout
-    h.update(repr((sorted(VIEWS), sorted(PARTITIONED), sorted(BOUNDED))).encode())
+    h.update(repr((sorted(VIEWS), sorted(PARTITIONED))).encode())
     if version is not None:
         h.update(f"version:{version}".encode())
     else:
@@ -176,8 +168,9 @@ class Warehouse:
 
         Every write goes to its own ``attempt-<id>`` folder and is never
         overwritten, so concurrent builders (threads or jobs) cannot clash:
-        readers take the first committed attempt, and all attempts hold the
-        same rows.  ``force`` always writes (and then uses) a fresh attempt.
+        readers take the newest committed attempt, and all attempts hold the
+        same rows.  ``force`` always writes (and then uses) a fresh attempt;
+        :meth:`drop` removes the others.
         """
         folder = self._path(name)
         if not force:
@@ -189,14 +182,26 @@ class Warehouse:
         path = os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
         writer = (df.sortWithinPartitions(sort_col) if sort_col is not None else df).write.mode("errorifexists")
         if name in PARTITIONED:
-            # one file per (task, day): cluster each day's rows into one task first
-            writer = df.repartition(sort_col).sortWithinPartitions(sort_col).write.mode("errorifexists") \
+            # cluster by day; AQE splits a day that is larger than the advisory
+            # partition size over several tasks (and files)
+            writer = df.hint("rebalance", sort_col).sortWithinPartitions(sort_col).write.mode("errorifexists") \
                        .partitionBy(sort_col)
         writer.parquet(path)
         if force:
             self._forced[name] = path
         return path
 
+    def drop(self, name: str, keep: str | None = None) -> None:
+        """Delete the stored attempts of a view (but ``keep``).  For callers
+        who know that nothing reads them any more."""
+        for path in _complete_attempts(self.spark, self._path(name)):
+            if path.rstrip("/").rsplit("/", 1)[-1] != (keep or "").rstrip("/").rsplit("/", 1)[-1]:
+                fs, p = _jvm_fs(self.spark, path)
+                fs.delete(p, True)
+        views = _state(self.spark)["views"]
+        for key in [k for k in views if k[0] == self.root and k[2] == name]:
+            del views[key]
+
     def prepare(self, names=None, force: bool = False, parallel: int = 8) -> None:
         """Build several views at once: each build is an independent Spark
         job, and jobs submitted from different threads share the cluster."""
@@ -213,22 +218,13 @@ class Warehouse:
 
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
-            df = VIEWS[name][0](self.tables)
-            return F.broadcast(df) if name in BOUNDED else df
+            return VIEWS[name][0](self.tables)
         path = self._forced.get(name) or None
         views = _state(self.spark)["views"]
         key = (self.root, self.version, name, path)
         if key not in views:
-            try:
-                views[key] = self.spark.read.parquet(path or self.build(name))
-            except Exception as exc:  # noqa: BLE001 - any storage failure
-                # The shared folder cannot be written or read: fall back to
-                # the lazy adapter plan (same rows, recomputed per analysis).
-                logging.getLogger(__name__).warning("view %s not materialised (%s); using the lazy plan",
-                                                    name, str(exc).splitlines()[0][:200])
-                views[key] = VIEWS[name][0](self.tables)
-        df = views[key]
-        return F.broadcast(df) if name in BOUNDED else df
+            views[key] = self.spark.read.parquet(path or self.build(name))
+        return views[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

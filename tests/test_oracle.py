@@ -11,7 +11,9 @@ SF = os.environ.get("CHURNLENS_ORACLE_SF", "/root/testdata/sf0.001")
 
 import __spark_entry__ as E  # noqa: E402
 
-NAMES = sorted(E.queries())
+from churnlens.plans.registry import QUERIES  # noqa: E402
+
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def con():
 
 
 def test_every_query_has_oracle_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.oracle_sql()) >= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
