@@ -132,10 +132,19 @@ class Lattice:
             starts.append(b)
             sizes.append(np.ones(len(b), np.int64))
             ids.append(pieces.byte_id[raw[b]])
-        start, length, self.piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
-        order = np.argsort(start * 64 + length)
-        start, length, self.piece = start[order], length[order], self.piece[order]
-        self.node, self.to = start + chunk[start], start + length + chunk[start]
+        start, length = np.concatenate(starts), np.concatenate(sizes)
+        node = start + chunk[start]
+        # one order serves all: by distance to the chunk's end, then by node, the
+        # longest (mostly the likeliest) piece first
+        away = left[start]
+        order = np.argsort((away << 34) | (node << 6) | (63 - np.minimum(length, 63)))
+        self.node, self.to = node[order], (node + length)[order]
+        self.piece, away = np.concatenate(ids)[order].astype(np.int32), away[order]
+        del start, length, node, order
+        group = np.flatnonzero(np.concatenate([[True], self.node[1:] != self.node[:-1]])) if len(away) else np.zeros(0, np.int64)
+        size = np.diff(np.append(group, len(away)))
+        self.first, self.stop = np.zeros(n + chunks, np.int64), np.zeros(n + chunks, np.int64)
+        self.first[self.node[group]], self.stop[self.node[group]] = group, group + size
         self.chunk_node = off[:-1] + np.arange(chunks)
         self.is_end = np.zeros(n + chunks, dtype=bool)
         self.is_end[off[1:] + np.arange(chunks)] = True
@@ -143,26 +152,20 @@ class Lattice:
         beta = np.full(n + chunks, -np.inf)
         beta[self.is_end] = 0
         # backward sums, from the chunks' ends
-        away = left[start]
-        by = np.argsort(away * (n + chunks) + self.node)
-        edge = np.searchsorted(away[by], np.arange(1, (int(away.max()) if len(away) else 0) + 2))
-        for a, b in zip(edge[:-1], edge[1:]):
+        edge = np.searchsorted(away, np.arange(1, (int(away[-1]) if len(away) else 0) + 2))
+        of = np.searchsorted(group, edge)
+        for a, b, ga, gb in zip(edge[:-1].tolist(), edge[1:].tolist(), of[:-1].tolist(), of[1:].tolist()):
             if a < b:
-                e = by[a:b]
-                node = self.node[e]
-                group = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                v = weight[e] + beta[self.to[e]]
-                top = np.maximum.reduceat(v, group)
-                beta[node[group]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(group, b - a)))), group))
+                at = group[ga:gb] - a
+                v = weight[a:b] + beta[self.to[a:b]]
+                top = np.maximum.reduceat(v, at)
+                beta[self.node[group[ga:gb]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size[ga:gb])), at))
         self.logq = weight + beta[self.to] - beta[self.node]
-        order = np.argsort(2.0 * self.node - np.exp(self.logq))  # a node's likeliest edge first
-        self.piece, self.to, self.logq = self.piece[order], self.to[order], self.logq[order]
         self.q = np.exp(self.logq)
-        self.first = np.searchsorted(self.node, np.arange(n + chunks + 1))
         total = np.concatenate([[0], np.cumsum(self.q)])
-        last = self.first[self.node + 1] - 1
-        self.reach = np.where(np.arange(len(last)) == last, 2.0, total[1:] - total[self.first[self.node]])
-        self.only = last == self.first[self.node]
+        self.reach = total[1:] - np.repeat(total[group], size)
+        self.reach[group + size - 1] = 2.0
+        self.only = np.repeat(size == 1, size)
         with np.errstate(divide="ignore"):
             self.log_rest = np.where(self.only, -np.inf, np.log(np.maximum(1 - self.q, 0)))
 
@@ -232,7 +235,7 @@ def open_branches(lattice: Lattice, paths: list[Path], seeds: np.ndarray, sample
 def left_edges(lattice: Lattice, edge: int, out) -> np.ndarray:
     """Edges that leave the same node as an edge, without some."""
     node = lattice.node[edge]
-    return np.array([e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in out], dtype=np.int64)
+    return np.array([e for e in range(lattice.first[node], lattice.stop[node]) if e not in out], dtype=np.int64)
 
 
 def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
@@ -294,30 +297,64 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
     return list(zip(paths, kappa.tolist()))
 
 
-def sampled_segmentations(pieces: Inventory, text, seeds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, list]]:
-    """For each text: [(ids, log_prob, perturbed, inclusion)]."""
-    text = pc.replace_substring(text, SPACE_MARK, " ")
-    text = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", text.type), text, pa.scalar("", text.type)))
-    for row, end, raw, off in K.slices(text, 2 * K.SLICE_BYTES):
+class Chunks:
+    """Space-led chunks of a slice of texts (each led by one more space):
+    the distinct ones, and which stands where."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray):
         space = raw == 0x20
         starts = space.copy()
         starts[1:] &= ~space[:-1]
         starts[off[:-1][np.diff(off) > 0]] = True
         first = np.flatnonzero(starts)
         last = np.append(first[1:], len(raw)).astype(np.int64)
-        doc = np.searchsorted(first, off)
-        if not len(first):
-            for _ in range(row, end):
-                yield [(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
-            continue
-        _, example, instance = np.unique(K.word_hashes(raw, first, last), return_index=True, return_inverse=True)
+        self.doc = np.searchsorted(first, off)
+        _, example, self.instance = np.unique(K.word_hashes(raw, first, last), return_index=True, return_inverse=True)
         size = (last - first)[example]
-        edge = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(first[example], size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-        lattice = Lattice(pieces, raw[at], edge)
-        for own, kappa in sampled(lattice, instance, doc, seeds[row:end], k):
-            yield [(lattice.piece[p.edges], p.log_prob, float(p.value),
-                    1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(p.log_prob - kappa, 50.0))))) for p in own]
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        self.raw = raw[np.repeat(first[example], size) + np.arange(self.off[-1]) - np.repeat(self.off[:-1], size)]
+
+    def encoded(self, sp) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, where each text's begin, and
+        whether each decodes to itself.  No piece spans two chunks, so chunks
+        are encoded once each; the model adds their first space."""
+        data, edge = self.raw.tobytes(), self.off.tolist()
+        strings = [data[a + 1 : b].decode() for a, b in zip(edge[:-1], edge[1:])]
+        # a chunk of one space alone would be an empty string to the model
+        mark = sp.piece_to_id(SPACE_MARK)
+        ids = [x or [mark] for x in sp.encode(strings, num_threads=1)]
+        same = np.array([s == t for s, t in zip(strings, sp.decode(ids, num_threads=1))], dtype=bool)
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(begin[-1]))
+        n = size[self.instance]
+        place = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin[self.instance] - place[:-1], n) + np.arange(place[-1])
+        wrong = np.concatenate([[0], np.cumsum(~same[self.instance])])
+        return flat[at], place[self.doc], wrong[self.doc[1:]] == wrong[self.doc[:-1]]
+
+
+def led_by_space(text):
+    """Texts as the model sees them; an empty text stays empty."""
+    text = pc.replace_substring(text, SPACE_MARK, " ")
+    return pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", text.type), text, pa.scalar("", text.type)))
+
+
+def drawn_samples(pieces: Inventory, chunks: Chunks, seeds: np.ndarray, k: int) -> Iterator[list]:
+    """For each text of a slice: [(ids, log_prob, perturbed, inclusion)]."""
+    if not len(chunks.instance):
+        yield from ([(np.zeros(0, np.int32), 0.0, 0.0, 1.0)] for _ in seeds)
+        return
+    lattice = Lattice(pieces, chunks.raw, chunks.off)
+    for own, kappa in sampled(lattice, chunks.instance, chunks.doc, seeds, k):
+        yield [(lattice.piece[p.edges], p.log_prob, float(p.value),
+                1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(p.log_prob - kappa, 50.0))))) for p in own]
+
+
+def sampled_segmentations(pieces: Inventory, text, seeds: np.ndarray, k: int) -> Iterator[list]:
+    """Samples of every text of an Arrow column."""
+    for row, end, raw, off in K.slices(led_by_space(text)):
+        yield from drawn_samples(pieces, Chunks(raw, off), seeds[row:end], k)
 
 
 SAMPLED = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
@@ -334,17 +371,16 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, pieces = shared.value
         sp = sentencepiece.SentencePieceProcessor(model_proto=data)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
-                text = batch.column("text")
-                strings = text.to_pylist()
-                ids = sp.encode(strings, num_threads=1)
-                back = sp.decode(ids, num_threads=1)
-                arrays = [batch.column("row"), text, pa.array(ids, pa.list_(pa.int32())), pa.array([a == b for a, b in zip(strings, back)])]
+        for batch in batches:
+            for row, end, raw, off in K.slices(led_by_space(batch.column("text"))):
+                part = batch.slice(row, end - row)
+                chunks = Chunks(raw, off)
+                ids, begin, same = chunks.encoded(sp) if len(chunks.instance) else (np.zeros(0, np.int32), np.zeros(end - row + 1, np.int64), np.ones(end - row, bool))
+                marked = pc.match_substring(part.column("text"), SPACE_MARK).to_numpy(zero_copy_only=False)
+                arrays = [part.column("row"), part.column("text"), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids)), pa.array(same & ~marked)]
                 if samples:
-                    seeds = K.mix(batch.column("key").to_numpy().astype(np.int64).view(np.uint64) * K.BASE + batch.column("tag").to_numpy().astype(np.uint64))
-                    drawn = list(sampled_segmentations(pieces, text, seeds, samples))
+                    seeds = K.mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64) * K.BASE + part.column("tag").to_numpy().astype(np.uint64))
+                    drawn = list(drawn_samples(pieces, chunks, seeds, samples))
                     flat = [x for own in drawn for x in own]
                     inner = pa.ListArray.from_arrays(
                         pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]), pa.int32()),
