@@ -31,6 +31,7 @@ empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -195,8 +196,14 @@ class Lattice:
 
 def truncated(log_mass: np.ndarray, limit, u: np.ndarray) -> np.ndarray:
     """Gumbel maxima of sets of a log mass, given that they are below ``limit``."""
-    with np.errstate(invalid="ignore"):
-        return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-limit, -log_mass + np.log(-np.log(u))))
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = limit - log_mass
+        exponential = -np.log(u)
+        near = limit - np.log1p(exponential * np.exp(gap))
+        # where the limit is far above the mass it does not matter
+        far = np.flatnonzero(gap > 600)
+        near[far] = log_mass[far] - np.log(exponential[far])
+    return near
 
 
 class Path:
@@ -326,7 +333,7 @@ class Chunks:
         same = np.array([s == t for s, t in zip(strings, sp.decode(ids, num_threads=1))], dtype=bool)
         size = np.array([len(x) for x in ids], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(begin[-1]))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(begin[-1]))
         n = size[self.instance]
         place = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(begin[self.instance] - place[:-1], n) + np.arange(place[-1])
