@@ -94,7 +94,7 @@ def test_wide_geo_counts_each_funnel_row_once(spark):
 
 def test_large_day_is_written_by_several_tasks(spark, tmp_path):
     from churnlens.sources import warehouse as wh
-    df = spark.range(400_000).select((F.col("id") % 10 // 9 + 20240101).cast("int").alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    df = spark.range(400_000).select(F.when(F.col("id") % 10 == 9, 20240102).otherwise(20240101).alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
     saved = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     try:
