@@ -26,18 +26,20 @@ def _days_in_subscription() -> Column:
     return int_date_diff("signup_dateint", "last_billing_end_date")
 
 
-def signup_cancel_reason(signups: DataFrame, billing_subs: DataFrame, partner: str, channel: str,
+def signup_cancel_reason(signups: DataFrame, billing_subs: DataFrame, partner: str | None, channel: str | None,
                          since: int) -> DataFrame:
     """Partner signup cohort with cancel reason, status, latest period and
     last billing end date (one row per subscription x reason x status).
 
     The billing side's date floor sits in the WHERE clause in the original
     report, which turns its left join into an inner join; it is written as
-    an inner join here.
+    an inner join here.  Without ``partner`` or ``channel`` all of them count.
     """
-    base = signups.filter((F.col("signup_mop_partner_name") == partner)
-                          & (F.col("acquisition_channel") == channel)
-                          & (F.col("signup_dateint") >= since))
+    base = signups.filter(F.col("signup_dateint") >= since)
+    if partner is not None:
+        base = base.filter(F.col("signup_mop_partner_name") == partner)
+    if channel is not None:
+        base = base.filter(F.col("acquisition_channel") == channel)
     bs = billing_subs.filter(F.col("billing_start_date") >= since).select(
         *SUB_KEYS, "cancellation_reason_desc", "subscrn_status",
         "latest_billing_period_nbr", "billing_end_date")
@@ -125,6 +127,7 @@ SIGNUP_COHORT_COLUMNS = [
     "account_id", "subscrn_id", "signup_date", "signup_ts", "signup_billing_partner_desc",
     "package_offer_provider_desc", "is_channel_giftcard", "is_free_trial_at_signup", "fraud_flag",
     "country_iso_code", "signup_plan_id", "latest_plan_id", "is_voluntary_cancel", "signup_device_type_id",
+    "signup_utc_ts", "is_dcb_signup", "is_mds", "is_rejoin", "latest_service_stop_date", "latest_subscrn_period_nbr",
 ]
 
 

@@ -43,19 +43,21 @@ def fraud_chargeback_status(matched: DataFrame, subs: DataFrame, chargebacks: Da
     values, and the chargeback flag is always 1.  Here the subscription side
     is reduced to distinct (account, fraud flag) and the chargeback side to
     distinct accounts before joining: the same distinct rows, without the
-    per-account pairs.  ``keep_unmatched`` keeps reports whose account has
+    per-account pairs; ``row_weight`` is the number of times the original
+    repeats the row.  ``keep_unmatched`` keeps reports whose account has
     no subscription or chargeback (flag 0).
     """
     m = matched.filter(F.col("acct_id") != "null").withColumn("acct_key", safe_cast("acct_id", "bigint"))
     a = (subs.filter(F.col("signup_date") >= sub_since)
-         .select(F.col("account_id").alias("a_account_id"), "fraud_flag").distinct())
+         .groupBy(F.col("account_id").alias("a_account_id"), "fraud_flag").agg(F.count(F.lit(1)).alias("a_rows")))
     cb = (chargebacks.filter(F.col("cb_event_utc_date") >= cb_since)
-          .select(F.col("account_id").alias("cb_account_id")).distinct())
+          .groupBy(F.col("account_id").alias("cb_account_id")).agg(F.count(F.lit(1)).alias("cb_rows")))
     how = "left" if keep_unmatched else "inner"
     return (m.join(a, m["acct_key"] == a["a_account_id"], how)
             .join(cb, m["acct_key"] == cb["cb_account_id"], how)
             .withColumn("cb_t_f", flag(F.col("cb_account_id").isNotNull()))
-            .drop("acct_key", "a_account_id", "cb_account_id"))
+            .withColumn("row_weight", F.coalesce("a_rows", F.lit(1)) * F.coalesce("cb_rows", F.lit(1)))
+            .drop("acct_key", "a_account_id", "cb_account_id", "a_rows", "cb_rows"))
 
 
 def fraud_summary(status: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ JOIN_KEYS = ["txn_type", "processor", "billing_period_nbr", "token_used", "count
 
 def chargeback_events(payments: DataFrame, since: int) -> DataFrame:
     """Chargeback events with their map properties extracted once;
-    duplicates and unknown processors removed."""
+    duplicates and unknown processors removed, amounts in units, not cents."""
     dvm = F.col("degenerate_values_map")
     cb = payments.filter((F.col("pmt_event_type") == "chargeback_transaction") & (F.col("event_utc_date") >= since))
     cb = cb.select(
@@ -92,6 +94,7 @@ def chargeback_events(payments: DataFrame, since: int) -> DataFrame:
         F.coalesce(map_get(dvm, "is_duplicate"), F.lit("false")).alias("is_duplicate"),
         map_get(F.col("dimension_sk_map"), "pmt_mop_metadata_sk").alias("pmt_mop_metadata_sk"),
         map_get(F.col("facts_map"), "record_count").alias("chargeback_cnt"),
+        (map_get(F.col("facts_map"), "chargeback_amount") / 100).alias("chargeback_amount"),
     )
     return cb.filter((F.col("is_duplicate") != "true") & not_sentinel("processor", ("--",)))
 

@@ -9,6 +9,7 @@ The matching DuckDB SQL lives in ``oracle/queries.py``.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,9 @@ P = {
     "country": "1",            # nation key as country code (subscription side)
     "country_desc": "NATION_1",
     "stb": "STANDARD",
+    "eligible_country": "NATION_7",
+    "event_country": "NATION_19",
+    "pay_country": "19",
 }
 
 # Region buckets for the driver's nation names (the fixed lists in
@@ -82,11 +86,24 @@ def _views_by_device(t: Warehouse) -> DataFrame:
 
 def q_signup_cancel_reason(s, d): return _cohort_c1(_t(s, d))
 def q_inactivity_flag(s, d): return _flagged(_t(s, d))
-def q_paid_but_inactive_sample(s, d): return cohorts.paid_but_inactive_sample(_flagged(_t(s, d)), 31, 10)
+def q_inactivity_flag_country(s, d):
+    t = _t(s, d)
+    return cohorts.inactivity_flag(_cohort_c1(t), t.device_activity, 1, P["since"], partner=P["partner"],
+                                   channel=P["channel"], country=P["country_desc"])
+
+
+def _flagged_all(t: Warehouse) -> DataFrame:
+    """Every partner and channel: ends on one given day are rare."""
+    return cohorts.inactivity_flag(
+        cohorts.signup_cancel_reason(t.signup_retention, t.billing_subscription, None, None, 19950101),
+        t.device_activity, 1, 19950101)
+
+
+def q_paid_but_inactive_sample(s, d): return cohorts.paid_but_inactive_sample(_flagged_all(_t(s, d)), 31, 10)
 def q_cancel_type_matrix(s, d): return cohorts.cancel_type_matrix(_flagged(_t(s, d)))
 def q_daily_early_cancel(s, d): return cohorts.daily_early_cancel(_flagged(_t(s, d)), 7)
 def q_days_in_subscription_hist(s, d): return cohorts.days_in_subscription_hist(_flagged(_t(s, d)), 19970101, 19991231)
-def q_cancel_reason_same_day(s, d): return cohorts.cancel_reason_same_day(_flagged(_t(s, d)), 19950101, 20011231)
+def q_cancel_reason_same_day(s, d): return cohorts.cancel_reason_same_day(_flagged_all(_t(s, d)), 19950101, 20011231)
 def q_signup_cohort(s, d): return cohorts.signup_cohort(_t(s, d).subscription, 19980101, 19980131)
 def q_title_views_by_device(s, d): return _views_by_device(_t(s, d))
 def q_subscription_outcome(s, d): return _outcome(_t(s, d))
@@ -106,7 +123,7 @@ def q_account_period_rollup(s, d):
 # --- partners ------------------------------------------------------------------------
 
 def _eligible(t: Warehouse) -> DataFrame:
-    return partners.eligible_partners(t.signup_retention, "OWN", 19980101, 19980228, P["country_desc"], "STB")
+    return partners.eligible_partners(t.signup_retention, "OWN", 19980101, 19981231, P["eligible_country"], "STB")
 
 
 def q_eligible_partners(s, d): return _eligible(_t(s, d))
@@ -115,7 +132,8 @@ def q_eligible_partners(s, d): return _eligible(_t(s, d))
 def q_partner_retention_by_pmt(s, d):
     t = _t(s, d)
     return partners.partner_retention_by_pmt(t.signup_retention, t.billing_period, _eligible(t),
-                                             19980101, 19980228, P["country_desc"], "STB", P["partner2"], 19980101)
+                                             19980101, 19981231, P["eligible_country"], "STB", P["partner2"],
+                                             19950101)
 
 
 def q_involuntary_cancel_list(s, d):
@@ -191,13 +209,17 @@ def q_ip_geo_attribution(s, d): return _ip_geo(_t(s, d))
 def q_involuntary_by_region(s, d): return geo.involuntary_by_region(_ip_geo(_t(s, d)))
 
 
-def _postal(t: Warehouse, slices=None) -> DataFrame:
-    return geo.postal_attribution(t.event_signups, t.billing_period, t.payment_event, "STB", None,
-                                  [P["partner"], P["partner2"], P["partner3"]], 19950101, None, 1, 2, slices)
+def _postal(t: Warehouse, slices=None, country=None, pay_country=None) -> DataFrame:
+    return geo.postal_attribution(t.event_signups, t.billing_period, t.payment_event, "STB", country,
+                                  [P["partner"], P["partner2"], P["partner3"]], 19950101, pay_country, 1, 2, slices)
 
 
 def q_postal_attribution(s, d): return _postal(_t(s, d))
 def q_postal_attribution_slices(s, d): return _postal(_t(s, d), POSTAL_SLICES)
+def q_postal_attribution_country(s, d):
+    return _postal(_t(s, d), None, P["event_country"], P["pay_country"])
+
+
 def q_postal_daily_rates(s, d): return geo.postal_daily_rates(_postal(_t(s, d)))
 
 
@@ -250,10 +272,14 @@ def _missing(t: Warehouse) -> DataFrame:
                                      P["country"])
 
 
-# The missing-source and roll-up reports are computed from per-link counts
-# (no activation x funnel x report rows are built); tests check them
-# against the row-level forms over ``wide_geo``.
-def q_missingness_crosstab(s, d): return _missing(_t(s, d))
+# ``missingness_by_source`` and the roll-up are computed from per-link counts
+# (no activation x funnel x report rows are built); ``missingness_crosstab``
+# applies the operator to the rows of ``wide_geo`` themselves.
+def q_missingness_crosstab(s, d):
+    return A.missingness_crosstab(_wide(_t(s, d)), {
+        "geo_acct_missing_t_f": "prim_subdivision_iso_code", "nm_geo_missing_t_f": "region", "rpt_missing_t_f": "geo_desc"})
+
+
 def q_missingness_by_source(s, d): return _missing(_t(s, d))
 
 
@@ -266,13 +292,14 @@ def q_cohort_size(s, d): return geo.cohort_size(_t(s, d).partner_cohort, P["part
 
 # --- payments ------------------------------------------------------------------------
 
-def _tag(sf_dir: str) -> str:
-    return hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+def _attempt(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A fresh folder for each write, so that earlier results stay readable."""
+    return shared_dir(spark, f"{name}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}-{uuid.uuid4().hex}")
 
 
 def q_ingest_delimited(s, d):
     t = _t(s, d)
-    path = shared_dir(s, f"fraud_file_{_tag(d)}")
+    path = _attempt(s, "fraud_file", d)
     text.write_delimited(t.fraud_file, path)
     return text.read_delimited(s, path, text.FRAUD_FILE_SCHEMA)
 
@@ -293,7 +320,7 @@ def _pipe_lines(t: Warehouse) -> DataFrame:
 
 def q_ingest_pipe_columns(s, d):
     t = _t(s, d)
-    path = shared_dir(s, f"pipe_file_{_tag(d)}")
+    path = _attempt(s, "pipe_file", d)
     # Each written file starts with two banner lines (report title and a
     # column header line), as issuer report files do.
     (_pipe_lines(t).write.mode("overwrite")
@@ -329,6 +356,9 @@ def _cube(t: Warehouse) -> DataFrame:
 
 
 def q_chargeback_cube(s, d): return _cube(_t(s, d))
+def q_chargeback_amounts(s, d):
+    return payments.chargeback_events(_t(s, d).payment_event, 20240101).select(
+        "original_txn_id", "country_code", "processor", "original_txn_utc_date", "chargeback_amount")
 def q_approved_renewals(s, d): return payments.approved_renewals(_t(s, d).renewal_agg, 20231001)
 def q_approved_rejoin_charges(s, d): return payments.approved_rejoin_charges(_t(s, d).validation_agg, 20231001)
 

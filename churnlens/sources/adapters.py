@@ -96,7 +96,15 @@ def _lines_orders_customers(t: Tables) -> DataFrame:
 def subscription(t: Tables) -> DataFrame:
     """One row per subscription (order)."""
     plan = F.substring("o_orderpriority", 1, 1).cast("int")
-    return _orders_customers(t).select(
+    latest = t.lineitem.groupBy(F.col("l_orderkey").alias("latest_orderkey")).agg(
+        F.max(int_date("l_shipdate")).alias("latest_service_stop_date"),
+        F.max("l_linenumber").alias("latest_subscrn_period_nbr"))
+    first = (t.orders.groupBy(F.col("o_custkey").alias("first_custkey"))
+             .agg(F.min("o_orderdate").alias("first_orderdate")))
+    base = (_orders_customers(t)
+            .join(latest, F.col("o_orderkey") == F.col("latest_orderkey"), "left")
+            .join(first, F.col("o_custkey") == F.col("first_custkey"), "left"))
+    return base.select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("subscrn_id"),
         int_date("o_orderdate").alias("signup_date"),
@@ -115,6 +123,12 @@ def subscription(t: Tables) -> DataFrame:
         plan.alias("signup_plan_id"),
         F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(plan).alias("latest_plan_id"),
         (F.col("c_nationkey") * 4).cast("int").alias("signup_device_type_id"),
+        F.expr("o_orderdate + INTERVAL 8 HOURS").alias("signup_utc_ts"),
+        flag(F.col("c_mktsegment") == "MACHINERY").alias("is_dcb_signup"),
+        flag(plan == 3).alias("is_mds"),
+        flag(F.col("o_orderdate") > F.col("first_orderdate")).alias("is_rejoin"),
+        "latest_service_stop_date",
+        "latest_subscrn_period_nbr",
     )
 
 
@@ -423,7 +437,9 @@ def payment_event(t: Tables) -> DataFrame:
     """Payment and chargeback events with four property maps.
 
     Keys whose value would be NULL are left out of the map, so a lookup of
-    them gives NULL the way a missing key does.
+    them gives NULL the way a missing key does.  A charge on rejoining
+    (``VALIDATE``) is of period 1 and uses no token; an account pays with
+    the payment method of its number.
     """
     k = F.col("k")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -437,10 +453,11 @@ def payment_event(t: Tables) -> DataFrame:
         F.lit("original_txn_pmt_processor"),
         F.when(k % 7 == 0, F.lit("--")).otherwise(F.concat(F.lit("PROC_"), (k % 3).cast("string"))),
         F.lit("original_txn_type"), F.when(k % 4 == 0, "VALIDATE").otherwise("SALE"),
-        F.lit("billing_period"), F.when(k % 11 == 0, F.lit("null")).otherwise((k % 3 + 1).cast("string")),
+        F.lit("billing_period"),
+        F.when(k % 11 == 0, F.lit("null")).when(k % 4 == 0, F.lit("1")).otherwise((k % 3 + 1).cast("string")),
         F.lit("retry_mode"), F.when(k % 5 == 0, "RETRY").otherwise("FIRST"),
         F.lit("original_txn_date"), (ms - k.cast("bigint") * MS_PER_DAY).cast("string"),
-        F.lit("token_used"), F.when(k % 2 == 0, "true").otherwise("false"),
+        F.lit("token_used"), F.when((k % 4 != 0) & (F.col("event_id") % 2 == 0), "true").otherwise("false"),
         F.lit("is_chained_txn"),
         F.when(k % 4 == 3, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("true")).otherwise(F.lit("false")),
         F.lit("is_duplicate"), F.when(k % 13 == 0, F.lit("true")),
@@ -452,7 +469,7 @@ def payment_event(t: Tables) -> DataFrame:
         F.lit("original_txn_id"), F.col("event_id").cast("string"),
         F.lit("req_proc_ref_id"), F.concat(F.lit("Q"), _div(F.col("event_id"), 2).cast("string")),
     )
-    dims = F.create_map(F.lit("pmt_mop_metadata_sk"), k.cast("bigint") * 25)
+    dims = F.create_map(F.lit("pmt_mop_metadata_sk"), F.col("user_id").cast("bigint"))
     facts = F.create_map(F.lit("chargeback_amount"), F.col("value") * 100.0,
                          F.lit("record_count"), F.lit(1.0))
     return _events(t).select(
@@ -497,6 +514,14 @@ def fraud_file(t: Tables) -> DataFrame:
     )
 
 
+def _approved_date() -> Column:
+    """Ship dates folded onto October 2023 to January 2024, so that their
+    months are those of the events; days after the 28th count as the 28th."""
+    quarter = F.month("l_shipdate") % 4
+    month = F.when(quarter == 3, F.lit(202401)).otherwise(F.lit(202310) + quarter)
+    return (month * 100 + F.least(F.dayofmonth("l_shipdate"), F.lit(28))).cast("int")
+
+
 def _approved_lines(t: Tables, linestatus: str) -> DataFrame:
     """Approved charges: billing rows joined to payment-method (part),
     issuing country (supplier nation) and issuer (nation by ``p_size``)."""
@@ -513,7 +538,7 @@ def _approved_lines(t: Tables, linestatus: str) -> DataFrame:
             .join(issuer, (F.col("p_size") % 25) == F.col("i_key"))
             .join(group, F.col("i_desc") == F.col("g_desc"), "left")
             .select(
-                int_date(F.add_months(F.col("l_shipdate").cast("date"), 276)).alias("event_utc_date"),
+                _approved_date().alias("event_utc_date"),
                 F.concat(F.lit("PROC_"), (F.col("l_linenumber") % 3).cast("string")).alias("processor"),
                 F.when(F.col("l_returnflag") == "R", "RETRY").otherwise("FIRST").alias("retry_mode"),
                 F.when(F.col("l_tax") >= 0.04, "true").otherwise("false").alias("token_used"),
@@ -531,8 +556,7 @@ def _approved_lines(t: Tables, linestatus: str) -> DataFrame:
 
 
 def renewal_agg(t: Tables) -> DataFrame:
-    """Approved renewals (billing rows with line status ``F``).  Dates are
-    shifted by 23 years so their months overlap the event window."""
+    """Approved renewals (billing rows with line status ``F``)."""
     return _approved_lines(t, "F")
 
 
@@ -547,15 +571,18 @@ def validation_agg(t: Tables) -> DataFrame:
 def event_signups(t: Tables) -> DataFrame:
     """Signups recorded as ``signup`` events (one per event), for analyses
     that match signups to payment events by day: the order dates never
-    overlap the event window."""
+    overlap the event window.  The subscription is the account's first order,
+    or the event where the account has none."""
     k = F.col("k")
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    first = t.orders.groupBy(F.col("o_custkey").alias("first_custkey")).agg(F.min("o_orderkey").alias("first_orderkey"))
     return (_events(t).filter(F.col("event_type") == "signup")
             .join(c, F.col("user_id") == F.col("c_custkey"))
+            .join(first, F.col("user_id") == F.col("first_custkey"), "left")
             .join(_nation_dim(t), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("user_id").alias("account_id"),
-                F.col("event_id").alias("subscrn_id"),
+                F.coalesce(F.col("first_orderkey"), F.col("event_id")).alias("subscrn_id"),
                 int_date("ts").alias("signup_date"),
                 F.col("c_mktsegment").alias("partner_name"),
                 F.col("n_name").alias("country_desc"),

@@ -51,7 +51,13 @@ SELECT o_custkey AS account_id, o_orderkey AS subscrn_id, {idate('o_orderdate')}
        {FRAUD} AS fraud_flag, CAST(c_nationkey AS VARCHAR) AS country_iso_code,
        CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS signup_plan_id,
        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) END AS latest_plan_id,
-       CAST(c_nationkey * 4 AS INTEGER) AS signup_device_type_id
+       CAST(c_nationkey * 4 AS INTEGER) AS signup_device_type_id,
+       o_orderdate + INTERVAL 8 HOUR AS signup_utc_ts,
+       CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS is_dcb_signup,
+       CAST(o_orderpriority LIKE '3%' AS INTEGER) AS is_mds,
+       CAST(o_orderdate > min(o_orderdate) OVER (PARTITION BY o_custkey) AS INTEGER) AS is_rejoin,
+       (SELECT max({idate('l_shipdate')}) FROM lineitem WHERE l_orderkey = o_orderkey) AS latest_service_stop_date,
+       (SELECT max(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS latest_subscrn_period_nbr
 FROM oc""", ["oc"])
 
 view("sr_p1", """
@@ -229,10 +235,11 @@ SELECT user_id AS account_id, {idate('ts')} AS event_utc_date, epoch_us(ts) // 1
        CASE WHEN {K} % 2 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS bin_metadata_type,
        CASE WHEN {K} % 7 = 0 THEN '--' ELSE 'PROC_' || CAST({K} % 3 AS VARCHAR) END AS original_txn_pmt_processor,
        CASE WHEN {K} % 4 = 0 THEN 'VALIDATE' ELSE 'SALE' END AS original_txn_type,
-       CASE WHEN {K} % 11 = 0 THEN 'null' ELSE CAST({K} % 3 + 1 AS VARCHAR) END AS billing_period,
+       CASE WHEN {K} % 11 = 0 THEN 'null' WHEN {K} % 4 = 0 THEN '1'
+            ELSE CAST({K} % 3 + 1 AS VARCHAR) END AS billing_period,
        CASE WHEN {K} % 5 = 0 THEN 'RETRY' ELSE 'FIRST' END AS retry_mode,
        CAST(epoch_us(ts) // 1000 - CAST({K} AS BIGINT) * 86400000 AS VARCHAR) AS original_txn_date,
-       CASE WHEN {K} % 2 = 0 THEN 'true' ELSE 'false' END AS token_used,
+       CASE WHEN {K} % 4 = 0 OR event_id % 2 = 1 THEN 'false' ELSE 'true' END AS token_used,
        CASE WHEN {K} % 4 = 3 THEN NULL WHEN {K} % 4 = 1 THEN 'true' ELSE 'false' END AS is_chained_txn,
        CASE WHEN {K} % 13 = 0 THEN 'true' END AS is_duplicate,
        CASE WHEN {K} % 3 = 0 THEN 'REFUND' ELSE 'CHARGE' END AS txn_type,
@@ -240,7 +247,7 @@ SELECT user_id AS account_id, {idate('ts')} AS event_utc_date, epoch_us(ts) // 1
        CASE WHEN {K} % 2 = 0 THEN 'CC' ELSE 'DD' END AS mop_type,
        CAST(event_id AS VARCHAR) AS original_txn_id,
        'Q' || CAST(event_id // 2 AS VARCHAR) AS req_proc_ref_id,
-       CAST({K} AS BIGINT) * 25 AS pmt_mop_metadata_sk,
+       CAST(user_id AS BIGINT) AS pmt_mop_metadata_sk,
        value * 100.0 AS chargeback_amount, CAST(1.0 AS DOUBLE) AS record_count
 FROM events""")
 
@@ -259,7 +266,8 @@ SELECT 'R' || CAST(event_id AS VARCHAR) AS referenceID, {idate('ts')} AS experia
 FROM events WHERE event_type = 'purchase' AND value >= 8""")
 
 APPROVED_LINES = f"""
-SELECT {idate("(CAST(l_shipdate AS DATE) + INTERVAL 276 MONTH)")} AS event_utc_date,
+SELECT CAST([202310, 202311, 202312, 202401][month(l_shipdate) % 4 + 1] * 100
+            + least(day(l_shipdate), 28) AS INTEGER) AS event_utc_date,
        'PROC_' || CAST(l_linenumber % 3 AS VARCHAR) AS processor,
        CASE WHEN l_returnflag = 'R' THEN 'RETRY' ELSE 'FIRST' END AS retry_mode,
        CASE WHEN l_tax >= 0.04 THEN 'true' ELSE 'false' END AS token_used,
@@ -285,7 +293,9 @@ SELECT event_utc_date, processor, estaff_subregion_desc, country_desc, issuer_in
 FROM ({APPROVED_LINES.replace("{status}", "O")}) x""", ["nation_dim", "v_institution", "v_institution_group"])
 
 view("v_event_signups", f"""
-SELECT user_id AS account_id, event_id AS subscrn_id, {idate('ts')} AS signup_date, c_mktsegment AS partner_name,
+SELECT user_id AS account_id,
+       coalesce((SELECT min(o_orderkey) FROM orders WHERE o_custkey = user_id), event_id) AS subscrn_id,
+       {idate('ts')} AS signup_date, c_mktsegment AS partner_name,
        n_name AS country_desc, CASE WHEN value >= 5 THEN 'STB' ELSE 'TV' END AS signup_hw_category,
        CASE WHEN {K} % 2 = 0 THEN 1 ELSE 0 END AS p1_possible_complete_cnt,
        CASE WHEN {K} % 5 = 0 THEN 1 ELSE 0 END AS p1_invol_cancel_cnt,
