@@ -29,38 +29,46 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.frames import documents
 
-SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-CLOSING = r"""[.!?:;…。！？"'”’»)\]][\x20\x09-\x0D]*$"""
-MARKS = "!?.,;:#*$%&|<>"
-SEPARATORS = "|>»›•·"
+WHITE = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
+CLOSING = [*".!?:;…。！？\"'”’»)]"]
+MARKS = r"[!?.,;:#*$%&|<>]"
+SEPARATORS = r"[|>»›•·]"
+#: Looked for in the lower-cased line.
 BOILERPLATE = (
-    r"(?i)(cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum"
-    r"|sign in|log in|sign up|click here|read more|share this|subscribe|copyright ©|\(c\) [0-9]{4})"
+    "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum",
+    "sign in", "log in", "sign up", "click here", "read more", "share this", "subscribe", "copyright ©",
 )
+RIGHTS_YEAR = r"\(c\) [0-9]{4}"
 MIN_WORDS = 50
 MAX_REPEAT = 50
 MAX_LOSS = 0.5
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _bare_length(text: Column) -> Column:
     """Characters that are not white space."""
-    return F.length(_without(text, " \t\n\x0b\x0c\r"))
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return F.length(text)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line (with a word) fails a rule."""
-    words = F.regexp_count(line, F.lit(WORD))
-    separators = F.length(line) - F.length(_without(line, SEPARATORS))
-    marks = F.length(line) - F.length(_without(line, MARKS))
-    punctuation = ~line.rlike(CLOSING) | ((words >= 5) & (marks * 100 > _bare_length(line) * 15))
-    navigation = (separators >= 3) & (separators * 4 >= words)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+def line_fails(line: Column, low: Column) -> Column:
+    """Whether a line (with a word) fails a rule; ``low`` is the line in
+    lower case.  Cheap tests stand first: Spark skips the rest of an AND or OR
+    once it is decided."""
+    closed = F.substring(F.rtrim(line, F.lit(WHITE)), -1, 1).isin(CLOSING)
+    punctuation = ~closed | ((_count(line, MARKS) * 100 > _bare_length(line) * 15) & (_count(line, WORD) >= 5))
+    separators = _count(line, SEPARATORS)
+    navigation = (separators >= 3) & (separators * 4 >= _count(line, WORD))
+    boilerplate = low.contains("(c) ") & low.rlike(RIGHTS_YEAR)
+    for phrase in BOILERPLATE:
+        boilerplate = low.contains(phrase) | boilerplate
+    return punctuation | boilerplate | navigation
 
 
 def base_figures(docs: DataFrame, text_col: str, wrap) -> DataFrame:
@@ -73,21 +81,23 @@ def base_figures(docs: DataFrame, text_col: str, wrap) -> DataFrame:
     })
     n = F.size(wrap("words"))
     words = F.col(wrap("words"))
-    windows = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    out = out.withColumn(wrap("windows"), F.sort_array(windows))
-    # windows found twice or more stand side by side once sorted
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    out = out.withColumn(wrap("hashes"), F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))))
+    # windows found twice or more stand side by side once sorted; a text
+    # without any (the usual case) is not sorted
+    h = F.col(wrap("hashes"))
+    windows = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumn(wrap("windows"), F.when(F.size(F.array_distinct(h)) < F.size(h), windows))
     s = F.col(wrap("windows"))
     twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
     covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
     t = F.col(wrap("text"))
     return out.withColumns({
         wrap("n_words"): n.cast("bigint"),
-        wrap("word_chars"): F.length(F.array_join(wrap("words"), "")).cast("bigint"),
-        wrap("n_symbols"): (F.length(t) - F.length(_without(t, SYMBOLS))).cast("bigint"),
+        wrap("word_chars"): _bare_length(t).cast("bigint"),
+        wrap("n_symbols"): _count(t, SYMBOLS).cast("bigint"),
         wrap("n_dup_lines"): (F.size(wrap("lines")) - F.size(F.array_distinct(wrap("lines")))).cast("bigint"),
-        wrap("n_repeat_words"): F.size(F.array_distinct(covered)).cast("bigint"),
+        wrap("n_repeat_words"): F.when(s.isNull(), F.lit(0)).otherwise(F.size(F.array_distinct(covered))).cast("bigint"),
     })
 
 
@@ -107,7 +117,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
         return prefix + name
 
     out = base_figures(docs, text_col, wrap)
-    out = out.withColumn(wrap("cleaned"), F.filter(F.split(wrap("text"), "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)))
+    judged = F.zip_with(F.split(wrap("text"), "\n"), F.split(F.lower(wrap("text")), "\n"),
+                        lambda x, low: F.when(~x.rlike(WORD) | ~line_fails(x, low), x))
+    out = out.withColumn(wrap("cleaned"), F.filter(judged, lambda x: x.isNotNull()))
     left = _bare_length(F.array_join(wrap("cleaned"), "\n"))
     out = out.withColumns({
         wrap("base_failed"): (F.col(wrap("n_words")) < min_words) | (100 * F.col(wrap("n_repeat_words")) > max_repeat * F.col(wrap("n_words"))),
