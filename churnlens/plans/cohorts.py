@@ -17,7 +17,6 @@ from churnlens.functions.lookups import (
 )
 from churnlens.functions.values import bucket, capped, flag
 from churnlens.operators.aggregates import conditional_distinct_counts
-from churnlens.operators.joins import existence_flag
 
 SUB_KEYS = ["account_id", "subscrn_id"]
 
@@ -212,10 +211,10 @@ def main_device(views_by_device: DataFrame, min_secs: int = QUALIFIED_PLAY_SECS,
 
 def retention_by_exposure(outcome: DataFrame, devices: DataFrame) -> DataFrame:
     """Signups and period-2 retained subscriptions by main device category
-    and whether the account watched at all."""
-    watched = existence_flag(outcome, devices, ["account_id"], "watch_t_f")
-    top = devices.filter(F.col("device_rank") == 1).select("account_id", "hw_category")
-    j = watched.join(top, "account_id", "left")
+    and whether the account watched at all.  Every account of ``devices``
+    has a row of rank 1, so one join gives both the category and the flag."""
+    top = devices.filter(F.col("device_rank") == 1).select("account_id", "hw_category", F.lit(1).alias("watched"))
+    j = outcome.join(top, "account_id", "left").withColumn("watch_t_f", F.coalesce("watched", F.lit(0)))
     retained = (F.col("billing_period_nbr") == 2) & (F.col("invol_vol_cancel_cnt") != 1)
     return conditional_distinct_counts(j, ["hw_category", "watch_t_f"], "subscrn_id",
                                        {"num_signups": None, "num_retained": retained})
