@@ -2,18 +2,20 @@
 
 1. Document frequencies of all template words are counted over all documents
    (at most one row per template word).  The index holds the postings
-   (template, position) of each template's ``INDEXED`` words of highest IDF.
-2. In a document, its ``LOOKED_UP`` distinct index words of highest IDF are
-   looked up; each occurrence at position p votes for a template to start at
-   p - position.  Alignments with votes of enough distinct words go on.
+   (template, position) of each template's ``INDEXED`` words of highest IDF,
+   and of more where a template is so long that an alignment of enough share
+   could miss all of them.
+2. Every occurrence of an index word is looked up; at position p it votes for
+   a template to start at p - position.  Alignments with votes of as many
+   distinct words as any alignment of enough share must have go on.
 3. An alignment is verified: the share of template words that stand at their
    place, and the template's mandatory key phrases within the aligned window.
 
 Base phrases are found wherever their words stand consecutively.  The score
 is the best share of a verified template, and 1 where a base phrase is found.
 
-Words are compared by 64-bit hashes of their bytes.  Whole texts are read;
-one document's occurrences are handled at a time.
+Words are compared by 64-bit hashes of their bytes.  Whole texts are read; a
+slice's occurrences are handled at once.
 
 Defined results: null counts as empty; a text without words has no places,
 no labels and score 0; repeated rows get the same result; an empty table gives
@@ -60,7 +62,6 @@ TEMPLATES = [
 ]
 
 INDEXED = 8
-LOOKED_UP = 8
 MIN_VOTES = 3
 MIN_SHARE = 0.8
 
@@ -93,46 +94,59 @@ class Index:
         self.keys = [[K.hash_list(p.split()) for p in keys] for _, _, keys in templates]
         idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for t in self.words for w in t.tolist()}
         posts = []
-        self.needed = []
+        needed = []
         for t, seq in enumerate(self.words):
-            rare = sorted(set(seq.tolist()), key=lambda w: (-idf[w], w))[:INDEXED]
-            self.needed.append(min(MIN_VOTES, len(rare)))
+            # words that may differ in an alignment of enough share
+            free = sum((len(seq) - m) / len(seq) >= MIN_SHARE for m in range(1, len(seq) + 1))
+            rare = sorted(set(seq.tolist()), key=lambda w: (-idf[w], w))[: max(INDEXED, free + MIN_VOTES)]
+            needed.append(max(1, min(MIN_VOTES, len(rare) - free)))
             posts += [(w, t, q) for q, w in enumerate(seq.tolist()) if w in rare]
         posts.sort()
-        self.post_word = np.array([p[0] for p in posts], dtype=np.uint64)
+        self.needed = np.array(needed, dtype=np.int64)
+        self.longest = max((len(t) for t in self.words), default=0)
         self.post_template = np.array([p[1] for p in posts], dtype=np.int64)
         self.post_at = np.array([p[2] for p in posts], dtype=np.int64)
-        self.vocabulary = np.unique(self.post_word)
-        self.idf = np.array([idf[w] for w in self.vocabulary.tolist()])
-
-    def scan(self, words: np.ndarray, at: np.ndarray, term: np.ndarray) -> dict[str, float]:
-        """Labels of one document with their share.  at, term: where index
-        words stand, and which."""
-        present = np.unique(term)
-        if len(present) < min(self.needed):
-            return {}
-        rare = present[np.lexsort((present, -self.idf[present]))[:LOOKED_UP]]
-        use = np.isin(term, rare)
-        at, term = at[use], term[use]
-        lo = np.searchsorted(self.post_word, self.vocabulary[term], side="left")
-        hi = np.searchsorted(self.post_word, self.vocabulary[term], side="right")
-        n = hi - lo
-        post = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(at, n) - self.post_at[post]
-        votes = np.unique(np.stack([self.post_template[post], start, np.repeat(term, n)]), axis=1)
-        pairs, count = np.unique(votes[:2], axis=1, return_counts=True)
-        out: dict[str, float] = {}
-        for t, begin, c in zip(pairs[0].tolist(), pairs[1].tolist(), count.tolist()):
-            if c < self.needed[t]:
-                continue
-            seq = self.words[t]
-            place = np.arange(begin, begin + len(seq))
-            inside = (place >= 0) & (place < len(words))
-            share = float((words[place[inside]] == seq[inside]).sum() / len(seq))
-            window = words[max(begin, 0) : begin + len(seq)]
-            edge = np.array([0, len(window)])
-            if share >= MIN_SHARE and all(len(consecutive(window, edge, k)) for k in self.keys[t]):
-                out[self.labels[t]] = max(out.get(self.labels[t], 0.0), share)
+        word = np.array([p[0] for p in posts], dtype=np.uint64)
+        self.vocabulary = np.unique(word)
+        self.first = np.searchsorted(word, self.vocabulary, side="left")
+        self.size = np.searchsorted(word, self.vocabulary, side="right") - self.first
+
+    def scan(self, words: np.ndarray, doc: np.ndarray) -> dict[int, dict[str, float]]:
+        """Labels with their share, of each document of a slice that has any."""
+        out: dict[int, dict[str, float]] = {}
+        if not len(self.vocabulary):
+            return out
+        term = K.lookup(self.vocabulary, words)
+        at = np.flatnonzero(term >= 0)
+        term = term[at]
+        which = np.searchsorted(doc, at, side="right") - 1
+        n = self.size[term]
+        post = np.repeat(self.first[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # ``longest`` free places before each document keep the starts of
+        # neighbours apart
+        start = np.repeat(at + (which + 1) * self.longest, n) - self.post_at[post]
+        pair = start * len(self.words) + self.post_template[post]
+        votes = np.unique(pair * len(self.vocabulary) + np.repeat(term, n))
+        pair, count = np.unique(votes // len(self.vocabulary), return_counts=True)
+        template = pair % len(self.words)
+        pair, template = (x[count >= self.needed[template]] for x in (pair, template))
+        start = pair // len(self.words)
+        which = np.searchsorted(doc[:-1] + np.arange(len(doc) - 1) * self.longest, start, side="right") - 1
+        start -= (which + 1) * self.longest
+        for t, seq in enumerate(self.words):
+            begin, d = start[template == t], which[template == t]
+            lo, hi = doc[d], doc[d + 1]
+            same = np.zeros(len(begin), np.int64)
+            for q, w in enumerate(seq):
+                place = begin + q
+                inside = (place >= lo) & (place < hi)
+                same += inside & (words[np.where(inside, place, 0)] == w)
+            for i in np.flatnonzero(same / max(len(seq), 1) >= MIN_SHARE).tolist():
+                window = words[max(begin[i], lo[i]) : min(begin[i] + len(seq), hi[i])]
+                edge = np.array([0, len(window)])
+                if all(len(consecutive(window, edge, k)) for k in self.keys[t]):
+                    own = out.setdefault(int(d[i]), {})
+                    own[self.labels[t]] = max(own.get(self.labels[t], 0.0), float(same[i] / len(seq)))
         return out
 
 
@@ -186,13 +200,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 named: dict[int, set[str]] = {}
                 for d, k in set(zip(which.tolist(), kind.tolist())):
                     named.setdefault(d, set()).add(hits[k][1])
-                term = K.lookup(index.vocabulary, words)
-                place = np.flatnonzero(term >= 0)
-                edge = np.searchsorted(place, doc)
-                own: dict[int, dict[str, float]] = {}
-                for d in np.flatnonzero(np.diff(edge) >= min(index.needed)).tolist():
-                    p = place[edge[d] : edge[d + 1]]
-                    own[d] = index.scan(words[doc[d] : doc[d + 1]], p - doc[d], term[p])
+                own = index.scan(words, doc)
                 n_words += np.diff(doc).tolist()
                 n_base += counts.tolist()
                 first += [x if c else None for x, c in zip(lowest.tolist(), counts.tolist())]

@@ -261,6 +261,41 @@ def test_license_scan(docs, none, texts):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_scan_finds_all_notices_of_a_text(spark, texts):
+    rng = random.Random(5)
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
+    own = sorted({w for t in notices for w in t.split()})
+    long = " ".join("lemma%d term%d clause%d" % (i, i, i) for i in range(60))
+    templates = [*license_scan.TEMPLATES, ("long", long, ["lemma7 term7"])]
+
+    def altered(t, n):
+        w = t.split()
+        for q in rng.sample(range(len(w)), n):
+            w[q] = "other"
+        return " ".join(w)
+
+    cases = [notices[3] + ". " + notices[8], " ".join(notices), "\n".join([*notices, texts[16]] * 2),
+             " ".join(own) + " " + texts[16] + " " + notices[10], notices[3][14:], texts[6] + " " + notices[8][:-12], " ".join(own * 3), "", *notices,
+             *(altered(t, len(t.split()) // 5) + " " + altered(rng.choice(notices), 1) for t in notices for _ in range(3)),
+             *(altered(long, 36) for _ in range(4)), altered(long, 40), " ".join(rng.choices(own, k=2000))]
+    rows = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(2), templates=templates))
+    for i, t in enumerate(cases):
+        w = re.findall(r"[a-zA-Z0-9\x80-\U0010ffff]+", t.lower())
+        found = {}
+        for label, text, keys in templates:
+            q = text.split()
+            for a in range(-len(q), len(w)):
+                share = sum(0 <= a + k < len(w) and w[a + k] == x for k, x in enumerate(q)) / len(q)
+                window = " " + " ".join(w[max(a, 0) : max(a + len(q), 0)]) + " "
+                if share >= 0.8 and all(f" {k} " in window for k in keys):
+                    found[label] = max(found.get(label, 0.0), share)
+        base = {x for x in rows[i].base_labels.split(",") if x}
+        assert rows[i].labels == ",".join(sorted(base | found.keys())), i
+        assert rows[i].score == (1.0 if base else max(found.values(), default=0.0)), i
+    assert {"bsd", "mit"} <= set(rows[0].labels.split(","))
+    assert set(rows[1].labels.split(",")) == {label for label, _, _ in license_scan.TEMPLATES} | {"cc-by"}
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/1", "https://x.net/de/5#t", "https://net", "http://m.example.com/de/7?x=/en/", "http://a.org/fr/3", None, "nothing",
             "http://notnet.com/en/9", "http://a.org/es/3", "ftp://b.org?x", "http://example.net/en", "http://x.net/de/5#t"] + [f"http://h.com/p{i}/c" for i in range(9)]
