@@ -5,11 +5,13 @@
 2. Id-like path segments become wildcards (``*``, ``*.html``).  Then, at each
    node of the tree, a segment that is rare among many siblings becomes a
    wildcard too.  What is left is the URL's template.
-3. Branches of one host and shape whose labelled block rates do not differ
+3. Labelled branches of one host and shape whose block rates do not differ
    significantly (two-proportion z-test against the pooled rate) are merged
-   and share their labels.
+   and share their labels.  A branch without labels has no rate to test and
+   stays on its own.
 4. A template's purity is its labelled block rate, smoothed towards the rate
-   of its shape over all hosts and that one towards the overall rate.
+   of its shape over all hosts and that one towards the overall rate; without
+   labels it is that smoothed rate of its shape.
    Templates of purity ``reject_at`` or more are blocked.
 
 Every step groups distinct (host, path template) rows with counts, so a host
@@ -101,11 +103,13 @@ def judged(tree: DataFrame, z: float, smoothing: float) -> DataFrame:
     rate = ((overall["b"] or 0) + 1.0) / ((overall["l"] or 0) + 2.0)
     p = F.col("all_blocked") / F.greatest("all_labelled", F.lit(1))
     gap = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - p)
-    similar = (F.col("labelled") == 0) | (gap <= z * F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1))))
+    similar = (F.col("labelled") > 0) & (gap <= z * F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1))))
     prior = (F.col("shape_blocked") + smoothing * rate) / (F.col("shape_labelled") + smoothing)
-    out = nodes.join(pooled, ["host", "shape"]).join(shapes, "shape").withColumn("merged", similar)
-    blocked = F.when(F.col("merged"), F.col("all_blocked")).otherwise(F.col("blocked"))
-    labelled = F.when(F.col("merged"), F.col("all_labelled")).otherwise(F.col("labelled"))
+    tested = written(nodes.join(pooled, ["host", "shape"]).withColumn("merged", similar), "url-tested")
+    sums = tested.where("merged").groupBy("host", "shape").agg(F.sum("labelled").alias("their_labelled"), F.sum("blocked").alias("their_blocked"))
+    out = tested.join(sums, ["host", "shape"], "left").join(shapes, "shape")
+    blocked = F.when(F.col("merged"), F.col("their_blocked")).otherwise(F.col("blocked"))
+    labelled = F.when(F.col("merged"), F.col("their_labelled")).otherwise(F.col("labelled"))
     return out.select("host", "template", "merged", ((blocked + smoothing * prior) / (labelled + smoothing)).alias("purity"))
 
 

@@ -310,6 +310,31 @@ def test_url_filter(spark):
     assert len(rows) == len(urls) and url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+def test_url_filter_shares_labels_among_labelled_branches_only(spark):
+    urls = [f"http://{host}/{path}" for host, path, n in [
+        ("w.example.com", "de/a", 40), ("w.example.com", "en/a", 30), ("w.example.com", "fr/a", 1),  # blocked, and without labels
+        ("v.example.com", "en/a", 5),  # no labels on the host
+        ("q.net", "de/a", 30), ("q.net", "xx/a", 2),  # blocked alike
+        ("z.org", "fr/a", 90), ("z.org", "yy/a", 60), ("z.org", "ww/a", 1),  # allowed, and without labels
+        ("m.net", "a/a", 30), ("m.net", "b/a", 30), ("m.net", "c/a", 1)] for _ in range(n)]
+    rules = [("net/", "block"), ("m.net/b/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {(r.host, r.path): r for r in url_filter.url_filter(pages, rules=rules).collect()}
+    assert not rows["w.example.com", "/en/a"].merged and rows["w.example.com", "/en/a"].verdict == rows["v.example.com", "/en/a"].verdict == "allow"
+    # all unlabelled branches of one shape have the shape's smoothed rate
+    l, b = 40 + 32 + 90 + 61, 40 + 32 + 31
+    rate = (b + 1) / (l + 2)
+    prior = (b + 4 * rate) / (l + 4)
+    for key in [("w.example.com", "/en/a"), ("w.example.com", "/fr/a"), ("v.example.com", "/en/a"), ("z.org", "/yy/a"), ("z.org", "/ww/a")]:
+        assert rows[key].purity == pytest.approx(prior) and not rows[key].merged
+    for path in ("/de/a", "/xx/a"):
+        assert rows["q.net", path].merged and rows["q.net", path].purity == pytest.approx((32 + 4 * prior) / (32 + 4))
+    # c has too few labels to differ; a and b differ from the pooled rate and lend it nothing
+    assert [rows["m.net", f"/{x}/a"].merged for x in "abc"] == [False, False, True]
+    assert rows["m.net", "/c/a"].purity == pytest.approx((1 + 4 * prior) / (1 + 4))
+    assert rows["m.net", "/b/a"].purity == pytest.approx((0 + 4 * prior) / (30 + 4))
+
+
 def test_long_word_and_hash():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
     inventory = pieces.Inventory(open(pieces.MODEL, "rb").read())
