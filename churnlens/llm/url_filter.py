@@ -34,7 +34,6 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ID_LIKE = r"^([0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F-]{32,36}|[^.]*[0-9]{3,}[^.]*)(\.[A-Za-z0-9]{1,5})?$"
-DEPTH = 6
 MANY_CHILDREN = 16
 RARE_SHARE = 0.01
 MERGE_Z = 1.96
@@ -64,12 +63,11 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return found, verdict
 
 
-def generalised(path: Column, depth: int) -> Column:
-    """Path segments, id-like ones as wildcards, all below ``depth`` as one."""
+def generalised(path: Column) -> Column:
+    """Path segments, id-like ones as wildcards."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.transform(parts, lambda s: F.when(
+    return F.transform(parts, lambda s: F.when(
         s.rlike(ID_LIKE), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z0-9]{1,5})?$", 0))).otherwise(s))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
 def templates(paths: DataFrame, many: int, rare: float) -> DataFrame:
@@ -114,13 +112,13 @@ def judged(tree: DataFrame, z: float, smoothing: float) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None,
-               depth: int = DEPTH, many: int = MANY_CHILDREN, rare: float = RARE_SHARE, z: float = MERGE_Z,
-               smoothing: float = SMOOTHING, reject_at: float = REJECT_AT) -> DataFrame:
+               many: int = MANY_CHILDREN, rare: float = RARE_SHARE, z: float = MERGE_Z, smoothing: float = SMOOTHING,
+               reject_at: float = REJECT_AT) -> DataFrame:
     """(id, host, path, rule, verdict, template, merged, purity) of every row."""
     host, path = url_parts(F.col(f"`{url_col}`").cast("string"))
     base = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     rule, says = matched_rule(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    base = base.withColumns({"rule": rule, "says": says, "parts": generalised(F.col("path"), depth)})
+    base = base.withColumns({"rule": rule, "says": says, "parts": generalised(F.col("path"))})
     paths = base.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"), F.count("says").alias("labelled"), F.count(F.when(F.col("says") == "block", 1)).alias("blocked"))
     tree = written(templates(written(paths, "url-paths"), many, rare), "url-tree")

@@ -335,6 +335,17 @@ def test_url_filter_shares_labels_among_labelled_branches_only(spark):
     assert rows["m.net", "/b/a"].purity == pytest.approx((0 + 4 * prior) / (30 + 4))
 
 
+def test_url_filter_tells_deep_branches_apart(spark):
+    deep = "a/b/c/d/e/f/g/h"
+    urls = [f"http://x.org/{deep}/{tail}" for tail in ["in/1", "in/2", "out/3", "out/4", "out/" + "s/" * 40 + "5"] for _ in range(9)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [(f"x.org/{deep}/in/", "block"), ("y.org/", "allow")]
+    rows = {r.path: r for r in url_filter.url_filter(pages, rules=rules).collect()}
+    assert rows[f"/{deep}/in/1"].template == f"/{deep}/in/*" and rows[f"/{deep}/in/1"].merged
+    for tail, template in [("out/3", "out/*"), ("out/" + "s/" * 40 + "5", "out/" + "s/" * 40 + "*")]:
+        assert rows[f"/{deep}/{tail}"].template == f"/{deep}/{template}" and not rows[f"/{deep}/{tail}"].merged
+
+
 def test_long_word_and_hash():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
     inventory = pieces.Inventory(open(pieces.MODEL, "rb").read())
