@@ -45,6 +45,8 @@ from churnlens.llm.frames import documents, keyed, unkeyed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
+#: Bytes of text whose lattices are held at once.
+LATTICE_BYTES = 512 << 10
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
 
@@ -379,7 +381,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         data, pieces = shared.value
         sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
-            for row, end, raw, off in K.slices(led_by_space(batch.column("text"))):
+            for row, end, raw, off in K.slices(led_by_space(batch.column("text")), LATTICE_BYTES if samples else K.SLICE_BYTES):
                 part = batch.slice(row, end - row)
                 chunks = Chunks(raw, off)
                 ids, begin, same = chunks.encoded(sp) if len(chunks.instance) else (np.zeros(0, np.int32), np.zeros(end - row + 1, np.int64), np.ones(end - row, bool))

@@ -37,8 +37,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids of every text."""
-    return encode_pieces(docs, samples=0)
+    """Adds the piece ids of every text and its sampled segmentations."""
+    return encode_pieces(docs)
 
 
 STAGES = [

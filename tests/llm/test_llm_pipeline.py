@@ -61,3 +61,14 @@ def test_pipeline(spark):
 
 def test_stages_follow_the_contract():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "substring_dedup", "decontamination", "sentencepiece"]
+
+
+def test_encoding_stage_draws_samples(spark):
+    docs = documents(spark, SF).where("doc_id < 20")
+    out = corpus_pipeline.encoding_stage(spark, docs, SF)
+    assert out.columns == [*docs.columns, "ids", "round_trip", "samples"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, r in {r.doc_id: r for r in pieces.encode_pieces(docs, samples=pieces.SAMPLES).collect()}.items():
+        assert [tuple(s.ids) for s in got[i].samples] == [tuple(s.ids) for s in r.samples]
+        assert len(r.samples) == len({tuple(s.ids) for s in r.samples}) == (pieces.SAMPLES if r.text else 1)
+        assert got[i].ids == r.ids
