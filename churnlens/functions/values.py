@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -77,6 +77,33 @@ def map_get(m: ColumnOrName, key: str) -> Column:
     return F.try_element_at(_col(m), F.lit(key))
 
 
+#: Metadata of a stored key column: the map that it was taken from.
+KEY_OF = "key_of_map"
+
+
+def with_stored_keys(df: DataFrame, keys: Mapping[str, Iterable[str]]) -> DataFrame:
+    """Add a column per listed map key, named like the key.
+
+    Written beside the maps, the columns have statistics of their own: a test
+    on a key reaches the scan, and a query that needs some keys does not read
+    the maps.  The column's metadata names its map, so that :func:`map_key`
+    never takes another column of that name for it.
+    """
+    columns = [map_get(m, k).alias(k, metadata={KEY_OF: m}) for m, ks in keys.items() for k in ks]
+    taken = {k for ks in keys.values() for k in ks} & set(df.columns)
+    if taken:
+        raise ValueError(f"columns and map keys share names: {sorted(taken)}")
+    return df.select("*", *columns)
+
+
+def map_key(df: DataFrame, m: str, key: str) -> Column:
+    """Value of ``key`` in the map column ``m`` of ``df``: the stored key
+    column where the table has one, else looked up in the map."""
+    if key in df.columns and df.schema[key].metadata.get(KEY_OF) == m:
+        return df[key]
+    return map_get(df[m], key)
+
+
 def safe_cast(c: ColumnOrName, to: str) -> Column:
     """Cast that gives NULL for dirty text (``'null'``, ``''``) instead of
     failing the job under ANSI mode."""

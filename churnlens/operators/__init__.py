@@ -11,9 +11,9 @@ from churnlens.operators.joins import (
     existence_flag,
     semi_by_aggregate,
 )
-from churnlens.operators.windows import dedupe_first, event_sequence, rank_within
+from churnlens.operators.windows import dedupe_first, event_sequence, event_sequence_by_range, rank_within
 
 __all__ = [
     "attach_left", "band_join", "conditional_distinct_counts", "dedupe_first", "event_sequence",
-    "existence_flag", "missingness_crosstab", "rank_within", "safe_ratio", "semi_by_aggregate",
+    "event_sequence_by_range", "existence_flag", "missingness_crosstab", "rank_within", "safe_ratio", "semi_by_aggregate",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.dates import int_date, int_date_timestamp, int_date_to_date
-from churnlens.functions.values import bucket, map_get, not_sentinel, null_default, safe_cast, zip5
+from churnlens.functions.values import bucket, map_key, not_sentinel, null_default, safe_cast, zip5
 from churnlens.operators.aggregates import conditional_distinct_counts, missingness_crosstab, safe_ratio
 from churnlens.operators.joins import band_join
 
@@ -72,14 +72,12 @@ def involuntary_by_region(attributed: DataFrame) -> DataFrame:
 # --- postal codes from payment events near signup ---------------------------------
 
 def payment_postal_events(payments: DataFrame, country: str | None) -> DataFrame:
-    """Payment events that carry a postal code, with the map keys the
-    attribution needs extracted once (the map column is read whole, so
-    keys are pulled out in a single projection)."""
-    dvm = F.col("degenerate_values_map")
+    """Payment events that carry a postal code (read from the stored key
+    columns where the table has them, else from the map)."""
     out = payments.select(
         "account_id", "event_utc_date", "event_utc_ms_ts", "country_code",
-        map_get(dvm, "mop_postal_code").alias("mop_postal_code"),
-        map_get(dvm, "bin_metadata_type").alias("bin_metadata_type"))
+        map_key(payments, "degenerate_values_map", "mop_postal_code").alias("mop_postal_code"),
+        map_key(payments, "degenerate_values_map", "bin_metadata_type").alias("bin_metadata_type"))
     cond = F.col("mop_postal_code").isNotNull()
     if country is not None:
         cond = cond & (F.col("country_code") == country)
@@ -276,6 +274,61 @@ def attach_cohort_geo(attached: DataFrame, cohort: DataFrame) -> DataFrame:
     return attached.join(rpt, cond, "left").drop("rpt_link", "rpt_date")
 
 
+def activation_geo_weighted(funnel: DataFrame, subdivisions: DataFrame, activations: DataFrame,
+                            region_map: Mapping[str, Iterable[str]], since: int, country: str) -> DataFrame:
+    """:func:`activation_geo` without the copies: each funnel row once, with
+    the number of activations that share its link (``n_activations``)."""
+    rows = activation_geo(funnel, subdivisions, activations, region_map, since, country, multiplicity=False)
+    per_link = (activations.groupBy(F.col("current_connected_to_account_id").alias("link"))
+                .agg(F.count(F.lit(1)).alias("n_activations")))
+    return rows.join(per_link, rows["account_id"] == per_link["link"], "inner").drop("link")
+
+
+#: Columns that each source gives the wide geography.
+WIDE_SOURCES = {"funnel": ["current_connected_to_subscrn_id", "country_iso_code", "subdivision_desc", "region"],
+                "primary": ["prim_subdivision_iso_code"], "report": ["geo_desc"]}
+
+
+def wide_geo_factors(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame, cohort: DataFrame, country: str) -> DataFrame:
+    """:func:`wide_geo` as factors: one row per link, source and distinct
+    value, with the number of the source's rows that hold it.  A source
+    without rows has one row without values for the link, as the left joins
+    give.  The links are those of the activations; ``n_activations`` counts
+    them on the rows of source ``activation``.
+
+    The wide rows of a link number the product over the four sources of their
+    sums of ``n``; :func:`expand_wide_geo` writes them out.
+    """
+    values = [c for cs in WIDE_SOURCES.values() for c in cs]
+    known = activations.select(F.col("current_connected_to_account_id").alias("link"))
+    links = known.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+
+    def source(name: str, rows: DataFrame, key: str) -> DataFrame:
+        own = rows.groupBy(F.col(key).alias("f_link"), *WIDE_SOURCES[name]).agg(F.count(F.lit(1)).alias("f_n"))
+        joined = links.select("link").join(own, F.col("link") == F.col("f_link"), "left")
+        empty = [F.lit(None).cast("string").alias(c) for c in values if c not in WIDE_SOURCES[name] and c != "current_connected_to_subscrn_id"]
+        if name != "funnel":
+            empty.append(F.lit(None).cast("bigint").alias("current_connected_to_subscrn_id"))
+        return joined.select("link", F.lit(name).alias("source"), *WIDE_SOURCES[name], *empty, F.coalesce("f_n", F.lit(1)).alias("n"))
+
+    nm = geo_rows.withColumnRenamed("subscrn_id", "current_connected_to_subscrn_id")
+    out = (source("funnel", nm, "account_id")
+           .unionByName(source("primary", account_geo.filter(F.col("prim_country_iso_code") == country), "account_id"))
+           .unionByName(source("report", cohort, "current_connected_to_account_id"))
+           .unionByName(links.select("link", F.lit("activation").alias("source"), "n"), allowMissingColumns=True))
+    return out.select("link", "source", *values, "n")
+
+
+def expand_wide_geo(activations: DataFrame, factors: DataFrame) -> DataFrame:
+    """The rows of :func:`wide_geo` from its factors."""
+    out = activations.select(*SUB_KEYS, "signup_date", "current_connected_to_account_id")
+    for name, columns in WIDE_SOURCES.items():
+        own = (factors.filter(F.col("source") == name)
+               .select(F.col("link").alias("f_link"), *columns, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")))
+        out = out.join(own, out["current_connected_to_account_id"].eqNullSafe(own["f_link"]), "inner").drop("f_link", "copy")
+    return out
+
+
 def _state() -> F.Column:
     return F.coalesce(F.col("subdivision_desc"), F.col("prim_subdivision_iso_code"), F.col("geo_desc"))
 
@@ -297,8 +350,8 @@ def wide_geo(activations: DataFrame, geo: DataFrame, account_geo: DataFrame, coh
     activations.  Output rows per activation = funnel rows x report rows of
     its link (the original's fan-out, kept because the row counts are what
     the missing-source and roll-up reports measure).  Those reports are also available
-    in factorised form (:func:`missingness_by_source`,
-    :func:`market_region_rollup`) that never builds the pairs.
+    from a per-link summary (:func:`missingness_by_source`,
+    :func:`market_region_rollup_by_source`) without building the pairs.
     """
     nm = geo.select(F.col("account_id").alias("nm_link"),
                     F.col("subscrn_id").alias("current_connected_to_subscrn_id"),
@@ -326,95 +379,109 @@ def missingness_crosstab_rows(wide: DataFrame) -> DataFrame:
     return missingness_crosstab(wide, MISSING_FLAGS)
 
 
-def _link_value_counts(geo_rows: DataFrame, value: str) -> DataFrame:
-    """Funnel rows per (link, value)."""
-    return (geo_rows.groupBy(F.col("account_id").alias("nm_link"), F.col(value).alias("nm_v"))
-            .agg(F.count(F.lit(1)).alias("nm_n")))
-
-
-def _report_value_counts(cohort: DataFrame, value: str) -> DataFrame:
-    return (cohort.groupBy(F.col("current_connected_to_account_id").alias("rpt_link"), F.col(value).alias("rpt_v"))
-            .agg(F.count(F.lit(1)).alias("rpt_n")))
+def link_summary(geo_rows: DataFrame, account_geo: DataFrame, cohort: DataFrame, country: str) -> DataFrame:
+    """What the rows of :func:`wide_geo` of one linked account look like, one
+    row per link: ``states`` (first known of funnel subdivision, primary
+    subdivision, report geography) and ``missing`` (which sources are NULL),
+    each with the number of wide rows.  Both depend on the link alone, so one
+    table serves every activation and every report over the wide rows.
 
+    The three sources are stacked as (link, source, value) and counted, then
+    gathered per link: as many entries as a link has distinct values, which
+    the geography dimension bounds, whatever the number of rows.  A source
+    without rows counts as one row without a value, as in a left join.
 
-def _primary_geo(account_geo: DataFrame, country: str) -> DataFrame:
-    return (account_geo.filter(F.col("prim_country_iso_code") == country)
-            .select(F.col("account_id").alias("geo_account_id"), "prim_subdivision_iso_code"))
+    ``geo_rows`` is the funnel geography with each funnel row once
+    (``activation_geo(..., multiplicity=False)``).
+    """
+    def source(df: DataFrame, kind: str, link, value, known) -> DataFrame:
+        return df.select(link.alias("link"), F.lit(kind).alias("kind"), value.alias("value"), known.isNotNull().alias("known"))
+
+    col = F.col
+    rows = (source(geo_rows, "funnel", col("account_id"), col("subdivision_desc"), col("region"))
+            .unionByName(source(account_geo.filter(col("prim_country_iso_code") == country), "primary", col("account_id"),
+                                col("prim_subdivision_iso_code"), col("prim_subdivision_iso_code")))
+            .unionByName(source(cohort, "report", col("current_connected_to_account_id"), col("geo_desc"), col("geo_desc")))
+            .filter(col("link").isNotNull()))
+    counts = rows.groupBy("link", "kind", "value", "known").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct("value", "known", "n")
+    per_link = counts.groupBy("link").agg(*[F.collect_list(F.when(col("kind") == k, entry)).alias(k) for k in ("funnel", "primary", "report")])
+    none = F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("known"), F.lit(1).cast("bigint").alias("n")))
+    filled = per_link.select("link", *[F.when(F.size(k) > 0, col(k)).otherwise(none).alias(k) for k in ("funnel", "primary", "report")])
+
+    def total(source_col: str, keep=lambda x: F.lit(True)):
+        return F.aggregate(F.filter(source_col, keep), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+
+    def unknown(x):
+        return x["value"].isNull()
+
+    def states(source_col: str, weight, keep=lambda x: x["value"].isNotNull()):
+        return F.transform(F.filter(source_col, keep), lambda x: F.struct(x["value"].alias("state"), (x["n"] * weight).alias("n")))
+
+    def known_or_not(source_col: str, yes: bool):
+        return total(source_col, lambda x: x["known"] if yes else ~x["known"])
+
+    free_funnel, free_primary = total("funnel", unknown), total("primary", unknown)
+    all_states = F.concat(
+        states("funnel", total("primary") * total("report")),
+        states("primary", free_funnel * total("report")),
+        states("report", free_funnel * free_primary, lambda x: F.lit(True)))
+    both = (False, True)
+    missing = F.array(*[
+        F.struct(F.lit(not p).alias("primary"), F.lit(not f).alias("funnel"), F.lit(not r).alias("report"),
+                 (known_or_not("primary", p) * known_or_not("funnel", f) * known_or_not("report", r)).alias("n"))
+        for p in both for f in both for r in both])
+    return filled.select("link", F.filter(all_states, lambda s: s["n"] > 0).alias("states"),
+                         F.filter(missing, lambda m: m["n"] > 0).alias("missing"))
+
+
+def _with_link(activations: DataFrame, summary: DataFrame, entries: str, absent) -> DataFrame:
+    """Activations with one row per entry of their link's summary; those
+    without a link there have the entry ``absent``."""
+    s = summary.select(F.col("link").alias("s_link"), entries)
+    j = activations.join(s, activations["current_connected_to_account_id"] == s["s_link"], "left")
+    return j.withColumn("e", F.explode(F.coalesce(F.col(entries), F.array(absent)))).drop("s_link", entries)
 
 
 def missingness_by_source(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame,
                           cohort: DataFrame, country: str) -> DataFrame:
     """Same counts as ``missingness_crosstab_rows(wide_geo(...))`` without
-    building the fan-out.
+    building the fan-out (see :func:`link_summary`)."""
+    return missingness_from_summary(activations, link_summary(geo_rows, account_geo, cohort, country))
 
-    ``geo_rows`` is the funnel geography with each funnel row once
-    (``activation_geo(..., multiplicity=False)``).  Both many-sides are
-    reduced to (link, missing?) -> row count, and each activation adds the
-    product of the two counts: work and output are bounded by the number of
-    activations and links, whatever the number of rows per link.
-    """
-    nm = (_link_value_counts(geo_rows, "region")
-          .groupBy("nm_link", F.col("nm_v").isNull().alias("nm_null")).agg(F.sum("nm_n").alias("nm_n")))
-    rpt = (_report_value_counts(cohort, "geo_desc")
-           .groupBy("rpt_link", F.col("rpt_v").isNull().alias("rpt_null")).agg(F.sum("rpt_n").alias("rpt_n")))
-    ag = _primary_geo(account_geo, country)
-    s = activations.select("current_connected_to_account_id")
-    link = s["current_connected_to_account_id"]
-    j = (s.join(nm, link == nm["nm_link"], "left")
-         .join(ag, link == ag["geo_account_id"], "left")
-         .join(rpt, link == rpt["rpt_link"], "left"))
-    known = j.select(
-        "prim_subdivision_iso_code",
-        F.when(~F.coalesce(F.col("nm_null"), F.lit(True)), 1).alias("region"),
-        F.when(~F.coalesce(F.col("rpt_null"), F.lit(True)), 1).alias("geo_desc"),
-        (F.coalesce(F.col("nm_n"), F.lit(1)) * F.coalesce(F.col("rpt_n"), F.lit(1))).alias("n_rows"))
-    return missingness_crosstab(known, MISSING_FLAGS, weight="n_rows")
+
+def missingness_from_summary(activations: DataFrame, summary: DataFrame) -> DataFrame:
+    """The missing-source counts, read from a per-link summary: at most eight
+    entries per activation."""
+    yes = F.lit(True)
+    absent = F.struct(yes.alias("primary"), yes.alias("funnel"), yes.alias("report"), F.lit(1).cast("bigint").alias("n"))
+    j = _with_link(activations.select("current_connected_to_account_id"), summary, "missing", absent)
+    flags = {"geo_acct_missing_t_f": "primary", "nm_geo_missing_t_f": "funnel", "rpt_missing_t_f": "report"}
+    return (j.groupBy(*[F.col("e")[source].cast("int").alias(name) for name, source in flags.items()])
+            .agg(F.sum(F.col("e")["n"]).alias("cnt")))
 
 
 def market_region_rollup_by_source(activations: DataFrame, geo_rows: DataFrame, account_geo: DataFrame,
                                    cohort: DataFrame, country: str, market_map: Mapping[str, Iterable[str]],
                                    before: int, default_region: str = "missing") -> DataFrame:
-    """Same result as ``market_region_rollup(wide_geo(...))`` without
-    building the fan-out.
-
-    The state of a wide row is the first known of (funnel subdivision,
-    primary subdivision, report geography).  Per activation: every funnel
-    value v with c rows gives state v for c x (report rows) wide rows; the
-    rows without a funnel value take the primary subdivision if known, and
-    otherwise one state per report value.  Each activation thus yields at
-    most (distinct funnel values + distinct report values + 1) rows.
-    """
-    nm = _link_value_counts(geo_rows, "subdivision_desc")
-    nm_tot = nm.groupBy(F.col("nm_link").alias("t_link")).agg(
-        F.sum("nm_n").alias("n1"), F.sum(F.when(F.col("nm_v").isNull(), F.col("nm_n"))).alias("n1_null"))
-    rpt = _report_value_counts(cohort, "geo_desc")
-    rpt_tot = rpt.groupBy(F.col("rpt_link").alias("r_link")).agg(F.sum("rpt_n").alias("n3"))
-    ag = _primary_geo(account_geo, country)
-    s = activations.filter(F.col("signup_date") < before).select(
-        "account_id", "signup_date", F.col("current_connected_to_account_id").alias("link"))
-    e = (s.join(nm_tot, s["link"] == nm_tot["t_link"], "left")
-         .join(rpt_tot, s["link"] == rpt_tot["r_link"], "left")
-         .join(ag, s["link"] == ag["geo_account_id"], "left")
-         .select("account_id", "signup_date", "link", "prim_subdivision_iso_code",
-                 F.greatest(F.coalesce(F.col("n3"), F.lit(0)), F.lit(1)).alias("n3"),
-                 F.when(F.coalesce(F.col("n1"), F.lit(0)) == 0, F.lit(1))
-                 .otherwise(F.coalesce(F.col("n1_null"), F.lit(0))).alias("n_null")))
-    known = (e.join(nm.filter(F.col("nm_v").isNotNull()), e["link"] == nm["nm_link"], "inner")
-             .select("account_id", "signup_date", F.col("nm_v").alias("state"),
-                     (F.col("nm_n") * F.col("n3")).alias("n")))
-    primary = (e.filter((F.col("n_null") > 0) & F.col("prim_subdivision_iso_code").isNotNull())
-               .select("account_id", "signup_date", F.col("prim_subdivision_iso_code").alias("state"),
-                       (F.col("n_null") * F.col("n3")).alias("n")))
-    rest = e.filter((F.col("n_null") > 0) & F.col("prim_subdivision_iso_code").isNull())
-    report = (rest.join(rpt, rest["link"] == rpt["rpt_link"], "left")
-              .select("account_id", "signup_date", F.col("rpt_v").alias("state"),
-                      (F.col("n_null") * F.coalesce(F.col("rpt_n"), F.lit(1))).alias("n")))
-    per_state = (known.unionByName(primary).unionByName(report)
-                 .groupBy("signup_date", "state")
-                 .agg(F.sum("n").alias("n_rows"), F.count_distinct("account_id").alias("n_accounts")))
-    return (per_state.groupBy("signup_date", bucket("state", market_map, default_region).alias("region"))
-            .agg(F.sum("n_rows").cast("bigint").alias("signup_cnt"),
-                 F.sum("n_accounts").cast("bigint").alias("signup_accounts")))
+    """Same result as ``market_region_rollup(wide_geo(...))`` without building
+    the fan-out (see :func:`link_summary`)."""
+    summary = link_summary(geo_rows, account_geo, cohort, country)
+    return market_rollup_from_summary(activations, summary, market_map, before, default_region)
+
+
+def market_rollup_from_summary(activations: DataFrame, summary: DataFrame, market_map: Mapping[str, Iterable[str]],
+                               before: int, default_region: str = "missing") -> DataFrame:
+    """The market roll-up, read from a per-link summary: each activation
+    yields one row per distinct state of its link, and both measures come from
+    these rows."""
+    absent = F.struct(F.lit(None).cast("string").alias("state"), F.lit(1).cast("bigint").alias("n"))
+    s = activations.filter(F.col("signup_date") < before).select("account_id", "signup_date", "current_connected_to_account_id")
+    j = _with_link(s, summary, "states", absent).select("account_id", "signup_date", F.col("e")["state"].alias("state"), F.col("e")["n"].alias("n"))
+    # one row per (day, state, account) first, so that both measures are sums
+    per_account = j.groupBy("signup_date", "state", "account_id").agg(F.sum("n").alias("n"))
+    return (per_account.groupBy("signup_date", bucket("state", market_map, default_region).alias("region"))
+            .agg(F.sum("n").alias("signup_cnt"), F.count("account_id").alias("signup_accounts")))
 
 
 def market_region_rollup(wide: DataFrame, market_map: Mapping[str, Iterable[str]], before: int,

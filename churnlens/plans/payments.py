@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.dates import epoch_ms_to_int_date, int_date_month
 from churnlens.functions.lookups import FOCUS_ISSUERS, FRAUD_REASONS
-from churnlens.functions.values import decode, flag, map_get, normalise_institution, not_sentinel, safe_cast
+from churnlens.functions.values import decode, flag, map_key, normalise_institution, not_sentinel, safe_cast
 
 # --- issuer fraud reports ------------------------------------------------------------
 
@@ -23,11 +23,12 @@ def decode_reason(reports: DataFrame, col: str = "fraud_reason", mapping: Mappin
 def match_fraud_to_txn(txns: DataFrame, reports: DataFrame, since: int) -> DataFrame:
     """Payment transactions named by a fraud report (inner join on the
     report reference, read from the transaction's property map)."""
-    props = F.col("other_properties")
+    def prop(key):
+        return map_key(txns, "other_properties", key)
+
     t = (txns.filter(F.col("dateint") >= since)
-         .select(map_get(props, "customerId").alias("acct_id"),
-                 map_get(props, "isoCountryCode").alias("country_code"),
-                 map_get(props, "referenceId").alias("referenceId")))
+         .select(prop("customerId").alias("acct_id"), prop("isoCountryCode").alias("country_code"),
+                 prop("referenceId").alias("referenceId")))
     r = reports.select(F.col("referenceID").alias("report_ref"), "fraud_reason_text")
     return t.join(r, t["referenceId"] == r["report_ref"], "inner").drop("report_ref")
 
@@ -76,25 +77,28 @@ JOIN_KEYS = ["txn_type", "processor", "billing_period_nbr", "token_used", "count
 
 
 def chargeback_events(payments: DataFrame, since: int) -> DataFrame:
-    """Chargeback events with their map properties extracted once;
-    duplicates and unknown processors removed, amounts in units, not cents."""
-    dvm = F.col("degenerate_values_map")
+    """Chargeback events with their map properties (stored key columns where
+    the table has them); duplicates and unknown processors removed, amounts in
+    units, not cents."""
+    def value(key):
+        return map_key(payments, "degenerate_values_map", key)
+
     cb = payments.filter((F.col("pmt_event_type") == "chargeback_transaction") & (F.col("event_utc_date") >= since))
     cb = cb.select(
         F.col("event_utc_date").alias("chargeback_event_utc_date"),
         "country_code",
-        map_get(dvm, "original_txn_pmt_processor").alias("processor"),
-        map_get(F.col("natural_key_map"), "original_txn_id").alias("original_txn_id"),
-        map_get(dvm, "original_txn_type").alias("original_txn_type"),
-        safe_cast(map_get(dvm, "billing_period"), "int").alias("billing_period_nbr"),
-        map_get(dvm, "retry_mode").alias("raw_retry_mode"),
-        epoch_ms_to_int_date(map_get(dvm, "original_txn_date")).alias("original_txn_utc_date"),
-        map_get(dvm, "token_used").alias("token_used"),
-        F.coalesce(map_get(dvm, "is_chained_txn"), F.lit("false")).alias("is_chained_txn"),
-        F.coalesce(map_get(dvm, "is_duplicate"), F.lit("false")).alias("is_duplicate"),
-        map_get(F.col("dimension_sk_map"), "pmt_mop_metadata_sk").alias("pmt_mop_metadata_sk"),
-        map_get(F.col("facts_map"), "record_count").alias("chargeback_cnt"),
-        (map_get(F.col("facts_map"), "chargeback_amount") / 100).alias("chargeback_amount"),
+        value("original_txn_pmt_processor").alias("processor"),
+        map_key(payments, "natural_key_map", "original_txn_id").alias("original_txn_id"),
+        value("original_txn_type").alias("original_txn_type"),
+        safe_cast(value("billing_period"), "int").alias("billing_period_nbr"),
+        value("retry_mode").alias("raw_retry_mode"),
+        epoch_ms_to_int_date(value("original_txn_date")).alias("original_txn_utc_date"),
+        value("token_used").alias("token_used"),
+        F.coalesce(value("is_chained_txn"), F.lit("false")).alias("is_chained_txn"),
+        F.coalesce(value("is_duplicate"), F.lit("false")).alias("is_duplicate"),
+        map_key(payments, "dimension_sk_map", "pmt_mop_metadata_sk").alias("pmt_mop_metadata_sk"),
+        map_key(payments, "facts_map", "record_count").alias("chargeback_cnt"),
+        (map_key(payments, "facts_map", "chargeback_amount") / 100).alias("chargeback_amount"),
     )
     return cb.filter((F.col("is_duplicate") != "true") & not_sentinel("processor", ("--",)))
 
@@ -106,10 +110,10 @@ def _issuer_dims(methods: DataFrame, institutions: DataFrame, groups: DataFrame,
     return mop.join(grp, mop["pmt_institution_desc"] == grp["g_desc"], "left").drop("g_desc")
 
 
-def chargeback_cube(payments: DataFrame, methods: DataFrame, institutions: DataFrame, groups: DataFrame,
+def chargeback_rows(payments: DataFrame, methods: DataFrame, institutions: DataFrame, groups: DataFrame,
                     countries: DataFrame, cb_since: int, event_since: int) -> DataFrame:
-    """Chargeback counts by original transaction day and eleven dimensions
-    (star join to payment method, issuer, issuer group and country)."""
+    """Chargebacks with the twelve dimensions of the cube (star join to
+    payment method, issuer, issuer group and country), one row per event."""
     cb = chargeback_events(payments, cb_since)
     dims = _issuer_dims(methods, institutions, groups, "inner")
     geo = countries.select(F.col("country_iso_code").alias("geo_country"), "estaff_subregion_desc", "country_desc")
@@ -117,7 +121,7 @@ def chargeback_cube(payments: DataFrame, methods: DataFrame, institutions: DataF
          .join(geo, cb["country_code"] == geo["geo_country"], "inner")
          .filter(F.col("original_txn_utc_date") >= event_since))
     sale = F.col("original_txn_type") == "SALE"
-    keyed = j.select(
+    return j.select(
         F.col("original_txn_utc_date").alias("event_utc_date"),
         F.when(sale, "RENEWAL").otherwise("REJOIN_CHARGE").alias("txn_type"),
         "processor",
@@ -128,7 +132,13 @@ def chargeback_cube(payments: DataFrame, methods: DataFrame, institutions: DataF
         .alias("issuer_institution_desc_grp"),
         F.col("affiliation").alias("pmt_brand"), F.col("pmt_type_desc").alias("pmt_type"),
         F.col("clear_bin").alias("bin"), "chargeback_cnt")
-    return keyed.groupBy(*CUBE_KEYS).agg(F.sum("chargeback_cnt").alias("chargeback_cnt"))
+
+
+def chargeback_cube(payments: DataFrame, methods: DataFrame, institutions: DataFrame, groups: DataFrame,
+                    countries: DataFrame, cb_since: int, event_since: int) -> DataFrame:
+    """Chargeback counts by original transaction day and eleven dimensions."""
+    rows = chargeback_rows(payments, methods, institutions, groups, countries, cb_since, event_since)
+    return rows.groupBy(*CUBE_KEYS).agg(F.sum("chargeback_cnt").alias("chargeback_cnt"))
 
 
 def approved_renewals(renewals: DataFrame, since: int) -> DataFrame:
@@ -162,26 +172,51 @@ def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe:
     return left.join(r, cond, "left").drop(*[f"r_{k}" for k in keys])
 
 
-def _branch(approved: DataFrame, cube: DataFrame, issuers: Sequence[str], period: int | None,
-            null_safe: bool, txn_type_map: Mapping[str, str] | None) -> DataFrame:
-    pmt = approved.filter(F.col("approved_cnt") > 0)
-    cb = cube
-    if period is not None:
-        pmt = pmt.withColumn("billing_period_nbr", F.lit(period))
-        cb = cb.withColumn("billing_period_nbr", F.lit(period))
+GRAIN = "grain"
+#: The period that renewals, and chargebacks compared with them, are put in.
+RENEWAL_PERIOD = 2
+
+
+def _at_grain(df: DataFrame, issuers: Sequence[str], measure: str) -> DataFrame:
+    return (df.filter(F.col("issuer_institution_desc_grp").isin(list(issuers)))
+            .groupBy(GRAIN, *JOIN_KEYS).agg(F.sum(measure).alias(measure)))
+
+
+def approved_by_grain(rejoin_charges: DataFrame, renewals: DataFrame, issuers: Sequence[str],
+                      txn_type_map: Mapping[str, str] | None = None) -> DataFrame:
+    """Positive approved counts of both branches at the nine-key grain:
+    rejoin charges with their own period (grain 0), renewals with the forced
+    one (grain 1)."""
+    kind = F.col("txn_type")
     if txn_type_map:
-        pmt = pmt.withColumn("txn_type", F.coalesce(
-            F.try_element_at(F.create_map(*[F.lit(x) for kv in txn_type_map.items() for x in kv]),
-                             F.col("txn_type")), F.col("txn_type")))
-    pmt = pmt.groupBy(*JOIN_KEYS).agg(F.sum("approved_cnt").cast("bigint").alias("approved_cnt"))
-    cb = cb.groupBy(*JOIN_KEYS).agg(F.sum("chargeback_cnt").alias("chargeback_cnt"))
-    j = _key_join(pmt, cb, JOIN_KEYS, null_safe)
-    return (j.filter(F.col("issuer_institution_desc_grp").isin(list(issuers)))
-            .select(*JOIN_KEYS, "approved_cnt",
-                    F.coalesce(F.col("chargeback_cnt"), F.lit(0.0)).alias("chargeback_cnt")))
-
-
-def chargeback_vs_approved(cube: DataFrame, rejoin_charges: DataFrame, renewals: DataFrame,
+        kind = decode("txn_type", txn_type_map, passthrough=True)
+    own = [k for k in JOIN_KEYS if k not in ("txn_type", "billing_period_nbr")]
+
+    def branch(df: DataFrame, grain: int, txn_type, period) -> DataFrame:
+        return df.filter(F.col("approved_cnt") > 0).select(
+            F.lit(grain).alias(GRAIN), txn_type.alias("txn_type"), period.cast("int").alias("billing_period_nbr"), *own, "approved_cnt")
+
+    both = (branch(rejoin_charges, 0, F.col("txn_type"), F.col("billing_period_nbr"))
+            .unionByName(branch(renewals, 1, kind, F.lit(RENEWAL_PERIOD))))
+    return _at_grain(both, issuers, "approved_cnt")
+
+
+def chargebacks_by_grain(chargebacks: DataFrame, issuers: Sequence[str]) -> DataFrame:
+    """Chargebacks at the nine-key grain, once with their own period (grain
+    0) and once with the forced one (grain 1), in one aggregation: the grain
+    and its period are the two grouping sets.  They are dealt by ``explode``
+    and not by ``GROUPING SETS``, because the second set needs a key of its
+    own value, not a NULL, to join on; map tasks reduce both before the
+    shuffle."""
+    sets = F.array(F.struct(F.lit(0).alias(GRAIN), F.col("billing_period_nbr").cast("int").alias("period")),
+                   F.struct(F.lit(1).alias(GRAIN), F.lit(RENEWAL_PERIOD).alias("period")))
+    own = [k for k in JOIN_KEYS if k != "billing_period_nbr"]
+    both = (chargebacks.select(*own, "chargeback_cnt", F.explode(sets).alias("set"))
+            .select(F.col("set")[GRAIN].alias(GRAIN), F.col("set")["period"].alias("billing_period_nbr"), *own, "chargeback_cnt"))
+    return _at_grain(both, issuers, "chargeback_cnt")
+
+
+def chargeback_vs_approved(chargebacks: DataFrame, rejoin_charges: DataFrame, renewals: DataFrame,
                            issuers: Iterable[str] = FOCUS_ISSUERS, txn_type_map: Mapping[str, str] | None = None,
                            null_safe: bool = False) -> DataFrame:
     """Approved counts with matching chargeback counts (0 when none) at a
@@ -189,17 +224,22 @@ def chargeback_vs_approved(cube: DataFrame, rejoin_charges: DataFrame, renewals:
     2 on both sides), restricted to the focus issuers; the two branches are
     concatenated.
 
+    ``chargebacks`` is :func:`chargeback_rows` or anything coarser that keeps
+    the nine keys, such as :func:`chargeback_cube`.  Both branches are one
+    stack with a ``grain`` key: the chargebacks are scanned, star-joined and
+    aggregated once, the approved counts aggregated once, and one join on the
+    grain and the nine keys, which both sides are already dealt by, serves
+    both.
+
     As written, the renewal branch is typed ``'SALE'`` while chargebacks are
     typed ``'RENEWAL'`` / ``'REJOIN_CHARGE'``, so its chargeback count is
     always 0; ``txn_type_map={'SALE': 'RENEWAL'}`` aligns them.  Keys are
     compared with SQL ``=`` (NULL never matches) unless ``null_safe``.
-    Both sides are aggregated to the join grain before the join, and the
-    issuer filter reaches below the join and the aggregate.
     """
     issuers = list(issuers)
-    rejoin = _branch(rejoin_charges, cube, issuers, None, null_safe, None)
-    renew = _branch(renewals, cube, issuers, 2, null_safe, txn_type_map)
-    return rejoin.unionByName(renew)
+    approved = approved_by_grain(rejoin_charges, renewals, issuers, txn_type_map)
+    joined = _key_join(approved, chargebacks_by_grain(chargebacks, issuers), [GRAIN, *JOIN_KEYS], null_safe)
+    return joined.select(*JOIN_KEYS, "approved_cnt", F.coalesce(F.col("chargeback_cnt"), F.lit(0.0)).alias("chargeback_cnt"))
 
 
 MONTH_KEYS = ["event_utc_month", "estaff_subregion_desc", "country_desc", "country_iso_code",
@@ -214,14 +254,14 @@ def refund_count_monthly(payments: DataFrame, methods: DataFrame, institutions:
     As written the issuer label is the raw grouped name; ``normalise``
     applies the same upper-case / quote rule as the approved side.
     """
-    dvm = F.col("degenerate_values_map")
-    f = (payments.filter((F.col("event_utc_date") >= since) & (F.col("pmt_event_type") == "payment_transaction"))
-         .select("event_utc_date", "country_code",
-                 map_get(dvm, "txn_type").alias("txn_type"), map_get(dvm, "txn_status").alias("txn_status"),
-                 map_get(dvm, "mop_type").alias("mop_type"),
-                 map_get(F.col("natural_key_map"), "req_proc_ref_id").alias("req_proc_ref_id"),
-                 map_get(F.col("dimension_sk_map"), "pmt_mop_metadata_sk").alias("pmt_mop_metadata_sk"))
-         .filter((F.col("txn_type") == "REFUND") & (F.col("txn_status") == "APPROVED")))
+    def value(key):
+        return map_key(payments, "degenerate_values_map", key)
+
+    f = (payments.filter((F.col("event_utc_date") >= since) & (F.col("pmt_event_type") == "payment_transaction")
+                         & (value("txn_type") == "REFUND") & (value("txn_status") == "APPROVED"))
+         .select("event_utc_date", "country_code", value("mop_type").alias("mop_type"),
+                 map_key(payments, "natural_key_map", "req_proc_ref_id").alias("req_proc_ref_id"),
+                 map_key(payments, "dimension_sk_map", "pmt_mop_metadata_sk").alias("pmt_mop_metadata_sk")))
     dims = _issuer_dims(methods, institutions, groups, "left")
     geo = countries.select(F.col("country_iso_code").alias("geo_country"), "estaff_subregion_desc", "country_desc")
     j = (f.join(dims, "pmt_mop_metadata_sk", "left")

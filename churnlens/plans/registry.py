@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from churnlens.functions import dates as D
 from churnlens.functions import values as V
-from churnlens.functions.lookups import FOCUS_ISSUERS
+from churnlens.functions.lookups import FOCUS_ISSUERS, MARKET_DEFAULT, MARKET_REGIONS, SUBDIVISION_DEFAULT, SUBDIVISION_REGIONS
 from churnlens.operators import aggregates as A
 from churnlens.operators import joins as J
 from churnlens.operators import windows as W
 from churnlens.plans import cohorts, geo, partners, payments
 from churnlens.session import shared_dir
 from churnlens.sources import text
+from churnlens.sources.daily import DailyTable
 from churnlens.sources.warehouse import Warehouse
 
 # Business parameters of the registered runs (values of the driver data).
@@ -263,30 +264,46 @@ def _wide(t: Warehouse) -> DataFrame:
 
 
 def q_activation_geo(s, d): return _activation_geo(_t(s, d))
+def q_activation_geo_weighted(s, d):
+    t = _t(s, d)
+    return geo.activation_geo_weighted(t.signup_funnel, t.geo_subdivision, _activations(t), REGION_MAP, 19951231, P["country"])
+
+
+def _wide_factors(t: Warehouse) -> DataFrame:
+    return geo.wide_geo_factors(_activations(t), _activation_geo(t, False), t.account_geo, t.partner_cohort, P["country"])
+
+
+def q_wide_geo_factors(s, d): return _wide_factors(_t(s, d))
 def q_attach_primary_geo(s, d): return _primary(_t(s, d))
 def q_attach_cohort_geo(s, d): return _cohort_geo(_t(s, d))
 def q_state_counts_priority(s, d): return geo.state_counts_priority(_cohort_geo(_t(s, d)), 20000101)
 def q_wide_geo(s, d): return _wide(_t(s, d))
-def _missing(t: Warehouse) -> DataFrame:
-    return geo.missingness_by_source(_activations(t), _activation_geo(t, False), t.account_geo, t.partner_cohort,
-                                     P["country"])
 
 
-# ``missingness_by_source`` and the roll-up are computed from per-link counts
-# (no activation x funnel x report rows are built); ``missingness_crosstab``
-# applies the operator to the rows of ``wide_geo`` themselves.
+def _link_summary(t: Warehouse) -> DataFrame:
+    """Stored once per input; both reports over the wide rows read it."""
+    return t.intermediate("link_summary", geo.link_summary, _activation_geo(t, False), t.account_geo, t.partner_cohort,
+                          about=repr((P, REGION_MAP)), country=P["country"])
+
+
+# ``missingness_by_source`` and the roll-up are computed from the per-link
+# summary (no activation x funnel x report rows are built);
+# ``missingness_crosstab`` applies the operator to the rows of ``wide_geo``.
 def q_missingness_crosstab(s, d):
     return A.missingness_crosstab(_wide(_t(s, d)), {
         "geo_acct_missing_t_f": "prim_subdivision_iso_code", "nm_geo_missing_t_f": "region", "rpt_missing_t_f": "geo_desc"})
 
 
-def q_missingness_by_source(s, d): return _missing(_t(s, d))
+def q_missingness_by_source(s, d):
+    t = _t(s, d)
+    return geo.missingness_from_summary(_activations(t), _link_summary(t))
 
 
 def q_market_region_rollup(s, d):
     t = _t(s, d)
-    return geo.market_region_rollup_by_source(_activations(t), _activation_geo(t, False), t.account_geo,
-                                              t.partner_cohort, P["country"], MARKET_MAP, 20000101)
+    return geo.market_rollup_from_summary(_activations(t), _link_summary(t), MARKET_MAP, 20000101)
+
+
 def q_cohort_size(s, d): return geo.cohort_size(_t(s, d).partner_cohort, P["partner"], "PS", 19970520)
 
 
@@ -350,12 +367,11 @@ def q_fraud_chargeback_status(s, d): return _status(_t(s, d))
 def q_fraud_summary(s, d): return payments.fraud_summary(_status(_t(s, d)))
 
 
-def _cube(t: Warehouse) -> DataFrame:
-    return payments.chargeback_cube(t.payment_event, t.payment_method, t.institution,
-                                    t.institution_group, t.geo_country, 20240101, 20231001)
+def _payment_star(t: Warehouse) -> tuple[DataFrame, ...]:
+    return t.payment_event, t.payment_method, t.institution, t.institution_group, t.geo_country
 
 
-def q_chargeback_cube(s, d): return _cube(_t(s, d))
+def q_chargeback_cube(s, d): return payments.chargeback_cube(*_payment_star(_t(s, d)), 20240101, 20231001)
 def q_chargeback_amounts(s, d):
     return payments.chargeback_events(_t(s, d).payment_event, 20240101).select(
         "original_txn_id", "country_code", "processor", "original_txn_utc_date", "chargeback_amount")
@@ -365,7 +381,7 @@ def q_approved_rejoin_charges(s, d): return payments.approved_rejoin_charges(_t(
 
 def _cb_vs(t: Warehouse, txn_type_map=None) -> DataFrame:
     return payments.chargeback_vs_approved(
-        _cube(t), payments.approved_rejoin_charges(t.validation_agg, 20231001),
+        payments.chargeback_rows(*_payment_star(t), 20240101, 20231001), payments.approved_rejoin_charges(t.validation_agg, 20231001),
         payments.approved_renewals(t.renewal_agg, 20231001), FOCUS_ISSUERS, txn_type_map)
 
 
@@ -374,8 +390,7 @@ def q_chargeback_vs_approved_aligned(s, d): return _cb_vs(_t(s, d), {"SALE": "RE
 
 
 def _refunds(t: Warehouse) -> DataFrame:
-    return payments.refund_count_monthly(t.payment_event, t.payment_method, t.institution,
-                                         t.institution_group, t.geo_country, 20231001)
+    return payments.refund_count_monthly(*_payment_star(t), 20231001)
 
 
 def q_refund_count_monthly(s, d): return _refunds(_t(s, d))
@@ -388,6 +403,17 @@ def q_refund_vs_approved(s, d):
                                        FOCUS_ISSUERS)
 
 
+def q_refresh_daily_view(s, d):
+    """The payment events kept as a day table: first the days before the
+    middle of the month, then a refresh that writes only the days since."""
+    t = _t(s, d)
+    rows = t.payment_event.select("event_utc_date", "account_id", "event_utc_ms_ts", "pmt_event_type", "country_code")
+    table = DailyTable(s, _attempt(s, "daily", d), "event_utc_date")
+    table.refresh(rows.filter(F.col("event_utc_date") < 20240115))
+    table.refresh(rows)
+    return table.read().select(rows.columns)
+
+
 # --- building blocks on their own -------------------------------------------------------
 
 def q_existence_flag(s, d):
@@ -400,7 +426,14 @@ def q_existence_flag(s, d):
 def q_dedupe_first(s, d):
     li = _t(s, d).tables.lineitem
     order = [c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
-    return W.dedupe_first(li, ["l_orderkey", "l_linenumber"], order)
+    return W.dedupe_first(li, ["l_orderkey", "l_linenumber"], order, nearly_unique=True)
+
+
+def q_dedupe_first_repeated(s, d):
+    """The first event of each (user, type): keys repeat, so that map tasks
+    reduce them."""
+    e = _t(s, d).tables.events.select("user_id", "event_type", "ts", "event_id")
+    return W.dedupe_first(e, ["user_id", "event_type"], ["ts", "event_id"])
 
 
 def q_event_sequence(s, d):
@@ -412,6 +445,18 @@ def q_event_sequence(s, d):
         "event_id", "user_id", "row_cnt")
 
 
+def q_event_sequence_by_range(s, d):
+    """The same numbers from rows sorted over all tasks: one user, or one
+    hour of a user, may hold any share of the events."""
+    def store(df: DataFrame) -> DataFrame:
+        path = _attempt(s, "sequence", d)
+        df.write.parquet(path)
+        return s.read.schema(df.schema).parquet(path)
+
+    e = _t(s, d).tables.events.select("event_id", "user_id", "ts")
+    return W.event_sequence_by_range(e, "user_id", "ts", "event_id", store).select("event_id", "user_id", "row_cnt")
+
+
 def q_distinct_pairs(s, d): return _t(s, d).tables.events.select("user_id", "event_type").distinct()
 
 
@@ -423,6 +468,16 @@ def q_region_bucket(s, d):
             .select("c_custkey", "n_name", V.bucket("n_name", REGION_MAP, "Other").alias("region")))
 
 
+def q_region_bucket_states(s, d):
+    """Both region lists over real state names, dealt to customers by number
+    (the driver data name no states)."""
+    names = sorted({x for values in [*SUBDIVISION_REGIONS.values(), *MARKET_REGIONS.values()] for x in values}) + ["Atlantis"]
+    state = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % len(names) + 1).cast("int"))
+    named = _t(s, d).tables.customer.select("c_custkey", state.alias("state"))
+    return named.select("c_custkey", "state", V.bucket("state", SUBDIVISION_REGIONS, SUBDIVISION_DEFAULT).alias("region"),
+                        V.bucket("state", MARKET_REGIONS, MARKET_DEFAULT).alias("market"))
+
+
 def q_normalise_institution(s, d):
     """Issuer label of every payment method (grouped name, else the cleaned
     raw name, upper-cased)."""
@@ -437,17 +492,17 @@ def q_normalise_institution(s, d):
 
 def q_safe_cast_keys(s, d):
     txn = _t(s, d).payment_txn_event
-    acct = V.map_get("other_properties", "customerId")
+    acct = V.map_key(txn, "other_properties", "customerId")
     return txn.select(acct.alias("acct_text"), V.safe_cast(acct, "bigint").alias("acct_id"))
 
 
 def q_map_extract(s, d):
     pe = _t(s, d).payment_event
-    m = F.col("degenerate_values_map")
+    m = "degenerate_values_map"
     return pe.select("account_id", "event_utc_ms_ts",
-                     V.map_get(m, "mop_postal_code").alias("mop_postal_code"),
-                     V.map_get(m, "is_duplicate").alias("is_duplicate"),
-                     V.map_get(m, "q").alias("q"))
+                     V.map_key(pe, m, "mop_postal_code").alias("mop_postal_code"),
+                     V.map_key(pe, m, "is_duplicate").alias("is_duplicate"),
+                     V.map_key(pe, m, "q").alias("q"))  # not stored: looked up in the map
 
 
 def q_int_date_diff(s, d):
@@ -473,7 +528,7 @@ def q_int_date_timestamp(s, d):
 
 def q_epoch_ms_to_int_date(s, d):
     pe = _t(s, d).payment_event
-    ms = V.map_get("degenerate_values_map", "original_txn_date")
+    ms = V.map_key(pe, "degenerate_values_map", "original_txn_date")
     return pe.select("account_id", "event_utc_ms_ts", D.epoch_ms_to_int_date(ms).alias("original_txn_utc_date"))
 
 
@@ -488,7 +543,7 @@ def q_filter_in_list(s, d):
 
 def q_filter_sentinels(s, d):
     pe = _t(s, d).payment_event
-    code = V.map_get("degenerate_values_map", "mop_postal_code")
+    code = V.map_key(pe, "degenerate_values_map", "mop_postal_code")
     return pe.select("account_id", "event_utc_ms_ts", code.alias("mop_postal_code")).filter(
         V.not_sentinel("mop_postal_code", ("--",)))
 

@@ -6,8 +6,11 @@ domain view once per input folder to the shared checkpoint folder
 (``spark.checkpoint.dir``) and reads it back, which
 
 - turns integer dates into stored columns, so date ranges reach the Parquet
-  scan (``PushedFilters``, row-group skipping on date-sorted files); property
-  maps are stored as maps, and predicates on their keys run above the scan;
+  scan (``PushedFilters``, row-group skipping on date-sorted files); keys of
+  property maps are stored as columns beside the maps, so predicates on them
+  reach the scan too;
+- buckets the subscription facts by (account, subscription), so joins and
+  group-bys on these keys need no shuffle;
 - cuts lineage at a written table in the shared folder, so a lost executor
   re-reads files instead of recomputing the adapter joins;
 - builds each adapter join once instead of once per analysis.
@@ -22,71 +25,105 @@ from __future__ import annotations
 import hashlib
 import inspect
 import os
+import re
 import uuid
 import weakref
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.functions import dates as _dates
 from churnlens.functions import values as _values
+from churnlens.functions.values import with_stored_keys
 from churnlens.session import shared_dir
 from churnlens.sources import adapters as ad
 from churnlens.sources.tables import TABLES, Tables
 
-# view name -> (adapter, column the files are sorted on inside each task)
-# Event facts are also partitioned by that integer date (one folder per
-# day), so a date range on the stored column prunes whole folders.
-PARTITIONED = {"payment_event", "title_views", "connection_event", "stream_block", "partner_signup_service",
-               "payment_txn_event", "chargeback_summary", "event_signups"}
+
+@dataclass(frozen=True)
+class View:
+    """How a domain view is stored.
+
+    sort: column the files are sorted on, so that row groups can be skipped;
+    by_day: one folder per value of it (event facts), so that date ranges
+    prune folders; keys: bucketed by these columns, so that joins and
+    group-bys on them need no shuffle; map_keys: keys of property maps that
+    are stored as columns beside the maps; then_by: further sort columns.
+    """
+
+    adapter: Callable[[Tables], DataFrame]
+    sort: str | None = None
+    by_day: bool = False
+    keys: tuple[str, ...] = ()
+    map_keys: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    then_by: tuple[str, ...] = ()
+
+    def rows(self, tables: Tables) -> DataFrame:
+        return with_stored_keys(self.adapter(tables), self.map_keys)
+
+
+SUBSCRIPTION = ("account_id", "subscrn_id")
+
+#: Keys of the payment events' property maps that the analyses use.
+PAYMENT_KEYS = {
+    "degenerate_values_map": [
+        "mop_postal_code", "bin_metadata_type", "original_txn_pmt_processor", "original_txn_type", "billing_period", "retry_mode",
+        "original_txn_date", "token_used", "is_chained_txn", "is_duplicate", "txn_type", "txn_status", "mop_type"],
+    "natural_key_map": ["original_txn_id", "req_proc_ref_id"],
+    "dimension_sk_map": ["pmt_mop_metadata_sk"],
+    "facts_map": ["chargeback_amount", "record_count"],
+}
 
 VIEWS = {
-    "subscription": (ad.subscription, "signup_date"),
-    "signup_retention": (ad.signup_retention, "signup_date"),
-    "subscription_signup": (ad.subscription_signup, None),
-    "signup_funnel": (ad.signup_funnel, "event_region_date"),
-    "partner_cohort": (ad.partner_cohort, "enrollment_date"),
-    "subscription_hold": (ad.subscription_hold, "event_date"),
-    "billing_period": (ad.billing_period, "billing_period_end_date"),
-    "billing_subscription": (ad.billing_subscription, "billing_end_date"),
-    "device_activity": (ad.device_activity, "billing_period_end_date"),
-    "title_views": (ad.title_views, "region_date"),
-    "device_type": (ad.device_type, None),
-    "connection_event": (ad.connection_event, "utc_date"),
-    "stream_block": (ad.stream_block, "event_utc_date"),
-    "partner_signup_service": (ad.partner_signup_service, "processing_utc_date"),
-    "geo_market": (ad.geo_market, None),
-    "geo_postal": (ad.geo_postal, None),
-    "geo_subdivision": (ad.geo_subdivision, None),
-    "geo_country": (ad.geo_country, None),
-    "account_geo": (ad.account_geo, None),
-    "institution": (ad.institution, None),
-    "institution_group": (ad.institution_group, None),
-    "payment_method": (ad.payment_method, None),
-    "payment_event": (ad.payment_event, "event_utc_date"),
-    "payment_txn_event": (ad.payment_txn_event, "dateint"),
-    "chargeback_summary": (ad.chargeback_summary, "cb_event_utc_date"),
-    "fraud_file": (ad.fraud_file, None),
-    "renewal_agg": (ad.renewal_agg, "event_utc_date"),
-    "validation_agg": (ad.validation_agg, "event_utc_date"),
-    "event_signups": (ad.event_signups, "signup_date"),
+    "subscription": View(ad.subscription, "signup_date", keys=SUBSCRIPTION),
+    "signup_retention": View(ad.signup_retention, "signup_date", keys=SUBSCRIPTION),
+    "subscription_signup": View(ad.subscription_signup, keys=SUBSCRIPTION),
+    "signup_funnel": View(ad.signup_funnel, "event_region_date", keys=SUBSCRIPTION),
+    "partner_cohort": View(ad.partner_cohort, "enrollment_date"),
+    "subscription_hold": View(ad.subscription_hold, "event_date", keys=SUBSCRIPTION),
+    "billing_period": View(ad.billing_period, "billing_period_end_date", keys=SUBSCRIPTION),
+    "billing_subscription": View(ad.billing_subscription, "billing_end_date", keys=SUBSCRIPTION),
+    "device_activity": View(ad.device_activity, "billing_period_end_date", keys=SUBSCRIPTION),
+    "title_views": View(ad.title_views, "region_date", by_day=True),
+    "device_type": View(ad.device_type),
+    "connection_event": View(ad.connection_event, "utc_date", by_day=True),
+    "stream_block": View(ad.stream_block, "event_utc_date", by_day=True),
+    "partner_signup_service": View(ad.partner_signup_service, "processing_utc_date", by_day=True),
+    "geo_market": View(ad.geo_market),
+    "geo_postal": View(ad.geo_postal),
+    "geo_subdivision": View(ad.geo_subdivision),
+    "geo_country": View(ad.geo_country),
+    "account_geo": View(ad.account_geo),
+    "institution": View(ad.institution),
+    "institution_group": View(ad.institution_group),
+    "payment_method": View(ad.payment_method),
+    "payment_event": View(ad.payment_event, "event_utc_date", by_day=True, map_keys=PAYMENT_KEYS, then_by=("pmt_event_type", "txn_type")),
+    "payment_txn_event": View(ad.payment_txn_event, "dateint", by_day=True,
+                              map_keys={"other_properties": ["customerId", "isoCountryCode", "referenceId"]}),
+    "chargeback_summary": View(ad.chargeback_summary, "cb_event_utc_date", by_day=True),
+    "fraud_file": View(ad.fraud_file),
+    "renewal_agg": View(ad.renewal_agg, "event_utc_date"),
+    "validation_agg": View(ad.validation_agg, "event_utc_date"),
+    "event_signups": View(ad.event_signups, "signup_date", by_day=True),
 }
 
 
-def _jvm_fs(spark: SparkSession, path: str):
+def jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _jvm_fs(spark, path)
+    fs, p = jvm_fs(spark, path)
     return bool(fs.exists(p))
 
 
-def _complete_attempts(spark: SparkSession, folder: str) -> list[str]:
+def complete_attempts(spark: SparkSession, folder: str) -> list[str]:
     """Attempt folders under ``folder`` whose write committed (``_SUCCESS``),
     newest first."""
-    fs, p = _jvm_fs(spark, folder)
+    fs, p = jvm_fs(spark, folder)
     if not fs.exists(p):
         return []
     out = []
@@ -110,18 +147,24 @@ def _fingerprint(spark: SparkSession, root: str, version: str | None = None) ->
     for module in (ad, _dates, _values):  # the rules that define the views
         h.update(inspect.getsource(module).encode())
     h.update(inspect.getsource(Warehouse).encode())  # and the storage layout
-    h.update(repr((sorted(VIEWS), sorted(PARTITIONED))).encode())
+    h.update(repr([(k, v.sort, v.by_day, v.keys, v.map_keys, v.then_by) for k, v in sorted(VIEWS.items())]).encode())
     if version is not None:
         h.update(f"version:{version}".encode())
     else:
         for name in TABLES:
-            fs, p = _jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
+            fs, p = jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
             if fs.exists(p):
                 st = fs.getFileStatus(p)
                 h.update(f"{name}:{fs.getContentSummary(p).getLength()}:{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
+def _table_name(path: str) -> str:
+    """Catalog name of a stored attempt: its last three folders (input and
+    rules, view, attempt)."""
+    return "churnlens_" + re.sub(r"\W", "_", "_".join(path.rstrip("/").split("/")[-3:]))
+
+
 # Per-session memo of resolved folders and opened views: a view is listed
 # and its schema read once per session, later analyses reuse the same
 # relation (a plan node, not data).
@@ -142,24 +185,31 @@ class Warehouse:
     ``materialize=False`` returns the lazy adapter plans instead (used to
     inspect the end-to-end plan of an analysis over the raw tables).
     Raw driver tables stay available as ``.tables``.
+
+    ``buckets`` is the number of buckets of the subscription facts, by default
+    the session's number of shuffle partitions: size it like a shuffle of the
+    largest fact.  Tables built with another number stay apart, since only
+    equal numbers of buckets join without a shuffle.
     """
 
-    def __init__(self, spark: SparkSession, root: str, materialize: bool = True, version: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, materialize: bool = True, version: str | None = None,
+                 buckets: int | None = None):
         self.spark = spark
         self.root = root
         self.version = version
         self.tables = Tables(spark, root)
         self.materialize = materialize
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._base = None
         self._forced: dict[str, str] = {}
 
     def _path(self, name: str) -> str:
         if self._base is None:
             bases = _state(self.spark)["base"]
-            key = (self.root, self.version)
+            key = (self.root, self.version, self.buckets)
             if key not in bases:
                 fp = _fingerprint(self.spark, self.root, self.version)
-                bases[key] = shared_dir(self.spark, f"churnlens/warehouse/{fp}")
+                bases[key] = shared_dir(self.spark, f"churnlens/warehouse/{fp}-{self.buckets}")
             self._base = bases[key]
         return os.path.join(self._base, name)
 
@@ -174,29 +224,52 @@ class Warehouse:
         """
         folder = self._path(name)
         if not force:
-            done = _complete_attempts(self.spark, folder)
+            done = complete_attempts(self.spark, folder)
             if done:
                 return done[0]
-        adapter, sort_col = VIEWS[name]
-        df = adapter(self.tables)
+        view = VIEWS[name]
+        df = view.rows(self.tables)
         path = os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
-        writer = (df.sortWithinPartitions(sort_col) if sort_col is not None else df).write.mode("errorifexists")
-        if name in PARTITIONED:
+        if view.by_day:
             # cluster by day; AQE splits a day that is larger than the advisory
             # partition size over several tasks (and files)
-            writer = df.hint("rebalance", sort_col).sortWithinPartitions(sort_col).write.mode("errorifexists") \
-                       .partitionBy(sort_col)
-        writer.parquet(path)
+            (df.hint("rebalance", view.sort).sortWithinPartitions(view.sort, *view.then_by)
+             .write.mode("errorifexists").partitionBy(view.sort).parquet(path))
+        elif view.keys:
+            self._write_bucketed(df, view, path)
+        else:
+            (df.sortWithinPartitions(view.sort) if view.sort else df).write.mode("errorifexists").parquet(path)
         if force:
             self._forced[name] = path
         return path
 
+    def _write_bucketed(self, df: DataFrame, view: View, path: str) -> None:
+        """One file per bucket: the rows are dealt by the same hash that
+        assigns buckets.  (account, subscription) keys hardly repeat, so
+        buckets are even.  The catalog entry lies over files in the shared
+        folder; it is made when the view is opened (a session's catalog may
+        not outlive it)."""
+        writer = df.repartition(self.buckets, *view.keys).write.bucketBy(self.buckets, *view.keys)
+        if view.sort:
+            writer = writer.sortBy(view.sort)
+        writer.option("path", path).saveAsTable(_table_name(path))
+
+    def _open_bucketed(self, view: View, path: str) -> DataFrame:
+        table = _table_name(path)
+        if not self.spark.catalog.tableExists(table):
+            columns = self.spark.read.parquet(path)._jdf.schema().toDDL()
+            sort = f"SORTED BY ({view.sort})" if view.sort else ""
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+                           f"CLUSTERED BY ({', '.join(view.keys)}) {sort} INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
     def drop(self, name: str, keep: str | None = None) -> None:
         """Delete the stored attempts of a view (but ``keep``).  For callers
         who know that nothing reads them any more."""
-        for path in _complete_attempts(self.spark, self._path(name)):
+        for path in complete_attempts(self.spark, self._path(name)):
             if path.rstrip("/").rsplit("/", 1)[-1] != (keep or "").rstrip("/").rsplit("/", 1)[-1]:
-                fs, p = _jvm_fs(self.spark, path)
+                self.spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+                fs, p = jvm_fs(self.spark, path)
                 fs.delete(p, True)
         views = _state(self.spark)["views"]
         for key in [k for k in views if k[0] == self.root and k[2] == name]:
@@ -218,14 +291,34 @@ class Warehouse:
 
     def view(self, name: str) -> DataFrame:
         if not self.materialize:
-            return VIEWS[name][0](self.tables)
+            return VIEWS[name].adapter(self.tables)
         path = self._forced.get(name) or None
         views = _state(self.spark)["views"]
-        key = (self.root, self.version, name, path)
+        key = (self.root, self.version, name, path, *([self.buckets] if VIEWS[name].keys else []))
         if key not in views:
-            views[key] = self.spark.read.parquet(path or self.build(name))
+            stored = path or self.build(name)
+            views[key] = self._open_bucketed(VIEWS[name], stored) if VIEWS[name].keys else self.spark.read.parquet(stored)
         return views[key]
 
+    def intermediate(self, name: str, rule: Callable[..., DataFrame], *inputs: DataFrame, about: str = "", **parameters) -> DataFrame:
+        """``rule(*inputs, **parameters)``, stored once and shared by all
+        analyses that ask for it: a table that several reports read, as the
+        original reports store theirs.  Its key is the warehouse's input, the
+        name, the parameters, the source of the rule's module, and ``about``:
+        whatever else the inputs depend on."""
+        if not self.materialize:
+            return rule(*inputs, **parameters)
+        key = hashlib.sha1((inspect.getsource(inspect.getmodule(rule)) + repr(sorted(parameters.items())) + about).encode()).hexdigest()[:16]
+        folder = self._path(os.path.join("intermediate", f"{name}-{key}"))
+        views = _state(self.spark)["views"]
+        if (folder, "intermediate", name) not in views:
+            done = complete_attempts(self.spark, folder)
+            path = done[0] if done else os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
+            if not done:
+                rule(*inputs, **parameters).write.mode("errorifexists").parquet(path)
+            views[folder, "intermediate", name] = self.spark.read.parquet(path)
+        return views[folder, "intermediate", name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)
