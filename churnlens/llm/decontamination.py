@@ -14,12 +14,16 @@ training passage under block-max pruning.
    of its question (all but its last line) and of its answer (the last line,
    if there are several) that stand in the passage.
 
-The index is built per ``MAX_ITEMS`` items; more items make several indexes,
-each queried with all passages.
+The collection's size, mean length and document frequencies are counted over
+all items by Spark.  An index holds the postings of at most ``MAX_ITEMS``
+items, so its size is bounded; more items make several indexes, each queried
+with all passages, with the same scores as one.
 
-Defined results: null and empty texts match nothing; items that are null or
-have fewer than ``NGRAM`` words are not searched for; repeated rows give
-repeated matches; without items or documents there are no matches.
+Defined results: null and empty texts match nothing, nor do items without
+words; an item of fewer than ``NGRAM`` words is one n-gram of its own length;
+items with a null id are searched for and reported with a null id, and ids may
+be of any type; repeated rows and repeated items give repeated matches;
+without items or documents there are no matches.
 """
 
 from __future__ import annotations
@@ -27,14 +31,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from churnlens.llm import kernels as K
-from churnlens.llm.frames import documents, keyed, unkeyed
+from churnlens.llm.frames import documents, keyed, unkeyed, written
 from churnlens.llm.license_scan import lower_words
 
 NGRAM = 5
@@ -54,33 +60,45 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(K.span_hashes(words, at, at + n))
 
 
+def item_words(text: str) -> np.ndarray:
+    raw, off = K.utf8(pa.array([text], pa.large_string()))
+    return lower_words(raw[off[0] : off[1]], off - off[0])[0]
+
+
+class Collection(NamedTuple):
+    """Items with words, their mean length, and that of the longest."""
+
+    n: int
+    mean: float
+    longest: int
+
+
 class ItemIndex:
     """Postings with normalised impacts, block maxima and n-gram sets."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple], collection: "Collection", df: dict[int, int]):
         sequences, self.ids, parts = [], [], []
         for item, text in items:
-            lines = [x for x in text.split("\n") if x.strip()]
-            words = [self._words(x) for x in lines]
+            words = [w for w in map(item_words, text.split("\n")) if len(w)]
             whole = np.concatenate(words) if words else np.zeros(0, np.uint64)
-            if len(whole) < NGRAM:
+            if not len(whole):
                 continue
-            question = np.concatenate(words[:-1]) if len(words) > 1 else whole
-            answer = words[-1] if len(words) > 1 else np.zeros(0, np.uint64)
+            short = len(whole) < NGRAM
+            question = np.concatenate(words[:-1]) if len(words) > 1 and not short else whole
+            answer = words[-1] if len(words) > 1 and not short else np.zeros(0, np.uint64)
             sequences.append(whole)
             self.ids.append(item)
             parts.append([(min(NGRAM, len(p)), grams(p, min(NGRAM, len(p)))) if len(p) else (0, p) for p in (question, answer)])
         self.parts = parts
-        self.longest = max((len(s) for s in sequences), default=1)
+        self.longest = collection.longest
         counts = [Counter(s.tolist()) for s in sequences]
-        df = Counter(t for c in counts for t in c)
-        n, mean = len(sequences), sum(map(len, sequences)) / max(1, len(sequences))
-        self.vocabulary = np.array(sorted(df), dtype=np.uint64)
+        n = len(sequences)
+        self.vocabulary = np.array(sorted({t for c in counts for t in c}), dtype=np.uint64)
         place = {t: i for i, t in enumerate(self.vocabulary.tolist())}
         rows = []
         for i, c in enumerate(counts):
-            norm = K1 * (1 - B + B * len(sequences[i]) / mean)
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
+            norm = K1 * (1 - B + B * len(sequences[i]) / collection.mean)
+            impact = {t: math.log(1 + (collection.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
             own = sum(impact.values())
             rows += [(place[t], i, x / own) for t, x in impact.items()]
         rows.sort()
@@ -103,11 +121,6 @@ class ItemIndex:
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    @staticmethod
-    def _words(text: str) -> np.ndarray:
-        raw, off = K.utf8(pa.array([text], pa.large_string()))
-        return lower_words(raw[off[0] : off[1]], off - off[0])[0]
-
     def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where vocabulary words stand, and which."""
         at = np.flatnonzero(self.filter[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -194,59 +207,103 @@ class ItemIndex:
             yield d, self.ids[item], score, begin, question, answer
 
 
-MATCH = "array<struct<item:bigint,score:double,first_word:int,question:double,answer:double>>"
+def numbered_items(items: DataFrame, id_col: str, text_col: str, max_items: int) -> tuple[DataFrame, int]:
+    """``item``, ``text``, ``part`` of every item with a text, and the number
+    of parts; a part holds about ``max_items`` / 2 items at most."""
+    rows = items.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "items")
+    n = rows.count()
+    parts = 1 if n <= max_items else -(-2 * n // max_items)
+    return rows.select("item", "text", "row", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")), parts
 
 
-def contaminated(base: DataFrame, items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """``row``, ``text`` and ``matches`` of every document, once per index."""
-    items = items.select(F.col(f"`{id_col}`").cast("bigint").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = items.where("item is not null and text is not null")
-    parts = max(1, -(-items.count() // MAX_ITEMS))
-    row = base.schema["row"].dataType.simpleString()
+def item_statistics(items: DataFrame) -> tuple[Collection, DataFrame]:
+    """The collection, and ``part``, ``term``, ``df`` of each part's terms
+    with their document frequency over all items."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            for row, end, raw, off in K.slices(batch.column("text")):
+                words, doc = lower_words(raw, off)
+                size = np.diff(doc)
+                which = np.repeat(np.arange(end - row), size)
+                vocabulary, term = np.unique(words, return_inverse=True)
+                pairs = np.unique(which * max(1, len(vocabulary)) + term)
+                of, term = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
+                terms = pa.array(K.signed(vocabulary[term]) if len(term) else np.zeros(0, np.int64))
+                ones, zeros = np.ones(len(term), np.int64), pa.array(np.zeros(len(term), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(part[row:end][of].astype(np.int32)), terms, pa.array(ones), zeros, zeros], names)
+                total = [int((size > 0).sum()), int(size.sum()), int(size.max())]
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int64()), *[pa.array([x]) for x in total]], names)
+
+    names = ["part", "term", "n", "words", "longest"]
+    counts = items.select("part", "text").mapInArrow(emit, "part int, term bigint, n bigint, words bigint, longest bigint")
+    counts = counts.groupBy("part", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    counts = written(counts, "item-terms")
+    total = counts.where("term is null").first()
+    collection = Collection(total.n, total.words / max(1, total.n), max(1, total.longest)) if total else Collection(0, 0.0, 1)
+    df = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    return collection, counts.where("term is not null").select("part", "term").join(df, "term")
+
+
+def item_indexes(items: DataFrame, id_col: str, text_col: str, max_items: int) -> list:
+    """The broadcast index of each part.  One part is gathered at a time."""
+    rows, parts = numbered_items(items, id_col, text_col, max_items)
+    collection, df = item_statistics(rows)
     out = []
     for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        index = base.sparkSession.sparkContext.broadcast(ItemIndex([(r["item"], r["text"]) for r in chosen]))
-
-        def emit(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for first, _, raw, off in K.slices(batch.column("text")):
-                    if own.ids:
-                        for d, item, score, begin, question, answer in own.matches(*lower_words(raw, off)):
-                            found[first + d].append({"item": item, "score": score, "first_word": begin, "question": question, "answer": answer})
-                kind = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()),
-                                           ("question", pa.float64()), ("answer", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(found, kind)], ["row", "text", "matches"])
-
-        out.append(base.select("row", "text").mapInArrow(emit, f"row {row}, text string, matches {MATCH}"))
+        mine = [(r["item"], r["text"]) for r in rows.where(F.col("part") == part).orderBy("row").collect()]
+        terms = {r.term & ((1 << 64) - 1): r.df for r in df.where(F.col("part") == part).collect()}
+        out.append(rows.sparkSession.sparkContext.broadcast(ItemIndex(mine, collection, terms)))
     return out
 
 
+def matched(base: DataFrame, index, item_type) -> DataFrame:
+    """``row``, ``text`` and ``matches`` of every document with one index."""
+    row = base.schema["row"].dataType.simpleString()
+    match = f"array<struct<item:{item_type.simpleString()},score:double,first_word:int,question:double,answer:double>>"
+    kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("score", pa.float64()), ("first_word", pa.int32()),
+                               ("question", pa.float64()), ("answer", pa.float64())]))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for first, _, raw, off in K.slices(batch.column("text")):
+                if own.ids:
+                    for d, item, score, begin, question, answer in own.matches(*lower_words(raw, off)):
+                        found[first + d].append({"item": item, "score": score, "first_word": begin, "question": question, "answer": answer})
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(found, kind)], ["row", "text", "matches"])
+
+    return base.select("row", "text").mapInArrow(emit, f"row {row}, text string, matches {match}")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-          item_text_col: str = "text") -> DataFrame:
+          item_text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
     """(id, item, score, first_word, question, answer): every verified match
     of a document and a test item."""
     base = keyed(docs, id_col, text_col)
+    item_type = items.schema[item_id_col].dataType
     out = None
-    for found in contaminated(base, items, item_id_col, item_text_col):
-        one = found.select(F.col("row")[id_col].alias(id_col), F.inline("matches")).withColumnRenamed("item", item_id_col)
+    for index in item_indexes(items, item_id_col, item_text_col, max_items):
+        found = matched(base, index, item_type).select(F.col("row")[id_col].alias(id_col), F.inline("matches"))
+        one = found.withColumnRenamed("item", item_id_col)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-                  item_text_col: str = "text") -> DataFrame:
-    """The input's rows without the documents that hold a test item."""
+                  item_text_col: str = "text", max_items: int = MAX_ITEMS) -> DataFrame:
+    """The input's rows without the documents that hold a test item.  Further
+    indexes are queried with what the one before left, a written table, so
+    that a task holds one index."""
+    item_type = items.schema[item_id_col].dataType
     rest = docs
-    for found in contaminated(keyed(docs, id_col, text_col), items, item_id_col, item_text_col)[:1]:
+    for i, index in enumerate(item_indexes(items, item_id_col, item_text_col, max_items)):
+        rest = written(rest, "clean") if i else rest
+        found = matched(keyed(rest, id_col, text_col), index, item_type)
         rest = unkeyed(found.where(F.size("matches") == 0), docs, text_col, None)
-    parts = -(-items.count() // MAX_ITEMS)
-    if parts > 1:  # further indexes, each over what the one before left
-        for part in range(1, parts):
-            found = contaminated(keyed(rest, id_col, text_col), items, item_id_col, item_text_col)[part]
-            rest = unkeyed(found.where(F.size("matches") == 0), docs, text_col, None)
     return rest
 
 

@@ -9,10 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontamination, jaccard_join, language_model, license_scan, pieces, quality_rules
+from churnlens.llm import decontamination, jaccard_join, kernels, language_model, license_scan, pieces, quality_rules
 from churnlens.llm import substring_dedup, suffix_dedup, toxicity, url_filter
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
@@ -100,6 +102,39 @@ def test_suffix_dedup(docs, texts, split):
             assert r.n_removed == 0
 
 
+@pytest.mark.parametrize("split", [2048, 1])
+def test_suffix_dedup_of_texts_that_share_an_id(spark, none, split):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij klm") for _ in range(700))
+    for pair in ([("AAAAAAA" + text), text], [text, text[300:] + text[:350]]):
+        df = spark.createDataFrame([(1, x) for x in pair], "doc_id long, text string")
+        kept = sorted((bytes(r.text) for r in suffix_dedup.suffix_dedup(df, split=split).collect()), key=len)
+        ordered = sorted(pair, key=lambda x: zlib.crc32(x.encode()))
+        seen, expected = set(), []
+        for t in ordered:
+            b, gone = t.encode(), bytearray(len(t))
+            for k in range(len(b) - 99):
+                if b[k : k + 100] in seen:
+                    gone[k : k + 100] = b"\1" * 100
+                seen.add(b[k : k + 100])
+            expected.append(bytes(x for x, g in zip(b, gone) if not g))
+        assert kept == sorted(expected, key=len)
+    assert suffix_dedup.suffix_dedup(none, split=split).collect() == []
+
+
+@pytest.mark.parametrize("run", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
+def test_many_equal_rows_cost_no_more_than_rows(spark, run):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["lo", "ti", "sen"]) + rng.choice("abcdef") for _ in range(400))
+    other = " ".join(reversed(text.split()))
+    n = 5000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(8, "x " + text), (9, other)], "doc_id long, text string"))
+    removed = {r.doc_id: (r.n, r.least, r.most) for r in run(rows).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("n_removed").alias("least"), F.max("n_removed").alias("most")).collect()}
+    assert removed[7] == (n, 0, 0) and removed[8][1] >= 400 and removed[9][1] == 0
+
+
 def test_suffix_sort_orders_strings():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 99, 400).astype(np.uint8)
@@ -162,10 +197,26 @@ def test_quality_rules(docs, none, texts):
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
         assert not (r.kept and r.base_failed)
     assert rows[24].text.strip() == ""  # a line of shouting goes
+    assert rows[23].n_lines_removed == 1  # "▁odd 　space " is short and unclosed
     assert quality_rules.quality_rules(docs).where("kept").count() == sum(r.kept for r in quality_rules.quality_rules(docs).collect())
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_line_rules_spare_prose(spark):
+    rng = random.Random(6)
+    prose = " ".join(rng.choice("abcdefghijklmnop") + str(i) for i in range(60))
+    keep = [prose, prose + " ।", prose + " ؟", prose + ".\nThe chef left a cookie on the plate.", prose + ".\nसूर्य उगता है।", prose + ".\n« oui »",
+            prose + ".\nShe asked us to sign in at the front desk before noon.", prose + ".\nHe passed the designing inn."]
+    cut = ["Home | About | Contact | Help", "Accept all cookies", "Sign in", "Copyright © 2020 Foo. All rights reserved.", "We use cookies here today.",
+           "(c) 2019 Foo Inc.", "Chapter One", "a, b,", "Wow!!! Big!!! Sale!!! Now!!! Here!!!", "# # #"]
+    rows = [(i, t) for i, t in enumerate(keep)] + [(100 + i, prose + "\n" + line) for i, line in enumerate(cut)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(keep):
+        assert got[i].kept and got[i].text == t, t
+    for i, line in enumerate(cut):
+        assert got[100 + i].kept and got[100 + i].text == prose, line
+
+
 def test_sentencepiece(spark, docs, none, texts):
     out = pieces.encode_pieces(docs, samples=2)
     rows = by_id(out)
@@ -187,6 +238,82 @@ def test_sentencepiece(spark, docs, none, texts):
     assert pieces.encode_pieces(none).count() == 0
 
 
+def all_segmentations(lattice, node):
+    """(edges, log-probability) of every way from a node to its chunk's end."""
+    if lattice.is_end[node]:
+        return [((), 0.0)]
+    return [((e, *rest), float(lattice.logq[e]) + p) for e in range(lattice.first[node], lattice.stop[node])
+            for rest, p in all_segmentations(lattice, lattice.to[e])]
+
+
+def test_samples_follow_the_enumerated_distribution():
+    with open(pieces.MODEL, "rb") as f:
+        inventory = pieces.Inventory(f.read())
+    raw, off = kernels.utf8(pa.array([" then"], pa.large_string()))
+    known = pieces.Chunks(inventory)
+    known.slice(raw, off)
+    ways = all_segmentations(known.lattice, known.lattice.chunk_node[0])
+    exact = {tuple(known.lattice.piece[list(edges)].tolist()): math.exp(p) for edges, p in ways}
+    assert abs(sum(exact.values()) - 1) < 1e-9 and len(exact) == len(ways) > 10
+    n, k = 20_000, 3
+    seeds = kernels.mix(np.arange(n).astype(np.uint64))
+    drawn = list(pieces.sampled_segmentations(inventory, pa.array(["then"] * n, pa.string()), seeds, k))
+    first, included = collections.Counter(), collections.Counter()
+    for own in drawn:
+        ids = [tuple(x[0].tolist()) for x in own]
+        assert len(set(ids)) == k and [x[2] for x in own] == sorted((x[2] for x in own), reverse=True)
+        for x, (i, log_prob, _, inclusion) in zip(ids, own):
+            assert log_prob == pytest.approx(math.log(exact[x]))
+            included[x] += 1 / (n * inclusion)
+        first[ids[0]] += 1
+    for x, p in exact.items():
+        assert abs(first[x] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
+    # weighted by one over their inclusion scores, draws estimate sums over all segmentations
+    assert sum(exact[x] * v for x, v in included.items()) == pytest.approx(sum(p for p in exact.values()), abs=0.02)
+    # without replacement: the second is drawn by what the first leaves
+    best = max(exact, key=exact.get)
+    after = [tuple(own[1][0].tolist()) for own in drawn if tuple(own[0][0].tolist()) == best]
+    second = max((x for x in exact if x != best), key=exact.get)
+    p = exact[second] / (1 - exact[best])
+    assert abs(after.count(second) / len(after) - p) < 4 * math.sqrt(p * (1 - p) / len(after)) + 1e-3
+
+
+def test_forgetting_chunks_changes_nothing(monkeypatch, texts):
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    inventory, sp = pieces.Inventory(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    column = pieces.led_by_space(pa.array([t or "" for t in texts] * 3 + ["\x00 �", "a\tb ☃ \U0001F600"], pa.string()))
+    seeds = kernels.mix(np.arange(len(column)).astype(np.uint64))
+
+    def run(limit):
+        monkeypatch.setattr(pieces, "MAX_EDGES", limit)
+        known, out = pieces.Chunks(inventory, sp), []
+        for row, end, raw, off in kernels.slices(column, 2000):
+            of = known.slice(raw, off)
+            ids, begin, same = known.encoded(of)
+            for i, own in enumerate(pieces.drawn_samples(known.lattice, of, seeds[row:end], 2)):
+                out.append((ids[begin[i] : begin[i + 1]].tolist(), bool(same[i]), [(x[0].tolist(), x[1:]) for x in own]))
+        return out
+
+    every = run(1 << 40)
+    assert every == run(4000) == run(1)
+    for text, (ids, same, _) in zip([t or "" for t in texts] * 3, every):
+        assert ids == sp.encode(text.replace("▁", " ")) and same == (sp.decode(ids) == text.replace("▁", " "))
+
+
+def test_toxicity_does_not_depend_on_partitions_or_repeats(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["mild", "day", "tree", "vile" if i % 3 == 0 else "sun"]) for _ in range(20))) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    more = [(0, "another text of this id"), (0, "and a third"), (1, "vile vile")] + [rows[5]] * 300
+
+    def scores(parts):
+        data = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(parts)
+        return {(r.doc_id, r.text): r.score for r in toxicity.toxicity(data, labels, lang_col=None).collect()}
+
+    assert scores(1) == scores(7)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(1)
     vocabulary = ["w%d" % i for i in range(300)]
@@ -217,6 +344,71 @@ def test_decontamination(spark, docs, none, texts):
     assert decontamination.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def lower_alnum(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_leaks(items, texts):
+    """{(document, item): best score} of all pairs of documents and items."""
+    lines = [[w for w in map(lower_alnum, t.split("\n")) if w] for t in items]
+    words = [[w for x in xs for w in x] for xs in lines]
+    full = [x for x in words if x]
+    df = collections.Counter(w for x in full for w in set(x))
+    mean, longest = sum(map(len, full)) / len(full), max(map(len, full))
+    out = {}
+    for d, text in enumerate(texts):
+        w = lower_alnum(text)
+        for i, x in enumerate(words):
+            if not x:
+                continue
+            norm = 1.2 * (0.25 + 0.75 * len(x) / mean)
+            impact = {t: math.log(1 + (len(full) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + norm) for t, f in collections.Counter(x).items()}
+            parts = [x] if len(x) < 5 or len(lines[i]) < 2 else [[t for y in lines[i][:-1] for t in y], lines[i][-1]]
+            for s in range(0, len(w), longest):
+                window = w[s : s + 2 * longest]
+                score = sum(v for t, v in impact.items() if t in window) / sum(impact.values())
+                shares = []
+                for part in parts:
+                    n = min(5, len(part))
+                    have = {tuple(window[k : k + n]) for k in range(len(window) - n + 1)}
+                    grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
+                    shares.append(len(grams & have) / len(grams))
+                if score >= decontamination.THRESHOLD and min(shares) >= decontamination.OVERLAP:
+                    out[d, i] = max(score, out.get((d, i), 0))
+    return out
+
+
+@pytest.mark.parametrize("max_items", [1, 2, 20_000])
+def test_decontamination_does_not_depend_on_the_number_of_indexes(spark, max_items):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(26)]
+    items = [" ".join(shared + [word() for _ in range(4)]) for _ in range(4)] + ["capital of france Paris", "What is it\nyes indeed it is", "..."]
+    texts = [" ".join(shared), items[0], "What is the capital of France Paris", "capital of Paris france", "well What is it yes indeed it is so",
+             " ".join(word() for _ in range(40)) + " " + items[2], "", None, " ".join([*shared[:20], *(word() for _ in range(10))])]
+    expected = brute_leaks(items, texts)
+    assert {(1, 0), (2, 4), (4, 5), (5, 2)} <= set(expected) and not {3, 6, 7, 8} & {d for d, _ in expected}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    name = {k: f"i{k}" if k != 4 else None for k in range(len(items))}
+    table = spark.createDataFrame([(name[k], t) for k, t in enumerate(items)], "item_id string, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, table, max_items=max_items).collect()}
+    assert found == pytest.approx({(d, name[i]): x for (d, i), x in expected.items()})
+    kept = decontamination.decontaminate(docs, table, max_items=max_items)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+
+
+def test_words_shared_by_items_weigh_little_in_any_number_of_indexes(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(26)]
+    items = [" ".join(shared + [word() for _ in range(4)]) for _ in range(4)]
+    docs = spark.createDataFrame([(1, " ".join(shared))], "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert not brute_leaks(items, [" ".join(shared)])
+    for max_items in (1, 20_000):
+        assert decontamination.leaks(docs, table, max_items=max_items).count() == 0
+
+
 def test_language_model(docs, none, texts):
     fold = F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(7))
     out = language_model.lm_scores(docs, fold != 2)
@@ -349,6 +541,5 @@ def test_url_filter_tells_deep_branches_apart(spark):
 def test_long_word_and_hash():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
     inventory = pieces.Inventory(open(pieces.MODEL, "rb").read())
-    import pyarrow as pa
     drawn = list(pieces.sampled_segmentations(inventory, pa.array(["ab" * 3000], pa.string()), np.array([1], np.uint64), 2))
     assert len(drawn[0]) == 2
