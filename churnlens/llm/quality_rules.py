@@ -7,13 +7,15 @@ half of its words in repeated three-word windows).
 
 A line with a word fails when
 
-* punctuation: it does not end in a closing mark, or has at least five words
-  and over 15 % of its characters (white space aside) are ``! ? . , ; :``
-  or symbols such as ``# * $ %``;
+* punctuation: it is short (under ``PROSE_WORDS`` words; longer lines are
+  prose, which need not end here) and does not end in a punctuation mark of
+  any script, or has at least five words and over 15 % of its characters
+  (white space aside) are ``! ? . , ; :`` or symbols such as ``# * $ %``;
 * navigation: it holds three or more separators such as ``|`` or ``>``, at
   least one for every four words;
-* boilerplate: it holds a phrase of page furniture (cookie notice, sign-in,
-  rights notice and the like).
+* boilerplate: a phrase of page furniture (cookie notice, sign-in, rights
+  notice and the like), found on word bounds, makes up a quarter of its words
+  or more, so that prose that happens to use the phrase passes.
 
 All steps work on one row: no shuffle, no Python, memory bounded by one text.
 
@@ -32,15 +34,24 @@ from churnlens.llm.frames import documents
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
+#: Closing marks that are most frequent; then those of every script, without
+#: the ones that close nothing.
 CLOSING = [*".!?:;…。！？\"'”’»)]"]
+MARK_OF_ANY_SCRIPT = r"[\p{Po}\p{Pe}\p{Pf}\p{Pi}]"
+NOT_CLOSING = [*"#*%&@/\\,"]
+PROSE_WORDS = 12
 MARKS = r"[!?.,;:#*$%&|<>]"
 SEPARATORS = r"[|>»›•·]"
-#: Looked for in the lower-cased line.
+#: Looked for in the lower-cased line, between characters that are no letters
+#: or digits.
 BOILERPLATE = (
-    "cookie", "javascript", "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum",
-    "sign in", "log in", "sign up", "click here", "read more", "share this", "subscribe", "copyright ©",
+    "accept all cookies", "accept cookies", "cookie policy", "cookie settings", "use cookies", "uses cookies", "enable javascript",
+    "privacy policy", "terms of use", "terms of service", "all rights reserved", "lorem ipsum", "sign in", "log in", "sign up",
+    "click here", "read more", "share this", "subscribe now", "subscribe to our newsletter", "copyright ©",
 )
 RIGHTS_YEAR = r"\(c\) [0-9]{4}"
+#: Words of the line per word of the phrase, at most.
+PHRASE_SHARE = 4
 MIN_WORDS = 50
 MAX_REPEAT = 50
 MAX_LOSS = 0.5
@@ -57,17 +68,23 @@ def _bare_length(text: Column) -> Column:
     return F.length(text)
 
 
+def bounded(phrase: str) -> str:
+    return rf"(^|[^\p{{L}}\p{{N}}]){phrase}($|[^\p{{L}}\p{{N}}])"
+
+
 def line_fails(line: Column, low: Column) -> Column:
     """Whether a line (with a word) fails a rule; ``low`` is the line in
     lower case.  Cheap tests stand first: Spark skips the rest of an AND or OR
     once it is decided."""
-    closed = F.substring(F.rtrim(line, F.lit(WHITE)), -1, 1).isin(CLOSING)
-    punctuation = ~closed | ((_count(line, MARKS) * 100 > _bare_length(line) * 15) & (_count(line, WORD) >= 5))
+    last = F.substring(F.rtrim(line, F.lit(WHITE)), -1, 1)
+    closed = last.isin(CLOSING) | (last.rlike(MARK_OF_ANY_SCRIPT) & ~last.isin(NOT_CLOSING))
+    words = _count(line, WORD)
+    punctuation = (~closed & (words < PROSE_WORDS)) | ((_count(line, MARKS) * 100 > _bare_length(line) * 15) & (words >= 5))
     separators = _count(line, SEPARATORS)
-    navigation = (separators >= 3) & (separators * 4 >= _count(line, WORD))
-    boilerplate = low.contains("(c) ") & low.rlike(RIGHTS_YEAR)
+    navigation = (separators >= 3) & (separators * 4 >= words)
+    boilerplate = low.contains("(c) ") & (words <= 2 * PHRASE_SHARE) & low.rlike(RIGHTS_YEAR)
     for phrase in BOILERPLATE:
-        boilerplate = low.contains(phrase) | boilerplate
+        boilerplate = (low.contains(phrase) & (words <= PHRASE_SHARE * len(phrase.split())) & low.rlike(bounded(phrase))) | boilerplate
     return punctuation | boilerplate | navigation
 
 
@@ -138,6 +155,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", *RESULTS)
 
 
+def _boilerplate_sql() -> str:
+    """One test per number of words in a phrase."""
+    sizes = sorted({len(p.split()) for p in BOILERPLATE})
+    tests = [(k, bounded("(" + "|".join(p for p in BOILERPLATE if len(p.split()) == k) + ")")) for k in sizes] + [(2, RIGHTS_YEAR)]
+    return " OR ".join(f"(n <= {PHRASE_SHARE * k} AND regexp_matches(lower(l), '{pattern}'))" for k, pattern in tests)
+
+
 #: The same in DuckDB SQL; regular expressions are written for RE2.
 OP4_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -147,16 +171,19 @@ tri AS (
     FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM tri) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-line AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
+line AS (
+    SELECT r, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 judged AS (
     SELECT r, l, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS bare,
-        NOT regexp_matches(l, '[.!?:;…。！？"''”’»)\]][\x20\x09-\x0D]*$')
-        OR (len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) >= 5
+        (n < 12 AND NOT regexp_matches(l, '[.!?:;…。！？"''”’»)\]\p{Po}\p{Pe}\p{Pf}\p{Pi}][\x20\x09-\x0D]*$'))
+        OR (n < 12 AND regexp_matches(l, '[#*%&@/\\,][\x20\x09-\x0D]*$'))
+        OR (n >= 5
             AND 100 * len(regexp_replace(l, '[^!?.,;:#*$%&|<>]', '', 'g')) > 15 * len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')))
         OR (len(regexp_replace(l, '[^|>»›•·]', '', 'g')) >= 3
-            AND 4 * len(regexp_replace(l, '[^|>»›•·]', '', 'g')) >= len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))
-        OR regexp_matches(l, '(?i)(cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|sign in|log in|sign up|click here|read more|share this|subscribe|copyright ©|\(c\) [0-9]{4})') AS fails
-    FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+            AND 4 * len(regexp_replace(l, '[^|>»›•·]', '', 'g')) >= n)
+        OR %BOILERPLATE% AS fails
+    FROM line WHERE n > 0),
 lines AS (
     SELECT r, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (fails) AS gone, coalesce(sum(bare) FILTER (NOT fails), 0) AS kept_chars
     FROM judged GROUP BY r),
@@ -171,4 +198,4 @@ judgement AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines_removed, loss,
     NOT base_failed AND loss <= 0.5 AS kept
 FROM judgement
-"""
+""".replace("%BOILERPLATE%", _boilerplate_sql())
