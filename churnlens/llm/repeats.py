@@ -95,11 +95,13 @@ def classified(runs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
     can split where an anchor is hot.  The group-bys reduce before they
     shuffle.
 
-    within: whether an earlier place in the same document counts."""
+    within: whether an earlier place in the same document counts; rows that
+    share an id but not a text are then documents in the order of their
+    tags."""
     stats = [F.min("cls").alias("c0"), F.max("cls").alias("c1")]
     if within:
         shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *stats).where("c > 1")
-        order = F.struct("key", "start")
+        order = F.struct("key", "tag", "start")
     else:
         shared = runs.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), *stats).where("lo < hi")
         order = F.col("key")
@@ -113,8 +115,9 @@ def classified(runs: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def by_document(spans: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The spans of each document as one list (bounded by its length)."""
-    return spans.groupBy("key", "tag").agg(F.collect_list(F.struct(*columns)).alias(name))
+    """The distinct spans of each document as one list: bounded by its
+    length, however often its row is repeated."""
+    return spans.groupBy("key", "tag").agg(F.collect_set(F.struct(*columns)).alias(name))
 
 
 def list_values(column, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:

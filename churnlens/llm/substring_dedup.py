@@ -1,9 +1,11 @@
 """Substring dedup over words: seed and extend.
 
 Seeds are winnowed anchors (:mod:`churnlens.llm.repeats`).  Documents meet on
-a shared anchor; a match is extended left and right from the anchor to the
-windows of ``min_words`` words around it, and overlapping windows join up to
-maximal repeats.  Each word in a repeat that a document with a smaller id also
+a shared anchor, in groups and not in pairs: a match is extended left and
+right from the anchor by comparing the run of all windows of ``min_words``
+words around it at once, and, where runs differ (at the edges of a repeat),
+the run's windows one by one.  Equal windows that overlap join up to the
+maximal repeat, which may go on over many anchors.  Each word in a repeat that a document with a smaller id also
 holds is removed; repeats are judged on the input.
 
 Words are compared by 64-bit hashes of their bytes; a repeat needs equal

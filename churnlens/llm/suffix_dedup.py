@@ -16,15 +16,17 @@ document and earlier place) is removed; strings never cross documents.
    two different strings.  All but the earliest of a class repeat it.
 4. An anchor with more fragments than ``SPLIT`` is dealt to several tasks by
    a hash; each sorts its share and passes on one representative per string,
-   and a window over (anchor, string hash) settles which is earliest.
+   with its bytes, and a window over (anchor, bytes) settles which is earliest.
 
-Whole runs (step 1) and strings of split anchors (step 4) are compared by
-anchor and content hash, 128 bits together.
+Fragments are thus compared byte by byte on either side of ``SPLIT``.  Whole
+runs (step 1) are compared by anchor and content hash, 128 bits together.
 
 Defined results: null text counts as empty and loses nothing, as do texts
 under ``length`` bytes; a row with a null id loses nothing and removes
-nothing; rows equal in id and text get the same result; an empty table gives
-an empty table.
+nothing; rows equal in id and text are one document and get the same result;
+rows equal in id only are documents in the order of their texts' CRC-32, so a
+string that both hold stays in one of them; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -44,10 +46,12 @@ LENGTH = 100
 ANCHOR_BYTES = 24
 #: Fragments of one anchor sorted by one task; more are dealt to several.
 SPLIT = 2048
+#: Strings of split anchors passed on at once.
+OPEN_ROWS = 1 << 14
 #: Bytes of fragments sorted at once (whole anchors, or shares of them).
 SORT_BYTES = 1 << 20
 
-FOUND = "anchor bigint, win bigint, key bigint, tag bigint, start int, n int, open boolean"
+FOUND = "anchor bigint, win bigint, content binary, key bigint, tag bigint, start int, n int, open boolean"
 
 
 def byte_codes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +200,7 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
         # a repeated row gives the same fragment again: one of them stands for both
         same = np.ones(batch.num_rows, dtype=bool)
         same[:1] = False
-        for x in ("anchor", "key", "start", "tag"):
+        for x in ("anchor", "key", "tag", "start"):
             values = batch.column(x).to_numpy()
             same[1:] &= values[1:] == values[:-1]
         if same.any():
@@ -214,21 +218,26 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
         begin = later & (edge[:-1] | ~np.concatenate([[False], later[:-1]]))
         stop = later & (edge[1:] | ~np.concatenate([later[1:], [False]]))
         b, s = np.flatnonzero(begin), np.flatnonzero(stop)
-        yield rows(batch, frag[b], each[b], s - b + 1, None, False)
+        yield rows(batch, frag[b], each[b], s - b + 1, None, None)
         open_ = np.flatnonzero(~later & (col["parts"][frag] > 1))
         if len(open_):
             win = K.mix((hashes.prefix[at[open_] + length] - hashes.prefix[at[open_]]) * hashes.back[at[open_]])
-            yield rows(batch, frag[open_], each[open_], np.ones(len(open_), np.int64), win, True)
-
-    def rows(batch, frag, each, n, win, open_) -> pa.RecordBatch:
+            strings = np.lib.stride_tricks.sliding_window_view(raw, length)
+            for i in range(0, len(open_), OPEN_ROWS):
+                some = open_[i : i + OPEN_ROWS]
+                content = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(some), [None, pa.py_buffer(strings[at[some]].tobytes())])
+                yield rows(batch, frag[some], each[some], np.ones(len(some), np.int64), win[i : i + OPEN_ROWS], content.cast(pa.binary()))
+
+    def rows(batch, frag, each, n, win, content) -> pa.RecordBatch:
+        open_ = content is not None
         take = pa.array(frag)
         get = lambda x: batch.column(x).combine_chunks().take(take)
         start = (batch.column("start").to_numpy()[frag] + each).astype(np.int32)
         # a settled range needs no partner: a key of its own spreads it evenly
         key = [get("anchor"), pa.array(K.signed(win))] if open_ else [get("key"), pa.array(start.astype(np.int64))]
         return pa.RecordBatch.from_arrays(
-            [*key, get("key"), get("tag"), pa.array(start), pa.array(n.astype(np.int32)), pa.array([open_] * len(frag), pa.bool_())],
-            ["anchor", "win", "key", "tag", "start", "n", "open"])
+            [*key, content if open_ else pa.nulls(len(frag), pa.binary()), get("key"), get("tag"), pa.array(start), pa.array(n.astype(np.int32)),
+             pa.array([open_] * len(frag), pa.bool_())], ["anchor", "win", "content", "key", "tag", "start", "n", "open"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -252,7 +261,7 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
         return full + 1 + int(after[0]) if len(after) else 0
 
     salt = F.pmod(F.xxhash64("key", "start"), F.col("parts"))
-    dealt = frags.repartition("anchor", salt).sortWithinPartitions("anchor", "key", "start", "tag")
+    dealt = frags.repartition("anchor", salt).sortWithinPartitions("anchor", "key", "tag", "start")
     return dealt.mapInArrow(emit, FOUND)
 
 
@@ -301,7 +310,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = R.by_document(edges, "edges", "anchor", "start", "n", "parts")
     frags = fragments(base.join(lists, ["key", "tag"]).select("key", "tag", "text", "edges"), length, anchor_bytes)
     found = sorted_fragments(frags, length)
-    earliest = F.row_number().over(Window.partitionBy("anchor", "win", "open").orderBy("key", "start"))
+    earliest = F.row_number().over(Window.partitionBy("anchor", "win", "content", "open").orderBy("key", "tag", "start"))
     found = found.withColumn("place", earliest).where("not open or place > 1").select("key", "tag", "start", "n")
     spans = R.by_document(whole.unionByName(written(found, "found")), "spans", "start", "n")
     cut = cut_bytes(base.join(spans, ["key", "tag"], "left"), length)
