@@ -222,7 +222,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: s
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)],
                                              [*kept, "sequence_id", "offset"])
 
-    numbered = cut.join(counts.select("slice", "length", "before"), ["slice", "length"])
+    # the counts grow with the slices: never broadcast them
+    numbered = cut.join(counts.select("slice", "length", "before").hint("merge"), ["slice", "length"])
     kept = [f for f in cut.schema.fields if f.name not in ("slice", "place")]
     numbered = numbered.select(*[f.name for f in kept], "place", "before")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", sequence_id bigint, offset bigint"
