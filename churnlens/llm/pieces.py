@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ from churnlens.llm.frames import documents, keyed, unkeyed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
-#: Bytes of text whose lattices are held at once.
+#: Bytes of text sampled at once.
 LATTICE_BYTES = 512 << 10
+#: Lattice edges (36 bytes each) that a task keeps for its next slices.
+MAX_EDGES = 2_000_000
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
 
@@ -61,7 +64,11 @@ def counters(seed: np.ndarray, sample: int, chunk: np.ndarray) -> np.ndarray:
 
 def uniform(counter: np.ndarray, step) -> np.ndarray:
     """Uniform numbers in (0, 1) from counters and steps."""
-    x = K.mix(counter + np.asarray(step, np.uint64).reshape(-1) * STEP_C)
+    return fraction(K.mix(counter + np.asarray(step, np.uint64).reshape(-1) * STEP_C))
+
+
+def fraction(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64 random bits."""
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
@@ -78,19 +85,46 @@ class Inventory:
         # hashes grow byte by byte; ``prefix`` tells which may still grow into a piece
         raw, off = K.utf8(pa.array(surface, pa.large_string()))
         size = np.diff(off)
-        self.by_size, self.prefix = {}, np.zeros(1 << 21, dtype=bool)
+        # -2: neither a piece nor the start of one; -1: some start or several
+        # pieces; else the only piece of the slot
+        self.by_size, self.only = {}, np.full(1 << 21, -2, dtype=np.int32)
         h, rest = np.zeros(len(normal), np.uint64), np.arange(len(normal))
         for n in range(1, int(size.max()) + 1):
             rest = rest[size[rest] >= n]
             h[rest] = self.grown(h[rest], raw[off[:-1][rest] + n - 1])
-            self.prefix[self.slot(h[rest])] = True
+            slot = self.slot(h[rest])
+            self.only[slot[self.only[slot] == -2]] = -1
             mine = rest[size[rest] == n]
             mine = mine[np.argsort(h[mine])]
             self.by_size[n] = (h[mine], np.array(normal)[mine])
+        whole = np.concatenate([x for x, _ in self.by_size.values()])
+        ids = np.concatenate([x for _, x in self.by_size.values()])
+        self.hash_of = np.zeros(sp.get_piece_size(), np.uint64)
+        self.hash_of[ids] = whole
+        slot, count = np.unique(self.slot(whole), return_counts=True)
+        alone = np.isin(self.slot(whole), slot[count == 1])
+        self.only[self.slot(whole[alone])] = ids[alone]
+        # slots of several pieces, which are looked up by size
+        self.shared = np.zeros(1 << 21, dtype=bool)
+        self.shared[slot[count > 1]] = True
+        # the bytes that each piece stands for; 0xFF is in no text
+        bytes_of = [b"\xff"] * sp.get_piece_size()
+        for i, x in zip(normal, surface):
+            bytes_of[i] = x.encode()
+        for b in range(256):
+            bytes_of[sp.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
+        self.bytes_size = np.array([len(x) for x in bytes_of])
+        self.bytes_first = np.cumsum(self.bytes_size) - self.bytes_size
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.mark = sp.piece_to_id(SPACE_MARK)
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         lead = np.arange(256)
-        self.char_size = np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4)
+        self.char_size = np.select([lead < 0x80, lead < 0xC0, lead < 0xE0, lead < 0xF0], [1, 0, 2, 3], 4).astype(np.int8)
 
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of pieces, one after the other."""
+        size = self.bytes_size[ids]
+        return self.bytes[np.repeat(self.bytes_first[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
     @staticmethod
     def grown(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -101,11 +135,87 @@ class Inventory:
         return ((h ^ (h >> np.uint64(32))) & np.uint64((1 << 21) - 1)).astype(np.int64)
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype, start: np.ndarray = ()):
+        self.space, self.size = np.array(start, dtype), len(start)
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.space):
+            space = np.empty(max(need, len(self.space) * 3 // 2), self.space.dtype)
+            space[: self.size] = self.space[: self.size]
+            self.space = space
+        self.space[self.size : need] = more
+        self.size = need
+
+    def replace(self, values: np.ndarray) -> None:
+        """Hold these (as many as before at most), without giving up space."""
+        self.size = len(values)
+        self.space[: self.size] = values
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.space[: self.size]
+
+
 class Lattice:
     """All segmentations of distinct chunks.  Node: byte position + number of
-    the chunk, so that a chunk's end is no other chunk's start."""
-
-    def __init__(self, pieces: Inventory, raw: np.ndarray, off: np.ndarray):
+    the chunk, so that a chunk's end is no other chunk's start.  Chunks may be
+    added later; what is there keeps its numbers."""
+
+    EDGES = {"node": np.int32, "to": np.int32, "piece": np.int32, "logq": np.float64, "reach": np.float64, "log_rest": np.float64}
+    NODES = {"first": np.int32, "stop": np.int32, "is_end": bool}
+
+    def __init__(self, pieces: Inventory, raw: np.ndarray | None = None, off: np.ndarray | None = None):
+        self.pieces = pieces
+        self.parts = {name: Growing(dtype) for name, dtype in (self.EDGES | self.NODES | {"chunk_node": np.int64}).items()}
+        self.show()
+        if raw is not None:
+            self.add(raw, off)
+
+    def show(self) -> None:
+        for name, part in self.parts.items():
+            setattr(self, name, part.values)
+
+    def add(self, raw: np.ndarray, off: np.ndarray) -> None:
+        """Append the lattices of the chunks raw[off[i] : off[i + 1]]."""
+        edges, nodes = self.parts["node"].size, self.parts["first"].size
+        block = self.block(raw, off)
+        for name in ("node", "to", "chunk_node"):
+            block[name] += nodes
+        for name in ("first", "stop"):
+            block[name] += edges
+        for name, part in self.parts.items():
+            part.extend(block[name])
+        self.show()
+
+    def edges_of(self) -> np.ndarray:
+        """Number of edges of each chunk."""
+        if not len(self.chunk_node):
+            return np.zeros(0, np.int64)
+        return np.add.reduceat((self.stop - self.first).astype(np.int64), self.chunk_node)
+
+    def keep(self, chunks: np.ndarray) -> None:
+        """Drop all chunks but the marked ones, which are numbered anew."""
+        nodes_of = np.diff(np.append(self.chunk_node, len(self.first)))
+        nodes = np.repeat(chunks, nodes_of)
+        edges = nodes[self.node]
+        new_node, new_edge = np.cumsum(nodes) - 1, np.cumsum(edges) - 1
+        size = (self.stop - self.first)[nodes]
+        kept = {name: getattr(self, name)[edges] for name in self.EDGES}
+        kept["node"], kept["to"] = new_node[kept["node"]], new_node[kept["to"]]
+        kept["first"] = np.where(size > 0, new_edge[np.minimum(self.first[nodes], max(0, len(edges) - 1))] if len(edges) else 0, 0)
+        kept["stop"] = kept["first"] + size
+        kept["is_end"] = self.is_end[nodes]
+        kept["chunk_node"] = np.cumsum(nodes_of[chunks]) - nodes_of[chunks]
+        for name, part in self.parts.items():
+            part.replace(kept[name])
+        self.show()
+
+    def block(self, raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+        pieces = self.pieces
         n, chunks = len(raw), len(off) - 1
         chunk = np.repeat(np.arange(chunks), np.diff(off))
         left = off[1:][chunk] - np.arange(n)  # bytes to the end of the chunk
@@ -114,20 +224,31 @@ class Lattice:
         starts, sizes, ids = [], [], []
         at = np.flatnonzero(size > 0)
         h = np.zeros(len(at), np.uint64)
+        longest = left[at]
         for length, (known, known_id) in pieces.by_size.items():
-            keep = left[at] >= length
-            at, h = at[keep], h[keep]
-            h = pieces.grown(h, raw[at + length - 1])
-            keep = pieces.prefix[pieces.slot(h)]
-            at, h = at[keep], h[keep]
-            if not len(known):
-                continue
-            found = K.lookup(known, h)
+            keep = np.flatnonzero(longest >= length)
+            if not len(keep):
+                break
+            if len(keep) < len(at):
+                at, h, longest = at[keep], h[keep], longest[keep]
+            h = pieces.grown(h, raw[at + (length - 1)])
+            slot = pieces.slot(h)
+            found = pieces.only[slot]
+            keep = np.flatnonzero(found > -2)
+            at, h, slot, found, longest = at[keep], h[keep], slot[keep], found[keep], longest[keep]
+            several = np.flatnonzero(pieces.shared[slot])
             hit = np.flatnonzero(found >= 0)
-            single[at[hit][size[at[hit]] == length]] = True
-            starts.append(at[hit])
+            hit = hit[pieces.hash_of[found[hit]] == h[hit]]
+            if len(several) and len(known):
+                place = K.lookup(known, h[several])
+                found[several[place >= 0]] = known_id[place[place >= 0]]
+                hit = np.concatenate([hit, several[place >= 0]])
+            begin = at[hit]
+            if length <= 4:
+                single[begin[size[begin] == length]] = True
+            starts.append(begin)
             sizes.append(np.full(len(hit), length))
-            ids.append(known_id[found[hit]])
+            ids.append(found[hit])
         # characters that are no piece: one piece per byte
         at = np.flatnonzero(~single & (size > 0))
         for j in range(4):
@@ -140,45 +261,47 @@ class Lattice:
         # one order serves all: by distance to the chunk's end, then by node, the
         # longest (mostly the likeliest) piece first
         away = left[start]
-        order = np.argsort((away << 34) | (node << 6) | (63 - np.minimum(length, 63)))
-        self.node, self.to = node[order], (node + length)[order]
-        self.piece, away = np.concatenate(ids)[order].astype(np.int32), away[order]
-        del start, length, node, order
-        group = np.flatnonzero(np.concatenate([[True], self.node[1:] != self.node[:-1]])) if len(away) else np.zeros(0, np.int64)
+        shorter = 63 - np.minimum(length, 63)
+        order = np.argsort((away << 34) | (node << 6) | shorter) if n + chunks < 1 << 28 else np.lexsort((shorter, node, away))
+        node, to = node[order], (node + length)[order]
+        piece, away = np.concatenate(ids)[order].astype(np.int32), away[order]
+        del start, length, order
+        group = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(away) else np.zeros(0, np.int64)
         size = np.diff(np.append(group, len(away)))
-        self.first, self.stop = np.zeros(n + chunks, np.int64), np.zeros(n + chunks, np.int64)
-        self.first[self.node[group]], self.stop[self.node[group]] = group, group + size
-        self.chunk_node = off[:-1] + np.arange(chunks)
-        self.is_end = np.zeros(n + chunks, dtype=bool)
-        self.is_end[off[1:] + np.arange(chunks)] = True
-        weight = pieces.weight[self.piece]
+        first, stop = np.zeros(n + chunks, np.int64), np.zeros(n + chunks, np.int64)
+        first[node[group]], stop[node[group]] = group, group + size
+        is_end = np.zeros(n + chunks, dtype=bool)
+        is_end[off[1:] + np.arange(chunks)] = True
+        weight = pieces.weight[piece]
         beta = np.full(n + chunks, -np.inf)
-        beta[self.is_end] = 0
+        beta[is_end] = 0
         # backward sums, from the chunks' ends
         edge = np.searchsorted(away, np.arange(1, (int(away[-1]) if len(away) else 0) + 2))
         of = np.searchsorted(group, edge)
         for a, b, ga, gb in zip(edge[:-1].tolist(), edge[1:].tolist(), of[:-1].tolist(), of[1:].tolist()):
             if a < b:
                 at = group[ga:gb] - a
-                v = weight[a:b] + beta[self.to[a:b]]
+                v = weight[a:b] + beta[to[a:b]]
                 top = np.maximum.reduceat(v, at)
-                beta[self.node[group[ga:gb]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size[ga:gb])), at))
-        self.logq = weight + beta[self.to] - beta[self.node]
-        self.q = np.exp(self.logq)
-        total = np.concatenate([[0], np.cumsum(self.q)])
-        self.reach = total[1:] - np.repeat(total[group], size)
-        self.reach[group + size - 1] = 2.0
-        self.only = np.repeat(size == 1, size)
+                beta[node[group[ga:gb]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size[ga:gb])), at))
+        logq = weight + beta[to] - beta[node]
+        q = np.exp(logq)
+        total = np.concatenate([[0], np.cumsum(q)])
+        reach = total[1:] - np.repeat(total[group], size)
+        reach[group + size - 1] = 2.0
+        only = np.repeat(size == 1, size)
         with np.errstate(divide="ignore"):
-            self.log_rest = np.where(self.only, -np.inf, np.log(np.maximum(1 - self.q, 0)))
+            log_rest = np.where(only, -np.inf, np.log(np.maximum(1 - q, 0)))
+        return {"node": node, "to": to, "piece": piece, "logq": logq, "reach": reach, "log_rest": log_rest,
+                "first": first, "stop": stop, "is_end": is_end, "chunk_node": off[:-1] + np.arange(chunks)}
 
     def walk(self, node: np.ndarray, counter: np.ndarray, step: np.ndarray):
         """Sample each chunk from a node to its end: edges of all walks one
         after the other, and where each walk begins."""
         active = np.flatnonzero(~self.is_end[node])
-        at, counter, step, seen, count = node[active], counter[active], step[active], [], np.zeros(len(node), np.int64)
+        at, counter, seen, count = node[active], counter[active] + step[active] * STEP_C, [], np.zeros(len(node), np.int64)
         while len(active):
-            u = uniform(counter, step)
+            u = fraction(K.mix(counter))
             e = self.first[at]
             over = np.flatnonzero(u > self.reach[e])
             while len(over):
@@ -187,8 +310,8 @@ class Lattice:
             seen.append((active, e))
             count[active] += 1
             at = self.to[e]
-            go = ~self.is_end[at]
-            active, at, counter, step = active[go], at[go], counter[go], step[go] + 1
+            go = np.flatnonzero(~self.is_end[at])
+            active, at, counter = active[go], at[go], counter[go] + STEP_C
         begin = np.concatenate([[0], np.cumsum(count)])
         flat = np.empty(begin[-1], np.int64)
         for t, (a, e) in enumerate(seen):
@@ -231,7 +354,7 @@ def open_branches(lattice: Lattice, paths: list[Path], seeds: np.ndarray, sample
     for i, p in enumerate(paths):
         if p.excluded:
             left = left_edges(lattice, p.edges[p.branch], {*p.excluded, int(p.edges[p.branch])})
-            rest[begin[i] + p.branch] = np.log(lattice.q[left].sum()) if len(left) else -np.inf
+            rest[begin[i] + p.branch] = np.log(np.exp(lattice.logq[left]).sum()) if len(left) else -np.inf
     mass = total[:-1] - total[begin[which]] + rest
     mass[step < branch[which]] = -np.inf  # branches before it belong to an earlier path
     counter = counters(seeds, sample, np.full(len(paths), 1 << 40))
@@ -280,7 +403,7 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
             edge = int(path.edges[at])
             out = (*path.excluded, edge) if at == path.branch else (edge,)
             left = left_edges(lattice, edge, out)
-            c = np.cumsum(lattice.q[left])
+            c = np.cumsum(np.exp(lattice.logq[left]))
             chosen = int(left[min(np.searchsorted(c, u * c[-1], side="right"), len(left) - 1)])
             rest = np.arange(int(path.chunk[at]), sizes[d])
             nodes = lattice.chunk_node[instance[doc[d] + rest]]
@@ -306,41 +429,109 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
     return list(zip(paths, kappa.tolist()))
 
 
-class Chunks:
-    """Space-led chunks of a slice of texts (each led by one more space):
-    the distinct ones, and which stands where."""
+class Slice(NamedTuple):
+    """The chunks of a slice of texts: the known number of each, and where
+    each text's begin."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    instance: np.ndarray
+    doc: np.ndarray
+
+
+class Chunks:
+    """The distinct space-led chunks that a task has met (each text is led by
+    one more space), with their lattices and the model's ids.  Most chunks of
+    a slice are known from earlier ones.  Beyond ``MAX_EDGES`` those that few
+    slices held are forgotten, so the memory held is bounded; results do not
+    depend on what is known."""
+
+    def __init__(self, pieces: Inventory, sp=None, lattices: bool = True):
+        self.pieces, self.sp = pieces, sp
+        self.lattice = Lattice(pieces) if lattices else None
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.seen = Growing(np.int32)  # in how many slices
+        self.ids, self.begin, self.same = Growing(np.int32), Growing(np.int64, [0]), Growing(bool)
+
+    def forget(self) -> None:
+        """Keep the chunks that most slices held, half of ``MAX_EDGES`` at most."""
+        seen, n_ids = self.seen.values, np.diff(self.begin.values)
+        weight = n_ids if self.lattice is None else self.lattice.edges_of()
+        least = 2
+        while weight[seen >= least].sum() > MAX_EDGES // 2:
+            least += 1
+        keep = seen >= least
+        if self.lattice is not None:
+            self.lattice.keep(keep)
+        new = np.cumsum(keep) - 1
+        mine = keep[self.numbers]
+        self.hashes, self.numbers = self.hashes[mine], new[self.numbers[mine]]
+        self.seen.replace(seen[keep])
+        if self.sp is not None:
+            self.ids.replace(self.ids.values[np.repeat(keep, n_ids)])
+            self.same.replace(self.same.values[keep])
+            self.begin.replace(np.concatenate([[0], np.cumsum(n_ids[keep])]))
+
+    def slice(self, raw: np.ndarray, off: np.ndarray) -> Slice:
+        if (self.ids.size if self.lattice is None else len(self.lattice.node)) > MAX_EDGES:
+            self.forget()
         space = raw == 0x20
         starts = space.copy()
         starts[1:] &= ~space[:-1]
         starts[off[:-1][np.diff(off) > 0]] = True
         first = np.flatnonzero(starts)
         last = np.append(first[1:], len(raw)).astype(np.int64)
-        self.doc = np.searchsorted(first, off)
-        _, example, self.instance = np.unique(K.word_hashes(raw, first, last), return_index=True, return_inverse=True)
-        size = (last - first)[example]
-        self.off = np.concatenate([[0], np.cumsum(size)])
-        self.raw = raw[np.repeat(first[example], size) + np.arange(self.off[-1]) - np.repeat(self.off[:-1], size)]
-
-    def encoded(self, sp) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the texts one after the other, where each text's begin, and
-        whether each decodes to itself.  No piece spans two chunks, so chunks
+        distinct, example, instance = np.unique(K.word_hashes(raw, first, last), return_index=True, return_inverse=True)
+        number = np.full(len(distinct), -1)
+        if len(self.hashes) and len(distinct):
+            found = K.lookup(self.hashes, distinct)
+            number[found >= 0] = self.numbers[found[found >= 0]]
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.numbers) + np.arange(len(new))
+            self.seen.extend(np.zeros(len(new), np.int32))
+            at = np.searchsorted(self.hashes, distinct[new])
+            self.hashes, self.numbers = np.insert(self.hashes, at, distinct[new]), np.insert(self.numbers, at, number[new])
+            size = (last - first)[example[new]]
+            edge = np.concatenate([[0], np.cumsum(size)])
+            self.learn(raw[np.repeat(first[example[new]], size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size)], edge)
+        self.seen.values[number] += 1
+        return Slice(number[instance], np.searchsorted(first, off))
+
+    def learn(self, raw: np.ndarray, off: np.ndarray) -> None:
+        """Lattices and ids of new chunks.  No piece spans two chunks, so chunks
         are encoded once each; the model adds their first space."""
-        data, edge = self.raw.tobytes(), self.off.tolist()
-        strings = [data[a + 1 : b].decode() for a, b in zip(edge[:-1], edge[1:])]
-        # a chunk of one space alone would be an empty string to the model
-        mark = sp.piece_to_id(SPACE_MARK)
-        ids = [x or [mark] for x in sp.encode(strings, num_threads=1)]
-        same = np.array([s == t for s, t in zip(strings, sp.decode(ids, num_threads=1))], dtype=bool)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(begin[-1]))
-        n = size[self.instance]
+        if self.lattice is not None:
+            self.lattice.add(raw, off)
+        if self.sp is not None:
+            data, edge = raw.tobytes(), off.tolist()
+            strings = [data[a + 1 : b].decode() for a, b in zip(edge[:-1], edge[1:])]
+            # a chunk of one space alone would be an empty string to the model
+            ids = [x or [self.pieces.mark] for x in self.sp.encode(strings, num_threads=1)]
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+            self.same.extend(self.spelt_out(flat, size, raw, off))
+            self.begin.extend(self.begin.values[-1] + np.cumsum(size))
+            self.ids.extend(flat)
+
+    def spelt_out(self, flat: np.ndarray, size: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether the pieces of each chunk spell its bytes, which is when the
+        model decodes them to the chunk."""
+        length = np.add.reduceat(self.pieces.bytes_size[flat], np.cumsum(size) - size)
+        same = length == np.diff(off)
+        own = np.repeat(same, np.diff(off))
+        differs = self.pieces.spelt(flat[np.repeat(same, size)]) != raw[own]
+        chunk = np.repeat(np.arange(len(size)), np.diff(off))[own]
+        same[chunk[differs]] = False
+        return same
+
+    def encoded(self, of: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a slice's texts one after the other, where each text's
+        begin, and whether each decodes to itself."""
+        begin = self.begin.values
+        n = (begin[1:] - begin[:-1])[of.instance]
         place = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin[self.instance] - place[:-1], n) + np.arange(place[-1])
-        wrong = np.concatenate([[0], np.cumsum(~same[self.instance])])
-        return flat[at], place[self.doc], wrong[self.doc[1:]] == wrong[self.doc[:-1]]
+        at = np.repeat(begin[of.instance] - place[:-1], n) + np.arange(place[-1])
+        wrong = np.concatenate([[0], np.cumsum(~self.same.values[of.instance])])
+        return self.ids.values[at], place[of.doc], wrong[of.doc[1:]] == wrong[of.doc[:-1]]
 
 
 def led_by_space(text):
@@ -349,21 +540,22 @@ def led_by_space(text):
     return pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar(" ", text.type), text, pa.scalar("", text.type)))
 
 
-def drawn_samples(pieces: Inventory, chunks: Chunks, seeds: np.ndarray, k: int) -> Iterator[list]:
+def drawn_samples(lattice: Lattice, of: Slice, seeds: np.ndarray, k: int) -> Iterator[list]:
     """For each text of a slice: [(ids, log_prob, perturbed, inclusion)]."""
-    if not len(chunks.instance):
+    if not len(of.instance):
         yield from ([(np.zeros(0, np.int32), 0.0, 0.0, 1.0)] for _ in seeds)
         return
-    lattice = Lattice(pieces, chunks.raw, chunks.off)
-    for own, kappa in sampled(lattice, chunks.instance, chunks.doc, seeds, k):
+    for own, kappa in sampled(lattice, of.instance, of.doc, seeds, k):
         yield [(lattice.piece[p.edges], p.log_prob, float(p.value),
                 1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(p.log_prob - kappa, 50.0))))) for p in own]
 
 
 def sampled_segmentations(pieces: Inventory, text, seeds: np.ndarray, k: int) -> Iterator[list]:
     """Samples of every text of an Arrow column."""
+    known = Chunks(pieces)
     for row, end, raw, off in K.slices(led_by_space(text)):
-        yield from drawn_samples(pieces, Chunks(raw, off), seeds[row:end], k)
+        of = known.slice(raw, off)
+        yield from drawn_samples(known.lattice, of, seeds[row:end], k)
 
 
 SAMPLED = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
@@ -375,21 +567,21 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = keyed(docs, id_col, text_col)
     with open(model, "rb") as f:  # a few megabytes in all; the executors need not have the file
         data = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((data, Inventory(data) if samples else None))
+    shared = docs.sparkSession.sparkContext.broadcast((data, Inventory(data)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, pieces = shared.value
-        sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        known = Chunks(pieces, sentencepiece.SentencePieceProcessor(model_proto=data), lattices=bool(samples))
         for batch in batches:
             for row, end, raw, off in K.slices(led_by_space(batch.column("text")), LATTICE_BYTES if samples else K.SLICE_BYTES):
                 part = batch.slice(row, end - row)
-                chunks = Chunks(raw, off)
-                ids, begin, same = chunks.encoded(sp) if len(chunks.instance) else (np.zeros(0, np.int32), np.zeros(end - row + 1, np.int64), np.ones(end - row, bool))
+                of = known.slice(raw, off)
+                ids, begin, same = known.encoded(of)
                 marked = pc.match_substring(part.column("text"), SPACE_MARK).to_numpy(zero_copy_only=False)
                 arrays = [part.column("row"), part.column("text"), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids)), pa.array(same & ~marked)]
                 if samples:
                     seeds = K.mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64) * K.BASE + part.column("tag").to_numpy().astype(np.uint64))
-                    drawn = list(drawn_samples(pieces, chunks, seeds, samples))
+                    drawn = list(drawn_samples(known.lattice, of, seeds, samples))
                     flat = [x for own in drawn for x in own]
                     inner = pa.ListArray.from_arrays(
                         pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]), pa.int32()),
