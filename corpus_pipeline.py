@@ -2,11 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage
 before kept; all but the last return the columns of ``documents``.
+
+Defined results: null and empty texts fail the quality rules (too few words)
+and go in the first stage; rows with a null id are judged by their text alone
+and are never removed as copies; of rows equal in id and text one stays; other
+columns are carried as they are, whatever their names, but for the last
+stage, whose results replace columns of their names; empty tables give an empty
+table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlens.llm.decontamination import decontaminate
 from churnlens.llm.frames import documents, written
@@ -16,9 +24,18 @@ from churnlens.llm.quality_rules import quality_rules
 from churnlens.llm.substring_dedup import substring_dedup
 
 
+def _with_own_columns(docs: DataFrame, operator, keep: str | None = None) -> DataFrame:
+    """The documents' own columns after an operator that changes the text, and
+    whose results may share names with them."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("document"))
+    out = operator(packed)
+    out = out.where(keep) if keep else out
+    return out.select(*[F.col("text") if c == "text" else F.col("document")[c].alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule are cut; documents that are rejected go."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    return _with_own_columns(docs, quality_rules, "kept")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document also holds are cut out."""
-    return substring_dedup(docs).select(docs.columns)
+    return _with_own_columns(docs, substring_dedup)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +67,7 @@ STAGES = [
 ]
 
 #: Near-duplicate classes and the model's encoding are not expressible in SQL;
-#: ``tests/llm/test_pipeline.py`` compares run() with a brute-force version.
+#: ``tests/llm/test_llm_pipeline.py`` compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
