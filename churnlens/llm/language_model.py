@@ -10,6 +10,9 @@ normalised over all classes by batched matrix products.  Within a class, a
 word has its add-one share of the class's training tokens, so that the
 probabilities of all words (with one unseen word per class) add up to 1.
 
+* Chunks: each task cuts its documents into chunks of about ``CHUNK_BYTES``,
+  in a written table, so that neither long texts nor repeated rows make a
+  chunk large.
 * Counts: every distinct word of every document, in the tasks per chunk of
   documents, then summed per word.  The table grows with the corpus and stays
   in Spark; the driver sees the top words and the sums per class only.
@@ -32,14 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import kernels as K
 from churnlens.llm.frames import documents, keyed, unkeyed, written
 
-#: Documents of one chunk (about 10-30 MB of text).
-CHUNK = 4096
+#: Bytes of one chunk's documents (more by one document at most), and what a
+#: row counts beside its text.
+CHUNK_BYTES = 8 << 20
+ROW_BYTES = 64
 TOP_WORDS = 255
 SUFFIX_CLASSES = 256
 CLASSES = 1 + TOP_WORDS + SUFFIX_CLASSES  # class 0: the end of a text
@@ -189,6 +195,47 @@ def class_log_probabilities(p: dict[str, np.ndarray], c, one, two) -> np.ndarray
     return out
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their chunk: neighbours in the task, by bytes."""
+    before, first = 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        size = np.diff(K.utf8(batch.column("text"))[1]) + ROW_BYTES
+        chunk = first + (before + np.cumsum(size) - size) // CHUNK_BYTES
+        before += int(size.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], [*batch.schema.names, "chunk"])
+
+
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, suffix, chunk, training tokens) of the distinct words of each
+    chunk; a chunk that two tasks read gives a word twice."""
+    seen, of = [], None
+
+    def merged() -> pa.RecordBatch:
+        words, suffix, n = (np.concatenate(x) for x in zip(*seen))
+        values, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=n, minlength=len(values)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(values)), pa.array(suffix[first].astype(np.int32)),
+                                           pa.array(np.full(len(values), of, np.int64)), pa.array(n)], ["word", "suffix", "chunk", "n"])
+
+    for batch in batches:
+        chunk, train = batch.column("chunk").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+        edge = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a == b:
+                continue
+            if seen and of != chunk[a]:
+                yield merged()
+                seen = []
+            of = chunk[a]
+            for row, end, raw, off in K.slices(batch.column("text").slice(a, b - a)):
+                words, suffix, doc = tokens(raw, off)
+                values, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+                n = np.bincount(inverse, weights=np.repeat(train[a + row : a + end], np.diff(doc)), minlength=len(values))
+                seen.append((values, suffix[first], n))
+    if seen:
+        yield merged()
+
+
 def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every input row with ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-one unigram) and ``score``, both log10.
@@ -196,24 +243,9 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     train: condition on ``key`` (the id) of the rows to learn from."""
     base = keyed(docs, id_col, text_col)
     base = base.withColumn("train", F.coalesce(train & (F.col("tag") < (1 << 33)), F.lit(False)))
-    chunks = max(1, -(-docs.count() // CHUNK))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("key", "tag"), F.lit(chunks)).cast("int"))
-
-    def distinct(table: pa.Table) -> pa.Table:
-        chunk, train = table.column("chunk")[0].as_py(), table.column("train").to_numpy()
-        text = table.column("text").cast(pa.large_string()).combine_chunks()
-        seen = []
-        for row, end, raw, off in K.slices(text):
-            words, suffix, doc = tokens(raw, off)
-            values, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, weights=np.repeat(train[row:end], np.diff(doc)), minlength=len(values))
-            seen.append((values, suffix[first], n))
-        words, suffix, n = (np.concatenate(x) for x in zip(*seen))
-        values, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=n, minlength=len(values)).astype(np.int64)
-        return pa.table({"word": K.signed(values), "suffix": suffix[first].astype(np.int32), "chunk": np.full(len(values), chunk, np.int32), "n": n})
-
-    per_chunk = base.groupBy("chunk").applyInArrow(distinct, "word bigint, suffix int, chunk int, n bigint")
+    row = base.schema["row"].dataType.simpleString()
+    base = written(base.select("row", "text", "train").mapInArrow(in_chunks, f"row {row}, text string, train boolean, chunk bigint"), "lm-chunks")
+    per_chunk = base.select("chunk", "train", "text").mapInArrow(distinct_words, "word bigint, suffix int, chunk bigint, n bigint")
     counts = per_chunk.groupBy("word").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("c")).where("c > 0")
     counts = written(counts, "lm-counts")
     end = int(np.array([END]).view(np.int64)[0])
@@ -257,7 +289,6 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.table({"row": left.column("row"), "text": left.column("text"), "n_tokens": pa.array(n_tokens, pa.int64()),
                          "n_known": pa.array(n_known, pa.int64()), "base_score": base_score, "score": score})
 
-    row = base.schema["row"].dataType.simpleString()
     out = base.groupBy("chunk").cogroup(mine.groupBy("chunk")).applyInArrow(
         scored, f"row {row}, text string, n_tokens bigint, n_known bigint, base_score double, score double")
     return unkeyed(out, docs, text_col, None, n_tokens=F.col("n_tokens"), n_known=F.col("n_known"),

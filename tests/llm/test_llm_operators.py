@@ -409,6 +409,26 @@ def test_words_shared_by_items_weigh_little_in_any_number_of_indexes(spark):
         assert decontamination.leaks(docs, table, max_items=max_items).count() == 0
 
 
+def test_language_model_cuts_repeated_rows_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 4000)
+    rows = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two two " * 10).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(2, "two three " * 2000), (3, None), (None, "four")], "doc_id long, text string"))
+    got = {r.doc_id: r for r in language_model.lm_scores(rows, F.col("key") < 3).dropDuplicates().collect()}
+    # 300 times 10 one, 20 two, an end; 2000 two and three, an end
+    count = {"one": 3000, "two": 8000, "three": 2000, "end": 301}
+    total, kinds = sum(count.values()), len(count)
+
+    def base(words):
+        return sum(math.log10((count.get(w, 0) + 1) / (total + kinds + 1)) for w in words)
+
+    assert len(got) == 4 and {r.train_tokens for r in got.values()} == {total}
+    for i, words in [(1, ["one", "two", "two"] * 10 + ["end"]), (2, ["two", "three"] * 2000 + ["end"]), (3, ["end"]), (None, ["four", "end"])]:
+        assert got[i].base_score == pytest.approx(base(words)) and got[i].n_tokens == len(words)
+    chunks = spark.createDataFrame([(i, "x" * 900, True) for i in range(50)], "row long, text string, train boolean").coalesce(1)
+    sizes = chunks.mapInArrow(language_model.in_chunks, "row long, text string, train boolean, chunk long").groupBy("chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 4000 // 964 + 1 and len(sizes) >= 10
+
+
 def test_language_model(docs, none, texts):
     fold = F.pmod(F.crc32(F.col("key").cast("string").cast("binary")), F.lit(7))
     out = language_model.lm_scores(docs, fold != 2)

@@ -72,3 +72,37 @@ def test_encoding_stage_draws_samples(spark):
         assert [tuple(s.ids) for s in got[i].samples] == [tuple(s.ids) for s in r.samples]
         assert len(r.samples) == len({tuple(s.ids) for s in r.samples}) == (pieces.SAMPLES if r.text else 1)
         assert got[i].ids == r.ids
+
+
+def written_tables(spark, folder, rows, schema, items):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    def prose(seed, n=80):
+        return " ".join(f"word{(seed * 7919 + i * i * 31) % 9973}" for i in range(n)) + "."
+
+    schema = "doc_id long, text string, kept string, n_words string, document string, spans string, tag int, matches string"
+    own = ("own", "w", "d", "s", 7, "m")
+    leak = prose(9, 30)
+    rows = [(1, prose(1), *own), (1, prose(1), *own), (None, prose(1), *own), (2, prose(1), *own), (3, None, *own), (4, "", *own), (5, "short", *own),
+            (6, prose(2) + "\nAccept all cookies", *own), (7, prose(3) + " " + leak, *own), (8, prose(4) + " " + prose(2), *own), (8, prose(5), *own)]
+    folder = written_tables(spark, tmp_path, rows, schema, [(1, leak), (None, "no such text here at all"), (2, None)])
+    docs = documents(spark, folder)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert {tuple(r)[2:] for r in out.collect()} == {own}, name
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == [*docs.columns, "ids", "round_trip", "samples"]
+    texts = sorted((r.doc_id or 0, r.text.split()) for r in got.collect())
+    # 2 is a copy of 1, 7 holds the test item, 8 loses what 6 also holds
+    assert texts == sorted((i, t.split()) for i, t in [(0, prose(1)), (1, prose(1)), (6, prose(2)), (8, prose(4)), (8, prose(5))])
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    folder = written_tables(spark, tmp_path, [], "doc_id long, text string, lang string", [])
+    got = corpus_pipeline.run(spark, folder)
+    assert got.count() == 0 and got.columns == ["doc_id", "text", "lang", "ids", "round_trip", "samples"]
