@@ -409,8 +409,24 @@ def test_words_shared_by_items_weigh_little_in_any_number_of_indexes(spark):
         assert decontamination.leaks(docs, table, max_items=max_items).count() == 0
 
 
-def test_language_model_cuts_repeated_rows_into_chunks(spark, monkeypatch):
+def test_language_model_cuts_chunks_by_bytes(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
     monkeypatch.setattr(language_model, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(language_model, "TaskContext", Task)
+    texts = ["x" * 900] * 50 + ["y" * 9000] + [""] * 200
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 40], pa.string())}) for i in range(0, len(texts), 40)]
+    out = [r for b in language_model.in_chunks(iter(batches)) for r in b.to_pylist()]
+    size = collections.Counter()
+    for r in out:
+        size[r["chunk"]] += len(r["text"]) + language_model.ROW_BYTES
+    assert [r["text"] for r in out] == texts and [r["chunk"] for r in out] == sorted(r["chunk"] for r in out)
+    assert {c >> 32 for c in size} == {3} and sorted(size.values())[-2] <= 4000 + 964 and len(size) > 15
+
+
+def test_language_model_of_repeated_rows(spark):
     rows = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two two " * 10).alias("text"))
     rows = rows.unionByName(spark.createDataFrame([(2, "two three " * 2000), (3, None), (None, "four")], "doc_id long, text string"))
     got = {r.doc_id: r for r in language_model.lm_scores(rows, F.col("key") < 3).dropDuplicates().collect()}
@@ -424,9 +440,6 @@ def test_language_model_cuts_repeated_rows_into_chunks(spark, monkeypatch):
     assert len(got) == 4 and {r.train_tokens for r in got.values()} == {total}
     for i, words in [(1, ["one", "two", "two"] * 10 + ["end"]), (2, ["two", "three"] * 2000 + ["end"]), (3, ["end"]), (None, ["four", "end"])]:
         assert got[i].base_score == pytest.approx(base(words)) and got[i].n_tokens == len(words)
-    chunks = spark.createDataFrame([(i, "x" * 900, True) for i in range(50)], "row long, text string, train boolean").coalesce(1)
-    sizes = chunks.mapInArrow(language_model.in_chunks, "row long, text string, train boolean, chunk long").groupBy("chunk").count().collect()
-    assert max(r["count"] for r in sizes) <= 4000 // 964 + 1 and len(sizes) >= 10
 
 
 def test_language_model(docs, none, texts):
