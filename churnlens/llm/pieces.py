@@ -48,8 +48,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 #: Bytes of text sampled at once.
 LATTICE_BYTES = 512 << 10
-#: Lattice edges (36 bytes each) that a task keeps for its next slices.
-MAX_EDGES = 2_000_000
+#: Lattice edges (28 bytes each) that a task keeps for its next slices.
+MAX_EDGES = 3_600_000
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
 
@@ -165,7 +165,7 @@ class Lattice:
     the chunk, so that a chunk's end is no other chunk's start.  Chunks may be
     added later; what is there keeps its numbers."""
 
-    EDGES = {"node": np.int32, "to": np.int32, "piece": np.int32, "logq": np.float64, "reach": np.float64, "log_rest": np.float64}
+    EDGES = {"node": np.int32, "to": np.int32, "piece": np.int32, "logq": np.float64, "reach": np.float64}
     NODES = {"first": np.int32, "stop": np.int32, "is_end": bool}
 
     def __init__(self, pieces: Inventory, raw: np.ndarray | None = None, off: np.ndarray | None = None):
@@ -289,12 +289,15 @@ class Lattice:
         total = np.concatenate([[0], np.cumsum(q)])
         reach = total[1:] - np.repeat(total[group], size)
         reach[group + size - 1] = 2.0
-        only = np.repeat(size == 1, size)
-        with np.errstate(divide="ignore"):
-            log_rest = np.where(only, -np.inf, np.log(np.maximum(1 - q, 0)))
-        return {"node": node, "to": to, "piece": piece, "logq": logq, "reach": reach, "log_rest": log_rest,
+        return {"node": node, "to": to, "piece": piece, "logq": logq, "reach": reach,
                 "first": first, "stop": stop, "is_end": is_end, "chunk_node": off[:-1] + np.arange(chunks)}
 
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log-probability of leaving an edge's node by another edge."""
+        node = self.node[edges]
+        with np.errstate(divide="ignore"):
+            return np.where(self.stop[node] - self.first[node] == 1, -np.inf, np.log(np.maximum(1 - np.exp(self.logq[edges]), 0)))
+
     def walk(self, node: np.ndarray, counter: np.ndarray, step: np.ndarray):
         """Sample each chunk from a node to its end: edges of all walks one
         after the other, and where each walk begins."""
@@ -333,8 +336,9 @@ def truncated(log_mass: np.ndarray, limit, u: np.ndarray) -> np.ndarray:
 
 class Path:
     """One sampled segmentation of one text, and its open branches (the
-    largest perturbed value in each).  ``branch``: the step at which it left
-    an earlier path; ``excluded``: the edges already taken there."""
+    largest perturbed value in each, from step ``branch`` on).  ``branch``: the
+    step at which it left an earlier path; ``excluded``: the edges already taken
+    there."""
 
     __slots__ = ("edges", "chunk", "value", "log_prob", "open", "branch", "excluded")
 
@@ -343,25 +347,29 @@ class Path:
 
 
 def open_branches(lattice: Lattice, paths: list[Path], seeds: np.ndarray, sample: int) -> None:
-    """Fill in log-probability and open branches of new paths, all at once."""
+    """Fill in log-probability and open branches of new paths, all at once.
+    Branches before the step at which a path left another belong to that one."""
     sizes = np.array([len(p.edges) for p in paths])
+    branch = np.array([p.branch for p in paths])
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    edges = np.concatenate([p.edges for p in paths]).astype(np.int64)
-    which, step = np.repeat(np.arange(len(paths)), sizes), np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
+    edges = np.concatenate([p.edges for p in paths])
     total = np.concatenate([[0.0], np.cumsum(lattice.logq[edges])])
-    rest = lattice.log_rest[edges]
-    branch = np.array([p.branch for p in paths])
+    own = sizes - branch
+    place = np.concatenate([[0], np.cumsum(own)])
+    which = np.repeat(np.arange(len(paths)), own)
+    step = np.arange(place[-1]) + (branch - place[:-1])[which]
+    at = begin[which] + step
+    rest = lattice.log_rest(edges[at])
     for i, p in enumerate(paths):
         if p.excluded:
             left = left_edges(lattice, p.edges[p.branch], {*p.excluded, int(p.edges[p.branch])})
-            rest[begin[i] + p.branch] = np.log(np.exp(lattice.logq[left]).sum()) if len(left) else -np.inf
-    mass = total[:-1] - total[begin[which]] + rest
-    mass[step < branch[which]] = -np.inf  # branches before it belong to an earlier path
+            rest[place[i]] = np.log(np.exp(lattice.logq[left]).sum()) if len(left) else -np.inf
+    mass = total[at] - total[begin[which]] + rest
     counter = counters(seeds, sample, np.full(len(paths), 1 << 40))
     found = truncated(mass, np.array([p.value for p in paths])[which], uniform(counter[which], step))
     for i, p in enumerate(paths):
         p.log_prob = float(total[begin[i + 1]] - total[begin[i]])
-        p.open = found[begin[i] : begin[i + 1]]
+        p.open = found[place[i] : place[i + 1]]
 
 
 def left_edges(lattice: Lattice, edge: int, out) -> np.ndarray:
@@ -387,12 +395,13 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
         for d, own in enumerate(paths):
             if len(own) == sample - 1 and sizes[d]:
                 at = [int(p.open.argmax()) for p in own]
-                best = max(range(len(own)), key=lambda i: own[i].open[at[i]])
-                if own[best].open[at[best]] > -np.inf:
-                    todo.append((d, own[best], at[best]))
+                value = [p.open[i] for p, i in zip(own, at)]
+                best = value.index(max(value))
+                if value[best] > -np.inf:
+                    todo.append((d, own[best], own[best].branch + at[best]))
         if sample == k + 1:  # only the next perturbed value is wanted
             for d, path, at in todo:
-                kappa[d] = path.open[at]
+                kappa[d] = path.open[at - path.branch]
             break
         if not todo:
             continue
@@ -421,8 +430,8 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
         new = []
         for (path, at, out, chosen), a, b in zip(heads, edge[:-1], edge[1:]):
             new.append(Path(np.concatenate([path.edges[:at], [chosen], flat[a:b]]), np.concatenate([path.chunk[: at + 1], new_chunk[a:b]]),
-                            float(path.open[at]), at, out))
-            path.open[at] = -np.inf
+                            float(path.open[at - path.branch]), at, out))
+            path.open[at - path.branch] = -np.inf
         open_branches(lattice, new, seeds[docs], sample)
         for d, p in zip(docs.tolist(), new):
             paths[d].append(p)
@@ -503,7 +512,7 @@ class Chunks:
             self.lattice.add(raw, off)
         if self.sp is not None:
             data, edge = raw.tobytes(), off.tolist()
-            strings = [data[a + 1 : b].decode() for a, b in zip(edge[:-1], edge[1:])]
+            strings = [data[a + 1 : b] for a, b in zip(edge[:-1], edge[1:])]
             # a chunk of one space alone would be an empty string to the model
             ids = [x or [self.pieces.mark] for x in self.sp.encode(strings, num_threads=1)]
             size = np.array([len(x) for x in ids], dtype=np.int64)
