@@ -414,6 +414,14 @@ def q_refresh_daily_view(s, d):
     return table.read().select(rows.columns)
 
 
+def q_drop_and_recreate(s, d):
+    """A stored view (holds) that is written, dropped and written again."""
+    own = Warehouse(s, d, version=f"dropped-{uuid.uuid4().hex}")
+    own.build("subscription_hold")
+    own.drop("subscription_hold")
+    return own.subscription_hold
+
+
 # --- building blocks on their own -------------------------------------------------------
 
 def q_existence_flag(s, d):

@@ -65,6 +65,10 @@ class View:
 
 SUBSCRIPTION = ("account_id", "subscrn_id")
 
+#: Bytes of input tables per bucket, and the bounds of the number of buckets.
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 13
+
 #: Keys of the payment events' property maps that the analyses use.
 PAYMENT_KEYS = {
     "degenerate_values_map": [
@@ -159,6 +163,19 @@ def _fingerprint(spark: SparkSession, root: str, version: str | None = None) ->
     return h.hexdigest()[:16]
 
 
+def _default_buckets(spark: SparkSession, root: str, version: str | None) -> int:
+    if version is not None:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = _state(spark)["buckets"]
+    if root not in known:
+        size = 0
+        for name in TABLES:
+            fs, p = jvm_fs(spark, os.path.join(root, f"{name}.parquet"))
+            size += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+        known[root] = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+    return known[root]
+
+
 def _table_name(path: str) -> str:
     """Catalog name of a stored attempt: its last three folders (input and
     rules, view, attempt)."""
@@ -174,7 +191,7 @@ _SESSION_STATE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKe
 def _state(spark: SparkSession) -> dict:
     st = _SESSION_STATE.get(spark)
     if st is None:
-        st = {"base": {}, "views": {}}
+        st = {"base": {}, "views": {}, "buckets": {}}
         _SESSION_STATE[spark] = st
     return st
 
@@ -187,9 +204,10 @@ class Warehouse:
     Raw driver tables stay available as ``.tables``.
 
     ``buckets`` is the number of buckets of the subscription facts, by default
-    the session's number of shuffle partitions: size it like a shuffle of the
-    largest fact.  Tables built with another number stay apart, since only
-    equal numbers of buckets join without a shuffle.
+    one per ``BUCKET_BYTES`` of the input tables (with ``version``, which spares
+    the listing: the session's number of shuffle partitions).  Tables built
+    with another number stay apart, since only equal numbers of buckets join
+    without a shuffle.
     """
 
     def __init__(self, spark: SparkSession, root: str, materialize: bool = True, version: str | None = None,
@@ -199,7 +217,7 @@ class Warehouse:
         self.version = version
         self.tables = Tables(spark, root)
         self.materialize = materialize
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or _default_buckets(spark, root, version)
         self._base = None
         self._forced: dict[str, str] = {}
 

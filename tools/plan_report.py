@@ -1,9 +1,10 @@
-"""Plan shape of every registered query as it would be planned at scale.
+"""PLANS.md: plan shape of every registered analysis, as planned at scale.
 
 Size-based broadcasting is switched off (``autoBroadcastJoinThreshold=-1``)
 so only explicit, bounded broadcasts remain, approximating the plan over
 inputs too large to broadcast.  Prints a Markdown table of shuffles, join
-strategies, scans and pushed filters per query.
+strategies, scans and pushed filters per analysis, and the lines of some
+plans that show what reaches the scans.
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
 """
@@ -32,23 +33,56 @@ def shape(plan: str) -> dict:
     }
 
 
+INTRO = """# Plan shapes at scale
+
+Generated by `python tools/plan_report.py {sf_dir}`. Every registered analysis
+is planned with size-based broadcasting switched off
+(`spark.sql.autoBroadcastJoinThreshold=-1`) and AQE off. This shows the static
+plan as it would look over inputs too large to broadcast: only explicit
+broadcasts of the 25 nations or of user-given day slices remain, and every
+other join is a sort-merge join on its keys. On a real run AQE re-plans from
+measured sizes: it broadcasts small sides, coalesces partitions and splits
+skewed partitions.
+
+Columns:
+- **shuffles**: exchanges executed.
+- **reused shuffles**: exchanges served from an identical earlier exchange.
+- **explicit broadcasts**: `broadcast()` of bounded dimensions.
+- **scans with pushed filters**: Parquet scans whose `PushedFilters` are
+  non-empty.
+- **python**: Python evaluation nodes; there are none.
+
+Subscription facts are bucketed by (account, subscription), so joins and
+group-bys on these keys show no shuffle. Views and shared intermediates
+(`link_summary`) are stored tables; the plans start at their scans.
+"""
+
+SHOWN = ["signup_cancel_reason", "refund_count_monthly", "chargeback_vs_approved_aligned", "market_region_rollup"]
+LINES = re.compile(r"^(\(\d+\) .*(Scan parquet|Exchange|Join|Generate)|(PushedFilters|PartitionFilters|ReadSchema|SelectedBucketsCount|Left keys).*)")
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    from churnlens.plans.registry import QUERIES
     from churnlens.session import local_session
-    import __spark_entry__ as E
 
     spark = local_session()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # show the static plan
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")  # untruncated PushedFilters
+    print(INTRO.format(sf_dir=sf_dir))
     print("| query | shuffles | reused shuffles | explicit broadcasts | sort-merge joins | broadcast joins | windows | scans | scans with pushed filters | python |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, fn in sorted(E.queries().items()):
-        df = fn(spark, sf_dir)
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        s = shape(plan)
+    for name, fn in sorted(QUERIES.items()):
+        s = shape(fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
         print(f"| `{name}` | {s['shuffles']} | {s['reused']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['windows']} | "
               f"{s['scans']} | {s['pushed']} | {s['python']} |")
+    print("\n## Lines of formatted plans\n\nScans with their filters and columns, exchanges and joins.")
+    for name in SHOWN:
+        formatted = QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        kept = [re.sub(r"#\d+L?", "", x.strip())[:230] for x in formatted.splitlines() if LINES.match(x.strip())]
+        print(f"\n### `{name}`\n\n```\n" + "\n".join(kept) + "\n```")
     spark.stop()
 
 
