@@ -49,7 +49,7 @@ SAMPLES = 3
 #: Bytes of text sampled at once.
 LATTICE_BYTES = 512 << 10
 #: Lattice edges (28 bytes each) that a task keeps for its next slices.
-MAX_EDGES = 3_600_000
+MAX_EDGES = 1_000_000
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
 
