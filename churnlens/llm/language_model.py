@@ -44,7 +44,7 @@ from churnlens.llm.frames import documents, keyed, unkeyed, written
 
 #: Bytes of one chunk's documents (more by one document at most), and what a
 #: row counts beside its text.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 ROW_BYTES = 64
 TOP_WORDS = 255
 SUFFIX_CLASSES = 256
