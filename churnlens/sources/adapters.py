@@ -79,6 +79,13 @@ def _cancel_reason() -> Column:
             .when(rf == "A", "VOL_PARTNER"))
 
 
+def _dealt(t: Tables, rows: DataFrame, order_key: str) -> DataFrame:
+    """Rows dealt out by order as the subscription facts are stored.  Both
+    sides of a join are dealt before it, so the joined rows already lie in
+    their buckets and the wide result is not shuffled again."""
+    return rows.repartition(t.buckets, order_key) if t.buckets else rows
+
+
 def _orders_customers(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
@@ -87,8 +94,9 @@ def _orders_customers(t: Tables) -> DataFrame:
 def _lines_orders_customers(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     c = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return (t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(c, F.col("o_custkey") == F.col("c_custkey")))
+    # orders meet their customers first: they are fewer than the lines
+    oc = _dealt(t, o.join(c, F.col("o_custkey") == F.col("c_custkey")), "o_orderkey")
+    return _dealt(t, t.lineitem, "l_orderkey").join(oc, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # --- subscriptions and signups -------------------------------------------------
@@ -101,9 +109,9 @@ def subscription(t: Tables) -> DataFrame:
         F.max("l_linenumber").alias("latest_subscrn_period_nbr"))
     first = (t.orders.groupBy(F.col("o_custkey").alias("first_custkey"))
              .agg(F.min("o_orderdate").alias("first_orderdate")))
-    base = (_orders_customers(t)
-            .join(latest, F.col("o_orderkey") == F.col("latest_orderkey"), "left")
-            .join(first, F.col("o_custkey") == F.col("first_custkey"), "left"))
+    signups = _orders_customers(t).join(first, F.col("o_custkey") == F.col("first_custkey"), "left")
+    base = (_dealt(t, signups, "o_orderkey")
+            .join(_dealt(t, latest, "latest_orderkey"), F.col("o_orderkey") == F.col("latest_orderkey"), "left"))
     return base.select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("subscrn_id"),
@@ -147,10 +155,11 @@ def signup_retention(t: Tables) -> DataFrame:
                F.max(flag(F.col("l_returnflag") == "A")).alias("p1_v")))
     first = (t.orders.groupBy(F.col("o_custkey").alias("first_custkey"))
              .agg(F.min("o_orderdate").alias("first_orderdate")))
-    base = (_orders_customers(t)
-            .join(_nation_dim(t), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(p1, F.col("o_orderkey") == F.col("p1_orderkey"), "left")
-            .join(first, F.col("o_custkey") == F.col("first_custkey"), "left"))
+    signups = (_orders_customers(t)
+               .join(_nation_dim(t), F.col("c_nationkey") == F.col("n_nationkey"))
+               .join(first, F.col("o_custkey") == F.col("first_custkey"), "left"))
+    base = (_dealt(t, signups, "o_orderkey")
+            .join(_dealt(t, p1, "p1_orderkey"), F.col("o_orderkey") == F.col("p1_orderkey"), "left"))
     sd = int_date("o_orderdate")
     return base.select(
         F.col("o_custkey").alias("account_id"),
@@ -173,7 +182,7 @@ def signup_retention(t: Tables) -> DataFrame:
 
 
 def subscription_signup(t: Tables) -> DataFrame:
-    return t.orders.select(
+    return _dealt(t, t.orders, "o_orderkey").select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("subscrn_id"),
         F.lit(1).alias("signup_cnt"),
@@ -182,7 +191,7 @@ def subscription_signup(t: Tables) -> DataFrame:
 
 def signup_funnel(t: Tables) -> DataFrame:
     """Regional funnel events of (future) accounts: one per order."""
-    return (_orders_customers(t)
+    return (_dealt(t, _orders_customers(t), "o_orderkey")
             .join(_nation_dim(t), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("o_custkey").alias("account_id"),
@@ -209,7 +218,7 @@ def partner_cohort(t: Tables) -> DataFrame:
 
 
 def subscription_hold(t: Tables) -> DataFrame:
-    return t.orders.filter(F.col("o_orderstatus") == "P").select(
+    return _dealt(t, t.orders.filter(F.col("o_orderstatus") == "P"), "o_orderkey").select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("subscrn_id"),
         (F.substring("o_orderpriority", 1, 1).cast("int") * 100 + 10).alias("hold_type_id"),
@@ -258,7 +267,8 @@ def billing_subscription(t: Tables) -> DataFrame:
         F.max("l_linenumber").alias("latest_billing_period_nbr"),
         F.max(int_date("l_shipdate")).alias("billing_end_date"),
     )
-    return t.orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    per_order = _dealt(t, per_order, "l_orderkey")
+    return _dealt(t, t.orders, "o_orderkey").join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("subscrn_id"),
         "cancellation_reason_desc",

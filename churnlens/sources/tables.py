@@ -14,11 +14,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 class Tables:
-    """``Tables(spark, root).orders`` -> DataFrame of ``root/orders.parquet``."""
+    """``Tables(spark, root).orders`` -> DataFrame of ``root/orders.parquet``.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``buckets``: rows of one subscription are dealt out to that many tasks
+    (for views that are stored in buckets); without it, Spark decides."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root
+        self.buckets = buckets
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.root, f"{name}.parquet"))

@@ -9,8 +9,8 @@ domain view once per input folder to the shared checkpoint folder
   scan (``PushedFilters``, row-group skipping on date-sorted files); keys of
   property maps are stored as columns beside the maps, so predicates on them
   reach the scan too;
-- buckets the subscription facts by (account, subscription), so joins and
-  group-bys on these keys need no shuffle;
+- buckets the subscription facts by subscription, so joins and group-bys on
+  (account, subscription) need no shuffle;
 - cuts lineage at a written table in the shared folder, so a lost executor
   re-reads files instead of recomputing the adapter joins;
 - builds each adapter join once instead of once per analysis.
@@ -48,7 +48,8 @@ class View:
     sort: column the files are sorted on, so that row groups can be skipped;
     by_day: one folder per value of it (event facts), so that date ranges
     prune folders; keys: bucketed by these columns, so that joins and
-    group-bys on them need no shuffle; map_keys: keys of property maps that
+    group-bys on them (and more) need no shuffle; its adapter deals the rows
+    out to the buckets (``Tables.buckets``); map_keys: keys of property maps that
     are stored as columns beside the maps; then_by: further sort columns.
     """
 
@@ -63,10 +64,13 @@ class View:
         return with_stored_keys(self.adapter(tables), self.map_keys)
 
 
-SUBSCRIPTION = ("account_id", "subscrn_id")
+#: A subscription has one account.  Its id alone is what the input tables are
+#: joined on, so the rows that a view's last join gives lie in their buckets.
+SUBSCRIPTION = ("subscrn_id",)
 
 #: Bytes of input tables per bucket, and the bounds of the number of buckets.
-BUCKET_BYTES = 128 << 20
+#: Compressed input grows some 15 times as rows to sort: a bucket is one task's.
+BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 13
 
 #: Keys of the payment events' property maps that the analyses use.
@@ -246,7 +250,7 @@ class Warehouse:
             if done:
                 return done[0]
         view = VIEWS[name]
-        df = view.rows(self.tables)
+        df = view.rows(Tables(self.spark, self.root, self.buckets) if view.keys else self.tables)
         path = os.path.join(folder, f"attempt-{uuid.uuid4().hex}")
         if view.by_day:
             # cluster by day; AQE splits a day that is larger than the advisory
@@ -262,12 +266,12 @@ class Warehouse:
         return path
 
     def _write_bucketed(self, df: DataFrame, view: View, path: str) -> None:
-        """One file per bucket: the rows are dealt by the same hash that
-        assigns buckets.  (account, subscription) keys hardly repeat, so
-        buckets are even.  The catalog entry lies over files in the shared
-        folder; it is made when the view is opened (a session's catalog may
-        not outlive it)."""
-        writer = df.repartition(self.buckets, *view.keys).write.bucketBy(self.buckets, *view.keys)
+        """One file per bucket: the adapter has dealt the rows by the same
+        hash that assigns buckets.  Subscriptions hardly repeat, so buckets
+        are even.  The catalog entry lies over files in the shared folder; it
+        is made when the view is opened (a session's catalog may not outlive
+        it)."""
+        writer = df.write.bucketBy(self.buckets, *view.keys)
         if view.sort:
             writer = writer.sortBy(view.sort)
         writer.option("path", path).saveAsTable(_table_name(path))

@@ -12,7 +12,9 @@ from churnlens.functions import values as V
 from churnlens.operators import windows as W
 from churnlens.plans import cohorts, payments
 from churnlens.plans import registry as R
+from churnlens.sources import warehouse
 from churnlens.sources.daily import DailyTable
+from churnlens.sources.tables import Tables
 from churnlens.sources.warehouse import Warehouse
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +114,28 @@ def test_bucketed_views_open_in_a_session_with_an_empty_catalog(spark, t):
     assert again.count() == rows and "Bucketed: true" in plan(again.groupBy("account_id", "subscrn_id").count())
 
 
+@pytest.mark.parametrize("name, most", [("billing_period", 4), ("subscription", 6), ("signup_retention", 6), ("billing_subscription", 3)])
+def test_joined_rows_lie_in_their_buckets(spark, static, name, most):
+    # the last join is on the buckets' key: no shuffle comes after it
+    text = plan(warehouse.VIEWS[name].rows(Tables(spark, SF, 8)))
+    assert shuffles(text) <= most
+    assert text.index("Join") < text.index("Exchange")
+    own = Warehouse(spark, SF, version="test-dealt", buckets=8)
+    files = glob.glob(own.build(name, force=True).removeprefix("file:") + "/*.parquet")
+    assert len(files) <= 8
+    a, b = own.view(name), warehouse.VIEWS[name].rows(Tables(spark, SF))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_a_bucket_is_small(spark, monkeypatch):
+    class Of:
+        def getContentSummary(self, p): return self
+        def getLength(self): return (1 << 30) // len(warehouse.TABLES)
+        def exists(self, p): return True
+    monkeypatch.setattr(warehouse, "jvm_fs", lambda spark, path: (Of(), path))
+    assert warehouse._default_buckets(spark, "/a folder of 1 GB", None) >= 60
+
+
 def test_drop_removes_stored_attempts(spark):
     own = Warehouse(spark, SF, version="test-drop")
     kept, gone = own.build("subscription_hold", force=True), own.build("geo_market")
