@@ -314,6 +314,32 @@ def test_toxicity_does_not_depend_on_partitions_or_repeats(spark):
     assert scores(1) == scores(7)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    # the words that tell stand after 33,000 others
+    text = {1: "vile scum", 0: "calm day"}
+    rows = [(i, "so " * 33000 + text[i % 2], i % 2) for i in range(60)] + [(i, "so " + text[i % 2], i % 2) for i in range(60, 80)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(data.drop("toxic"), data.select("doc_id", "toxic"), lang_col=None, learn=F.col("key") < 60)
+    assert all(r.predicted == r.doc_id % 2 for r in got.where("doc_id >= 60").collect())
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=12) + ["vile" if i % 5 == 0 else "calm"]), "en", int(i % 5 == 0)) for i in range(5200)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1 << 17)  # several shards
+    packed = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda parts, rounds: packed.append((parts, rounds)) or train(parts, rounds))
+    got = toxicity.toxicity(data.drop("toxic"), data.select("doc_id", "toxic"), learn=F.col("key") < 5000).collect()
+    kept = [s for s in toxicity.shards(packed[0][0].toArrow().to_batches())]
+    assert len(kept) > 1 and packed[0][1] == toxicity.ROUNDS
+    assert sum(len(s.y) for s in kept) == 5000 and sum(int(s.y.sum()) for s in kept) == 1000
+    assert sum(len(s.ids) for s in kept) == 13 * 5000
+    assert np.mean([r.predicted == rows[r.doc_id][3] for r in got if r.doc_id >= 5000]) > 0.9
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(1)
     vocabulary = ["w%d" % i for i in range(300)]
