@@ -93,7 +93,7 @@ def _largest_reason() -> Column:
     """``max(_cancel_reason())``, as the largest place in the sorted list: a
     number is aggregated in a hash table, a string by sorting all lines."""
     place = F.max(F.coalesce(*[F.when(_cancel_reason() == r, i) for i, r in reversed(list(enumerate(CANCEL_REASONS, 1)))]))
-    return F.element_at(F.array(*[F.lit(r) for r in CANCEL_REASONS]), place)
+    return F.coalesce(*[F.when(place == i, r) for i, r in enumerate(CANCEL_REASONS, 1)])
 
 
 def _orders_customers(t: Tables) -> DataFrame:

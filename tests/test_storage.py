@@ -12,7 +12,7 @@ from churnlens.functions import values as V
 from churnlens.operators import windows as W
 from churnlens.plans import cohorts, payments
 from churnlens.plans import registry as R
-from churnlens.sources import warehouse
+from churnlens.sources import adapters, warehouse
 from churnlens.sources.daily import DailyTable
 from churnlens.sources.tables import Tables
 from churnlens.sources.warehouse import Warehouse
@@ -127,6 +127,12 @@ def test_joined_rows_lie_in_their_buckets(spark, static, name, most):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_largest_reason_is_the_largest_string(spark):
+    lines = spark.read.parquet(LARGER + "/lineitem.parquet").groupBy("l_orderkey")
+    both = lines.agg(F.max(adapters._cancel_reason()).alias("a"), adapters._largest_reason().alias("b"))
+    assert both.where("not a <=> b").count() == 0 and both.where("a is null").count() > 0
+
+
 def test_a_bucket_is_small(spark, monkeypatch):
     class Of:
         def getContentSummary(self, p): return self
