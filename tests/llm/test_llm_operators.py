@@ -340,6 +340,24 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     assert np.mean([r.predicted == rows[r.doc_id][3] for r in got if r.doc_id >= 5000]) > 0.9
 
 
+def test_toxicity_knows_unseen_forms_among_many_words(spark, monkeypatch):
+    # 250,000 distinct words, far more than buckets; no toxic form occurs twice
+    rng = random.Random(4)
+    rows = []
+    for i in range(2000):
+        w = ["".join(rng.choices("abcdefgéñ", k=7)) for _ in range(125)]
+        if i % 8 == 0:
+            w[rng.randrange(len(w))] = "schné" + "".join(rng.choices("abcdefgéñ", k=6))
+        rows.append((i, " ".join(w), ["de", "fr"][i // 8 % 2], int(i % 8 == 0)))
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 1 << 19)  # several shards
+    got = toxicity.toxicity(data.drop("toxic"), data.select("doc_id", "toxic"), learn=F.col("key") < 1200)
+    held = [r for r in got.collect() if r.doc_id >= 1200]
+    for y in (0, 1):
+        own = [r for r in held if rows[r.doc_id][3] == y]
+        assert np.mean([r.predicted == y for r in own]) > 0.95 and np.mean([r.flagged == y for r in own]) > 0.95
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(1)
     vocabulary = ["w%d" % i for i in range(300)]
