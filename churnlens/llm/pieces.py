@@ -49,9 +49,11 @@ SAMPLES = 3
 #: Bytes of text sampled at once.
 LATTICE_BYTES = 512 << 10
 #: Lattice edges (28 bytes each) that a task keeps for its next slices.
-MAX_EDGES = 1_000_000
+MAX_EDGES = 2_000_000
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
+#: Steps of a path whose branches are looked at whatever their random numbers.
+BRANCHES = 64
 
 _rng = np.random.default_rng(31)
 STEP_A, STEP_B, STEP_C = (np.uint64(x) | np.uint64(1) for x in _rng.integers(1, 1 << 63, 3, dtype=np.uint64))
@@ -336,7 +338,8 @@ def truncated(log_mass: np.ndarray, limit, u: np.ndarray) -> np.ndarray:
 
 class Path:
     """One sampled segmentation of one text, and its open branches (the
-    largest perturbed value in each, from step ``branch`` on).  ``branch``: the
+    largest perturbed value in each, from step ``branch`` on, where it may be
+    among the path's best).  ``branch``: the
     step at which it left an earlier path; ``excluded``: the edges already taken
     there."""
 
@@ -346,30 +349,69 @@ class Path:
         self.edges, self.chunk, self.value, self.branch, self.excluded = edges, chunk, value, branch, excluded
 
 
-def open_branches(lattice: Lattice, paths: list[Path], seeds: np.ndarray, sample: int) -> None:
+def open_branches(lattice: Lattice, paths: list[Path], seeds: np.ndarray, sample: int, k: int) -> None:
     """Fill in log-probability and open branches of new paths, all at once.
-    Branches before the step at which a path left another belong to that one."""
+    Branches before the step at which a path left another belong to that one.
+
+    Of a path's branches the best k are wanted.  A branch's mass is at most
+    that of the path up to it, which falls from step to step: after the first
+    ``BRANCHES`` steps only those are looked at (the others count as closed)
+    whose random number is large enough to be among the best k at the mass
+    that is left there."""
     sizes = np.array([len(p.edges) for p in paths])
     branch = np.array([p.branch for p in paths])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     edges = np.concatenate([p.edges for p in paths])
     total = np.concatenate([[0.0], np.cumsum(lattice.logq[edges])])
     own = sizes - branch
-    place = np.concatenate([[0], np.cumsum(own)])
-    which = np.repeat(np.arange(len(paths)), own)
-    step = np.arange(place[-1]) + (branch - place[:-1])[which]
-    at = begin[which] + step
-    rest = lattice.log_rest(edges[at])
+    counter = counters(seeds, sample, np.full(len(paths), 1 << 40))
+    value = np.array([p.value for p in paths])
+    block = max(BRANCHES, k)
+
+    def steps(path: np.ndarray, start: np.ndarray):
+        """Path, own step, and random number in blocks of steps."""
+        size = np.minimum(own[path] - start, block)
+        of = np.repeat(path, size)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - start, size)
+        return of, step, uniform(counter[of], step + branch[of])
+
+    def masses(of: np.ndarray, step: np.ndarray) -> np.ndarray:
+        at = begin[of] + branch[of] + step
+        return total[at] - total[begin[of]] + lattice.log_rest(edges[at])
+
+    every = np.arange(len(paths))
+    of, step, u = steps(every, np.zeros(len(paths), np.int64))
+    mass = masses(of, step)
+    place = np.searchsorted(of, np.arange(len(paths) + 1)).tolist()
     for i, p in enumerate(paths):
+        p.log_prob = float(total[begin[i + 1]] - total[begin[i]])
         if p.excluded:
             left = left_edges(lattice, p.edges[p.branch], {*p.excluded, int(p.edges[p.branch])})
-            rest[place[i]] = np.log(np.exp(lattice.logq[left]).sum()) if len(left) else -np.inf
-    mass = total[at] - total[begin[which]] + rest
-    counter = counters(seeds, sample, np.full(len(paths), 1 << 40))
-    found = truncated(mass, np.array([p.value for p in paths])[which], uniform(counter[which], step))
+            rest = np.log(np.exp(lattice.logq[left]).sum()) if len(left) else -np.inf
+            mass[place[i]] = total[begin[i] + p.branch] - total[begin[i]] + rest
+    found = truncated(mass, value[of], u)
+
+    best = np.full((len(paths), block), -np.inf)
+    best[of, step] = mass - np.log(-np.log(u))
+    best = np.partition(best, block - k, axis=1)[:, block - k]
+    more = np.maximum(-(-own // block) - 1, 0)
+    path = np.repeat(every, more)
+    start = (np.arange(len(path)) - np.repeat(np.cumsum(more) - more, more) + 1) * block
+    ahead = total[begin[path] + branch[path] + start] - total[begin[path]] - best[path] + 1e-6
+    able = np.flatnonzero(ahead > -37)  # random numbers end at 1 - 2**-53
+    path, start, ahead = path[able], start[able], ahead[able]
+    of, step, u = steps(path, start)
+    with np.errstate(over="ignore"):
+        least = np.repeat(np.exp(-np.exp(ahead)), np.minimum(own[path] - start, block))
+    far = np.flatnonzero(u >= least)
+    of, step, u = of[far], step[far], u[far]
+    late = truncated(masses(of, step), value[of], u) if len(far) else np.zeros(0)
+    edge = np.searchsorted(of, np.arange(len(paths) + 1)).tolist()
     for i, p in enumerate(paths):
-        p.log_prob = float(total[begin[i + 1]] - total[begin[i]])
         p.open = found[place[i] : place[i + 1]]
+        if edge[i] < edge[i + 1]:
+            p.open = np.concatenate([p.open, np.full(int(own[i]) - block, -np.inf)])
+            p.open[step[edge[i] : edge[i + 1]]] = late[edge[i] : edge[i + 1]]
 
 
 def left_edges(lattice: Lattice, edge: int, out) -> np.ndarray:
@@ -388,7 +430,7 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
     root = -np.log(-np.log(uniform(counters(seeds, 0, np.zeros(len(seeds))), 0)))
     edge = begin[doc]
     paths = [[Path(flat[a:b], piece_chunk[a:b], float(g), 0, ())] for a, b, g in zip(edge[:-1], edge[1:], root)]
-    open_branches(lattice, [own[0] for own in paths], seeds, 1)
+    open_branches(lattice, [own[0] for own in paths], seeds, 1, k)
     kappa = np.full(len(sizes), -np.inf)
     for sample in range(2, k + 2):
         todo = []
@@ -432,7 +474,7 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
             new.append(Path(np.concatenate([path.edges[:at], [chosen], flat[a:b]]), np.concatenate([path.chunk[: at + 1], new_chunk[a:b]]),
                             float(path.open[at - path.branch]), at, out))
             path.open[at - path.branch] = -np.inf
-        open_branches(lattice, new, seeds[docs], sample)
+        open_branches(lattice, new, seeds[docs], sample, k)
         for d, p in zip(docs.tolist(), new):
             paths[d].append(p)
     return list(zip(paths, kappa.tolist()))

@@ -301,6 +301,29 @@ def test_forgetting_chunks_changes_nothing(monkeypatch, texts):
         assert ids == sp.encode(text.replace("▁", " ")) and same == (sp.decode(ids) == text.replace("▁", " "))
 
 
+def test_sampling_looks_at_few_branches_and_misses_none(monkeypatch):
+    rng = random.Random(6)
+    words = ["water", "international", "of", "ab", "Straße", "x"]
+    texts = pa.array([" ".join(rng.choices(words, k=n)) for n in [3000] * 8 + [1, 30, 100] * 5])
+    seeds = np.arange(len(texts), dtype=np.uint64) * np.uint64(7919)
+    with open(pieces.MODEL, "rb") as f:
+        inventory = pieces.Inventory(f.read())
+    looked = []
+    log_rest = pieces.Lattice.log_rest
+    monkeypatch.setattr(pieces.Lattice, "log_rest", lambda self, edges: looked.append(len(edges)) or log_rest(self, edges))
+
+    def drawn(first):
+        monkeypatch.setattr(pieces, "BRANCHES", first)
+        looked.clear()
+        found = [[(x[0].tolist(), *x[1:]) for x in own] for own in pieces.sampled_segmentations(inventory, texts, seeds, 5)]
+        return found, sum(looked)
+
+    every, all_steps = drawn(1 << 14)
+    few, steps = drawn(64)
+    assert few == every and steps < all_steps / 2
+    assert drawn(5)[0] == every
+
+
 def test_toxicity_does_not_depend_on_partitions_or_repeats(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["mild", "day", "tree", "vile" if i % 3 == 0 else "sun"]) for _ in range(20))) for i in range(90)]
