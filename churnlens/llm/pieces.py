@@ -48,8 +48,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
 #: Bytes of text sampled at once.
 LATTICE_BYTES = 512 << 10
+#: Bytes of new chunks whose lattices are made at once.
+BLOCK_BYTES = 64 << 10
 #: Lattice edges (28 bytes each) that a task keeps for its next slices.
 MAX_EDGES = 1_000_000
+#: Ids (4 bytes each) that a task keeps, each chunk's entry counted as 6 more.
+MAX_IDS = 4_000_000
+#: Bits of a number that orders edges; what needs more is ordered by two.
+KEY_BITS = 63
 BYTE_PENALTY = 4.0
 SPACE_MARK = "▁"
 #: Steps of a path whose branches are looked at whatever their random numbers.
@@ -165,9 +171,10 @@ class Growing:
 class Lattice:
     """All segmentations of distinct chunks.  Node: byte position + number of
     the chunk, so that a chunk's end is no other chunk's start.  Chunks may be
-    added later; what is there keeps its numbers."""
+    added later; what is there keeps its numbers.  ``then``: the first edge
+    that leaves an edge's end, -1 where the chunk ends there."""
 
-    EDGES = {"node": np.int32, "to": np.int32, "piece": np.int32, "logq": np.float64, "reach": np.float64}
+    EDGES = {"node": np.int32, "then": np.int32, "piece": np.int32, "logq": np.float64, "reach": np.float64}
     NODES = {"first": np.int32, "stop": np.int32, "is_end": bool}
 
     def __init__(self, pieces: Inventory, raw: np.ndarray | None = None, off: np.ndarray | None = None):
@@ -183,16 +190,29 @@ class Lattice:
 
     def add(self, raw: np.ndarray, off: np.ndarray) -> None:
         """Append the lattices of the chunks raw[off[i] : off[i + 1]]."""
-        edges, nodes = self.parts["node"].size, self.parts["first"].size
-        block = self.block(raw, off)
-        for name in ("node", "to", "chunk_node"):
-            block[name] += nodes
-        for name in ("first", "stop"):
-            block[name] += edges
-        for name, part in self.parts.items():
-            part.extend(block[name])
+        a, chunks = 0, len(off) - 1
+        while a < chunks:
+            b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_BYTES, side="right")) - 1)
+            edges, nodes = self.parts["node"].size, self.parts["first"].size
+            block = self.block(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+            for name in ("node", "chunk_node"):
+                block[name] += nodes
+            for name in ("first", "stop"):
+                block[name] += edges
+            block["then"][block["then"] >= 0] += edges
+            for name, part in self.parts.items():
+                part.extend(block[name])
+            a = b
         self.show()
 
+    @property
+    def to(self) -> np.ndarray:
+        """The node at each edge's end."""
+        return self.ends(np.arange(len(self.node)))
+
+    def ends(self, edges):
+        return self.node[edges] + self.pieces.bytes_size[self.piece[edges]]
+
     def edges_of(self) -> np.ndarray:
         """Number of edges of each chunk."""
         if not len(self.chunk_node):
@@ -207,7 +227,8 @@ class Lattice:
         new_node, new_edge = np.cumsum(nodes) - 1, np.cumsum(edges) - 1
         size = (self.stop - self.first)[nodes]
         kept = {name: getattr(self, name)[edges] for name in self.EDGES}
-        kept["node"], kept["to"] = new_node[kept["node"]], new_node[kept["to"]]
+        kept["node"] = new_node[kept["node"]]
+        kept["then"] = np.where(kept["then"] < 0, -1, new_edge[kept["then"]])
         kept["first"] = np.where(size > 0, new_edge[np.minimum(self.first[nodes], max(0, len(edges) - 1))] if len(edges) else 0, 0)
         kept["stop"] = kept["first"] + size
         kept["is_end"] = self.is_end[nodes]
@@ -221,12 +242,24 @@ class Lattice:
         n, chunks = len(raw), len(off) - 1
         chunk = np.repeat(np.arange(chunks), np.diff(off))
         left = off[1:][chunk] - np.arange(n)  # bytes to the end of the chunk
+        # one order serves all: by distance to the chunk's end, then by node, the
+        # longest (mostly the likeliest) piece first; the last bits hold the piece
+        longest_piece = max(pieces.by_size)
+        bits = len(pieces.bytes_size).bit_length()
+        low = bits + longest_piece.bit_length()
+        high = low + (n + chunks).bit_length()
+        packed = high + int(left.max(initial=0)).bit_length() <= KEY_BITS
+        place = ((left << high) if packed else 0) | ((np.arange(n) + chunk) << low)
+
+        def edges(begin: np.ndarray, length: int, piece: np.ndarray) -> np.ndarray:
+            return place[begin] | ((longest_piece - length) << bits) | piece
+
         single = np.zeros(n, dtype=bool)
         size = pieces.char_size[raw]
-        starts, sizes, ids = [], [], []
         at = np.flatnonzero(size > 0)
         h = np.zeros(len(at), np.uint64)
         longest = left[at]
+        keys = []
         for length, (known, known_id) in pieces.by_size.items():
             keep = np.flatnonzero(longest >= length)
             if not len(keep):
@@ -242,32 +275,33 @@ class Lattice:
             hit = np.flatnonzero(found >= 0)
             hit = hit[pieces.hash_of[found[hit]] == h[hit]]
             if len(several) and len(known):
-                place = K.lookup(known, h[several])
-                found[several[place >= 0]] = known_id[place[place >= 0]]
-                hit = np.concatenate([hit, several[place >= 0]])
+                entry = K.lookup(known, h[several])
+                found[several[entry >= 0]] = known_id[entry[entry >= 0]]
+                hit = np.concatenate([hit, several[entry >= 0]])
             begin = at[hit]
             if length <= 4:
                 single[begin[size[begin] == length]] = True
-            starts.append(begin)
-            sizes.append(np.full(len(hit), length))
-            ids.append(found[hit])
+            keys.append(edges(begin, length, found[hit]))
         # characters that are no piece: one piece per byte
         at = np.flatnonzero(~single & (size > 0))
         for j in range(4):
             b = at[size[at] > j] + j
-            starts.append(b)
-            sizes.append(np.ones(len(b), np.int64))
-            ids.append(pieces.byte_id[raw[b]])
-        start, length = np.concatenate(starts), np.concatenate(sizes)
-        node = start + chunk[start]
-        # one order serves all: by distance to the chunk's end, then by node, the
-        # longest (mostly the likeliest) piece first
-        away = left[start]
-        shorter = 63 - np.minimum(length, 63)
-        order = np.argsort((away << 34) | (node << 6) | shorter) if n + chunks < 1 << 28 else np.lexsort((shorter, node, away))
-        node, to = node[order], (node + length)[order]
-        piece, away = np.concatenate(ids)[order].astype(np.int32), away[order]
-        del start, length, order
+            keys.append(edges(b, 1, pieces.byte_id[raw[b]]))
+        key = np.concatenate(keys)
+        del keys, place, h, at, longest
+        if packed:
+            key.sort()
+            away = key >> high
+            node = (key >> low) & ((1 << (high - low)) - 1)
+        else:
+            node = key >> low
+            # chunk i begins at node off[i] + i
+            away = left[node - (np.searchsorted(off[:-1] + np.arange(chunks), node, side="right") - 1)]
+            order = np.lexsort((key, away))
+            key, node, away = key[order], node[order], away[order]
+        piece = (key & ((1 << bits) - 1)).astype(np.int32)
+        to = node + pieces.bytes_size[piece]
+        del key
         group = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(away) else np.zeros(0, np.int64)
         size = np.diff(np.append(group, len(away)))
         first, stop = np.zeros(n + chunks, np.int64), np.zeros(n + chunks, np.int64)
@@ -291,7 +325,7 @@ class Lattice:
         total = np.concatenate([[0], np.cumsum(q)])
         reach = total[1:] - np.repeat(total[group], size)
         reach[group + size - 1] = 2.0
-        return {"node": node, "to": to, "piece": piece, "logq": logq, "reach": reach,
+        return {"node": node, "then": np.where(is_end[to], -1, first[to]), "piece": piece, "logq": logq, "reach": reach,
                 "first": first, "stop": stop, "is_end": is_end, "chunk_node": off[:-1] + np.arange(chunks)}
 
     def log_rest(self, edges: np.ndarray) -> np.ndarray:
@@ -304,19 +338,18 @@ class Lattice:
         """Sample each chunk from a node to its end: edges of all walks one
         after the other, and where each walk begins."""
         active = np.flatnonzero(~self.is_end[node])
-        at, counter, seen, count = node[active], counter[active] + step[active] * STEP_C, [], np.zeros(len(node), np.int64)
+        e, counter, seen, count = self.first[node[active]].astype(np.int64), counter[active] + step[active] * STEP_C, [], np.zeros(len(node), np.int64)
         while len(active):
             u = fraction(K.mix(counter))
-            e = self.first[at]
             over = np.flatnonzero(u > self.reach[e])
             while len(over):
                 e[over] += 1
                 over = over[u[over] > self.reach[e[over]]]
             seen.append((active, e))
             count[active] += 1
-            at = self.to[e]
-            go = np.flatnonzero(~self.is_end[at])
-            active, at, counter = active[go], at[go], counter[go] + STEP_C
+            then = self.then[e]
+            go = np.flatnonzero(then >= 0)
+            active, e, counter = active[go], then[go].astype(np.int64), counter[go] + STEP_C
         begin = np.concatenate([[0], np.cumsum(count)])
         flat = np.empty(begin[-1], np.int64)
         for t, (a, e) in enumerate(seen):
@@ -458,7 +491,7 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
             chosen = int(left[min(np.searchsorted(c, u * c[-1], side="right"), len(left) - 1)])
             rest = np.arange(int(path.chunk[at]), sizes[d])
             nodes = lattice.chunk_node[instance[doc[d] + rest]]
-            nodes[0] = lattice.to[chosen]
+            nodes[0] = lattice.ends(chosen)
             heads.append((path, at, out, chosen))
             walks.append((nodes, rest))
         lengths = np.array([len(r) for _, r in walks])
@@ -481,87 +514,123 @@ def sampled(lattice: Lattice, instance: np.ndarray, doc: np.ndarray, seeds: np.n
 
 
 class Slice(NamedTuple):
-    """The chunks of a slice of texts: the known number of each, and where
-    each text's begin."""
+    """The chunks of a slice of texts: the known number of each, its number
+    in the lattice, and where each text's begin."""
 
+    chunk: np.ndarray
     instance: np.ndarray
     doc: np.ndarray
 
 
+def most_seen(seen: np.ndarray, weight: np.ndarray, limit: int) -> np.ndarray:
+    """Marks what most slices held, two at least, up to a weight."""
+    least = 2
+    while weight[seen >= least].sum() > limit:
+        least += 1
+    return seen >= least
+
+
 class Chunks:
     """The distinct space-led chunks that a task has met (each text is led by
     one more space), with their lattices and the model's ids.  Most chunks of
-    a slice are known from earlier ones.  Beyond ``MAX_EDGES`` those that few
-    slices held are forgotten, so the memory held is bounded; results do not
-    depend on what is known."""
+    a slice are known from earlier ones.  Beyond ``MAX_EDGES`` the lattices of
+    those that few slices held are forgotten, beyond ``MAX_IDS`` (ids take far
+    less) their ids too, so the memory held is bounded; results do not depend
+    on what is known."""
 
     def __init__(self, pieces: Inventory, sp=None, lattices: bool = True):
         self.pieces, self.sp = pieces, sp
         self.lattice = Lattice(pieces) if lattices else None
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
         self.seen = Growing(np.int32)  # in how many slices
-        self.ids, self.begin, self.same = Growing(np.int32), Growing(np.int64, [0]), Growing(bool)
+        self.placed = Growing(np.int32)  # number in the lattice, -1 if it has none there
+        self.ids, self.begin, self.same = Growing(np.int32), Growing(np.int32, [0]), Growing(bool)
 
     def forget(self) -> None:
-        """Keep the chunks that most slices held, half of ``MAX_EDGES`` at most."""
-        seen, n_ids = self.seen.values, np.diff(self.begin.values)
-        weight = n_ids if self.lattice is None else self.lattice.edges_of()
-        least = 2
-        while weight[seen >= least].sum() > MAX_EDGES // 2:
-            least += 1
-        keep = seen >= least
-        if self.lattice is not None:
-            self.lattice.keep(keep)
-        new = np.cumsum(keep) - 1
-        mine = keep[self.numbers]
-        self.hashes, self.numbers = self.hashes[mine], new[self.numbers[mine]]
-        self.seen.replace(seen[keep])
-        if self.sp is not None:
-            self.ids.replace(self.ids.values[np.repeat(keep, n_ids)])
-            self.same.replace(self.same.values[keep])
-            self.begin.replace(np.concatenate([[0], np.cumsum(n_ids[keep])]))
+        """Keep the chunks that most slices held, half of the limits at most."""
+        if self.lattice is not None and len(self.lattice.node) > MAX_EDGES:
+            have = np.flatnonzero(self.placed.values >= 0)
+            seen = np.zeros(len(have), np.int32)
+            seen[self.placed.values[have]] = self.seen.values[have]
+            self.keep_lattices(most_seen(seen, self.lattice.edges_of(), MAX_EDGES // 2))
+        if self.ids.size + 6 * len(self.numbers) > MAX_IDS:
+            n_ids = np.diff(self.begin.values) if self.sp is not None else np.zeros(len(self.numbers), np.int32)
+            keep = most_seen(self.seen.values, n_ids + 6, MAX_IDS // 2)
+            if self.lattice is not None:
+                gone = self.placed.values[~keep]
+                lattices = np.ones(len(self.lattice.chunk_node), dtype=bool)
+                lattices[gone[gone >= 0]] = False
+                self.keep_lattices(lattices)
+            mine = keep[self.numbers]
+            self.hashes, self.numbers = self.hashes[mine], (np.cumsum(keep, dtype=np.int32) - 1)[self.numbers[mine]]
+            for part in (self.seen, self.placed):
+                part.replace(part.values[keep])
+            if self.sp is not None:
+                self.ids.replace(self.ids.values[np.repeat(keep, n_ids)])
+                self.same.replace(self.same.values[keep])
+                self.begin.replace(np.concatenate([[0], np.cumsum(n_ids[keep])]))
+
+    def keep_lattices(self, keep: np.ndarray) -> None:
+        """Drop all lattices but the marked ones."""
+        self.lattice.keep(keep)
+        have = np.flatnonzero(self.placed.values >= 0)
+        old = self.placed.values[have]
+        self.placed.values[have] = np.where(keep[old], np.cumsum(keep)[old] - 1, -1)
 
     def slice(self, raw: np.ndarray, off: np.ndarray) -> Slice:
-        if (self.ids.size if self.lattice is None else len(self.lattice.node)) > MAX_EDGES:
-            self.forget()
+        self.forget()
         space = raw == 0x20
         starts = space.copy()
         starts[1:] &= ~space[:-1]
         starts[off[:-1][np.diff(off) > 0]] = True
         first = np.flatnonzero(starts)
         last = np.append(first[1:], len(raw)).astype(np.int64)
-        distinct, example, instance = np.unique(K.word_hashes(raw, first, last), return_index=True, return_inverse=True)
+        hashes = K.word_hashes(raw, first, last)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(order)]
+        distinct, example = hashes[new], order[new]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
         number = np.full(len(distinct), -1)
         if len(self.hashes) and len(distinct):
             found = K.lookup(self.hashes, distinct)
             number[found >= 0] = self.numbers[found[found >= 0]]
+
+        def bytes_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            begin, size = first[example[which]], (last - first)[example[which]]
+            edge = np.concatenate([[0], np.cumsum(size)])
+            return raw[np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])], edge
+
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = len(self.numbers) + np.arange(len(new))
             self.seen.extend(np.zeros(len(new), np.int32))
+            self.placed.extend(np.full(len(new), -1))
             at = np.searchsorted(self.hashes, distinct[new])
             self.hashes, self.numbers = np.insert(self.hashes, at, distinct[new]), np.insert(self.numbers, at, number[new])
-            size = (last - first)[example[new]]
-            edge = np.concatenate([[0], np.cumsum(size)])
-            self.learn(raw[np.repeat(first[example[new]], size) + np.arange(edge[-1]) - np.repeat(edge[:-1], size)], edge)
+            if self.sp is not None:
+                self.learn(*bytes_of(new))
         self.seen.values[number] += 1
-        return Slice(number[instance], np.searchsorted(first, off))
+        if self.lattice is not None:
+            bare = np.flatnonzero(self.placed.values[number] < 0)
+            if len(bare):
+                self.placed.values[number[bare]] = len(self.lattice.chunk_node) + np.arange(len(bare))
+                self.lattice.add(*bytes_of(bare))
+        return Slice(number[of], self.placed.values[number][of], np.searchsorted(first, off))
 
     def learn(self, raw: np.ndarray, off: np.ndarray) -> None:
-        """Lattices and ids of new chunks.  No piece spans two chunks, so chunks
-        are encoded once each; the model adds their first space."""
-        if self.lattice is not None:
-            self.lattice.add(raw, off)
-        if self.sp is not None:
-            data, edge = raw.tobytes(), off.tolist()
-            strings = [data[a + 1 : b] for a, b in zip(edge[:-1], edge[1:])]
-            # a chunk of one space alone would be an empty string to the model
-            ids = [x or [self.pieces.mark] for x in self.sp.encode(strings, num_threads=1)]
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-            self.same.extend(self.spelt_out(flat, size, raw, off))
-            self.begin.extend(self.begin.values[-1] + np.cumsum(size))
-            self.ids.extend(flat)
+        """Ids of new chunks.  No piece spans two chunks, so chunks are encoded
+        once each; the model adds their first space."""
+        data, edge = raw.tobytes(), off.tolist()
+        strings = [data[a + 1 : b] for a, b in zip(edge[:-1], edge[1:])]
+        # a chunk of one space alone would be an empty string to the model
+        ids = [x or [self.pieces.mark] for x in self.sp.encode(strings, num_threads=1)]
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        self.same.extend(self.spelt_out(flat, size, raw, off))
+        self.begin.extend(self.begin.values[-1] + np.cumsum(size))
+        self.ids.extend(flat)
 
     def spelt_out(self, flat: np.ndarray, size: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Whether the pieces of each chunk spell its bytes, which is when the
@@ -577,11 +646,11 @@ class Chunks:
     def encoded(self, of: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a slice's texts one after the other, where each text's
         begin, and whether each decodes to itself."""
-        begin = self.begin.values
-        n = (begin[1:] - begin[:-1])[of.instance]
+        begin = self.begin.values.astype(np.int64)
+        n = (begin[1:] - begin[:-1])[of.chunk]
         place = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begin[of.instance] - place[:-1], n) + np.arange(place[-1])
-        wrong = np.concatenate([[0], np.cumsum(~self.same.values[of.instance])])
+        at = np.repeat(begin[of.chunk] - place[:-1], n) + np.arange(place[-1])
+        wrong = np.concatenate([[0], np.cumsum(~self.same.values[of.chunk])])
         return self.ids.values[at], place[of.doc], wrong[of.doc[1:]] == wrong[of.doc[:-1]]
 
 

@@ -301,6 +301,59 @@ def test_forgetting_chunks_changes_nothing(monkeypatch, texts):
         assert ids == sp.encode(text.replace("▁", " ")) and same == (sp.decode(ids) == text.replace("▁", " "))
 
 
+def test_ids_outlive_lattices_and_are_made_once(monkeypatch, texts):
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    inventory, sp = pieces.Inventory(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    column = pieces.led_by_space(pa.array([t or "" for t in texts] * 4, pa.string()))
+    seeds = kernels.mix(np.arange(len(column)).astype(np.uint64))
+    asked = []
+
+    class Model:
+        def encode(self, strings, **options):
+            asked.extend(strings)
+            return sp.encode(strings, **options)
+
+    def run(max_edges, max_ids=1 << 40):
+        monkeypatch.setattr(pieces, "MAX_EDGES", max_edges)
+        monkeypatch.setattr(pieces, "MAX_IDS", max_ids, raising=False)
+        known, out = pieces.Chunks(inventory, Model()), []
+        asked.clear()
+        for row, end, raw, off in kernels.slices(column, 2000):
+            of = known.slice(raw, off)
+            ids, begin, same = known.encoded(of)
+            for i, own in enumerate(pieces.drawn_samples(known.lattice, of, seeds[row:end], 2)):
+                out.append((ids[begin[i] : begin[i + 1]].tolist(), bool(same[i]), [(x[0].tolist(), x[1:]) for x in own]))
+        return out, len(asked), len(set(asked))
+
+    every, calls, distinct = run(1 << 40)
+    assert calls == distinct
+    assert run(1) == (every, distinct, distinct)  # lattices forgotten, ids not
+    few, calls, _ = run(4000, 2000)
+    assert few == every and calls > distinct
+    assert run(1, 1)[0] == every
+
+
+def test_lattices_do_not_depend_on_blocks_or_on_how_edges_are_ordered(monkeypatch, texts):
+    with open(pieces.MODEL, "rb") as f:
+        inventory = pieces.Inventory(f.read())
+    raw, off = kernels.utf8(pa.array([" " + w for t in texts for w in (t or "").split(" ")] + [" ☃ab\x00", " " * 70 + "x" * 90], pa.large_string()))
+
+    def made(**limits):
+        for name, value in limits.items():
+            monkeypatch.setattr(pieces, name, value)
+        lattice = pieces.Lattice(inventory, raw, off)
+        at = [slice(a, b) for a, b in zip(lattice.chunk_node, [*lattice.chunk_node[1:], len(lattice.first)])]
+        to = lattice.to
+        edges = [(int(lattice.node[e] - s.start), int(to[e] - s.start), int(lattice.piece[e]), float(lattice.logq[e]))
+                 for s in at for n in range(s.start, s.stop) for e in range(lattice.first[n], lattice.stop[n])]
+        follows = all(lattice.is_end[t] if n < 0 else lattice.first[t] == n for t, n in zip(to, lattice.then))
+        return edges, follows
+
+    whole, follows = made(BLOCK_BYTES=1 << 30)
+    assert follows and made(KEY_BITS=0) == (whole, True) and made(BLOCK_BYTES=1) == (whole, True)
+
+
 def test_sampling_looks_at_few_branches_and_misses_none(monkeypatch):
     rng = random.Random(6)
     words = ["water", "international", "of", "ab", "Straße", "x"]
