@@ -5,12 +5,13 @@ document and earlier place) is removed; strings never cross documents.
 
 1. Anchored runs (:mod:`churnlens.llm.repeats`) find the runs whose content
    occurs earlier as a whole, and the *fragments* at the edges of repeats.
-2. Fragments are dealt by anchor.  In a task, all suffixes of at least
-   ``length`` bytes are sorted with a bottom-up mergesort.  Two suffixes are
-   compared through prefix polynomial hashes: a binary search finds their
-   common extension in log2(length) hash comparisons, and the byte after it
-   decides.  Equal strings have the same anchor at the same place, so
-   suffixes are merged within (anchor, place) only.
+2. Fragments are dealt by anchor.  In a task, the suffixes of at least
+   ``length`` bytes are sorted with a bottom-up mergesort; equal strings have
+   the same anchor at the same place, so they are merged within (anchor,
+   place) only, and one whose hash no other there has equals none and is left
+   out.  Two suffixes are compared by their first eight bytes, then through
+   prefix polynomial hashes: a binary search finds their common extension in
+   log2(length) hash comparisons, and the byte after it decides.
 3. Neighbours in sorted order with a common extension of ``length`` are equal
    strings; their bytes are compared too, so a hash collision cannot join
    two different strings.  All but the earliest of a class repeat it.
@@ -66,13 +67,18 @@ class PrefixHashes:
         self.prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(K.BYTE_CODE[raw] * K.powers(K.BASE, len(raw)), out=self.prefix[1:])
         self.back = K.powers(K.BASE_INV, len(raw) + 1)
+        #: Hash of the string of ``length`` bytes at each place.
+        self.whole = (self.prefix[length:] - self.prefix[:-length]) * self.back[: max(0, len(raw) - length + 1)]
+        #: The eight bytes at each place, as a number in the order of the bytes.
+        eight = np.ndarray(len(raw), ">u8", np.append(raw, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+        self.eight = eight.astype(np.uint64) if length >= 8 else None
 
     def equal(self, a: np.ndarray, b: np.ndarray, size) -> np.ndarray:
         return (self.prefix[a + size] - self.prefix[a]) * self.back[a] == (self.prefix[b + size] - self.prefix[b]) * self.back[b]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of each pair, at most ``length``."""
-        low = np.where(self.equal(a, b, self.length), self.length, 0)
+        low = np.where(self.whole[a] == self.whole[b], self.length, 0)
         rest = np.flatnonzero(low == 0)
         if len(rest):
             x, y = a[rest], b[rest]
@@ -85,7 +91,18 @@ class PrefixHashes:
         return low
 
     def less(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a < b, a == b) for strings of ``length`` bytes."""
+        """(a < b, a == b) for strings of ``length`` bytes: by their first
+        eight bytes, and by hashes where these are equal."""
+        if self.eight is None:
+            return self.extended(a, b)
+        x, y = self.eight[a], self.eight[b]
+        less, tie = x < y, np.zeros(len(a), dtype=bool)
+        near = np.flatnonzero(x == y)
+        if len(near):
+            less[near], tie[near] = self.extended(a[near], b[near])
+        return less, tie
+
+    def extended(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.common(a, b)
         tie = size == self.length
         at = np.where(tie, 0, size)
@@ -141,29 +158,50 @@ def merge_sorted(hashes: PrefixHashes, at: np.ndarray, group: np.ndarray) -> np.
     return order
 
 
+def shared(x: np.ndarray) -> np.ndarray:
+    """Indexes of the values that occur more than once."""
+    order = np.argsort(x)
+    same = x[order[1:]] == x[order[:-1]]
+    return np.sort(order[np.append(same, False) | np.append(False, same)]) if len(x) else order
+
+
 def repeated_strings(raw, off, group, shift, n, length):
     """Suffix sort of fragments (in the order of their places): for each
-    string start, whether an equal string stands earlier, and whether it is
-    the first of its class."""
+    string start, whether an equal string stands earlier.  A string whose hash
+    no other string of its anchor and place has is not equal to any of them
+    and need not be sorted."""
     total = int(n.sum())
     frag = np.repeat(np.arange(len(n)), n)
     each = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     at = off[frag] + each
     # equal strings have one anchor at one place
     key = group[frag] * (2 * length) + (shift[frag] - each) + length
-    by = np.argsort(key, kind="stable")
     hashes = PrefixHashes(raw, length)
+    by = shared(K.mix(hashes.whole[at] + K.mix(key.astype(np.uint64))))
+    by = by[np.argsort(key[by], kind="stable")]
     order = merge_sorted(hashes, at[by], key[by])
     sorted_key = key[by]
     near = np.flatnonzero(sorted_key[1:] == sorted_key[:-1])
     a, b = order[near], order[near + 1]
-    same = hashes.equal(a, b, length)
+    same = hashes.whole[a] == hashes.whole[b]
     same[same] = hashes.verified(a[same], b[same])
     later = np.zeros(len(raw) + 1, dtype=bool)
     later[b[same]] = True
     return frag, each, at, later[at], hashes
 
 
+def anchor_places(raw: np.ndarray, first: np.ndarray, anchor: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Where the (leftmost) anchor stands in the string at each of ``first``."""
+    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(K.BYTE_CODE[raw] * K.powers(K.BASE, len(raw)), out=prefix[1:])
+    back, every = K.powers(K.BASE_INV, len(raw) + 1), np.arange(length - k + 1)
+    out = np.empty(len(first), dtype=np.int64)
+    for i in range(0, len(first), 4096):
+        at = first[i : i + 4096, None] + every
+        out[i : i + 4096] = (K.mix((prefix[at + k] - prefix[at]) * back[at]) == anchor[i : i + 4096, None]).argmax(axis=1)
+    return out
+
+
 def fragments(docs_with_edges: DataFrame, length: int, k: int) -> DataFrame:
     """The bytes of the listed runs, and where their anchor stands."""
 
@@ -177,8 +215,7 @@ def fragments(docs_with_edges: DataFrame, length: int, k: int) -> DataFrame:
                     continue
                 doc = np.repeat(np.arange(end - row), np.diff(list_off[row : end + 1]))
                 first = off[doc] + run["start"][which]
-                every = R.anchor_runs(*byte_codes(raw, off), length, k)
-                shift = every["shift"][np.searchsorted(off[every["doc"]] + every["start"], first)]
+                shift = anchor_places(raw, first, run["anchor"][which].view(np.uint64), length, k)
                 n = run["n"][which].astype(np.int64)
                 data = raw.tobytes()
                 at_doc = pa.array(doc + row)
@@ -221,7 +258,7 @@ def sorted_fragments(frags: DataFrame, length: int) -> DataFrame:
         yield rows(batch, frag[b], each[b], s - b + 1, None, None)
         open_ = np.flatnonzero(~later & (col["parts"][frag] > 1))
         if len(open_):
-            win = K.mix((hashes.prefix[at[open_] + length] - hashes.prefix[at[open_]]) * hashes.back[at[open_]])
+            win = K.mix(hashes.whole[at[open_]])
             strings = np.lib.stride_tricks.sliding_window_view(raw, length)
             for i in range(0, len(open_), OPEN_ROWS):
                 some = open_[i : i + OPEN_ROWS]

@@ -143,6 +143,33 @@ def test_suffix_sort_orders_strings():
     assert [bytes(raw[i : i + 10]) for i in order] == sorted(bytes(raw[i : i + 10]) for i in at)
 
 
+def test_suffix_sort_is_of_strings_that_have_a_partner(monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = rng.integers(97, 123, (400, 12)).astype(np.uint8)
+    pieces = [bytes(e[:6]) + b"same" + bytes(e[6:]) for e in edges]
+    pieces += pieces[:20] + [pieces[0]]
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    n, off = np.full(len(pieces), 7), np.arange(len(pieces) + 1) * 16
+    sort, sorted_ = suffix_dedup.merge_sorted, []
+    monkeypatch.setattr(suffix_dedup, "merge_sorted", lambda hashes, at, group: sorted_.append(len(at)) or sort(hashes, at, group))
+    later = suffix_dedup.repeated_strings(raw, off, np.zeros(len(pieces), np.int64), np.full(len(pieces), 6), n, 10)[3]
+    seen, expected = set(), []
+    for p in pieces:
+        for k in range(7):
+            expected.append(p[k : k + 10] in seen)
+            seen.add(p[k : k + 10])
+    assert later.tolist() == expected and sum(expected) == 21 * 7
+    assert sorted_ == [41 * 7]  # of 421 * 7
+
+
+def test_suffix_anchors_are_found_where_runs_have_them():
+    rng = np.random.default_rng(2)
+    raw, off = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 1000, 1090, 5000])
+    runs = suffix_dedup.R.anchor_runs(*suffix_dedup.byte_codes(raw, off), 100, 24)
+    places = suffix_dedup.anchor_places(raw, off[runs["doc"]] + runs["start"], runs["anchor"], 100, 24)
+    assert len(places) and (places == runs["shift"]).all()
+
+
 def shingles(text):
     w = words_of(text)
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
