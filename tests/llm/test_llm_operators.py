@@ -443,6 +443,22 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     assert np.mean([r.predicted == rows[r.doc_id][3] for r in got if r.doc_id >= 5000]) > 0.9
 
 
+def test_toxicity_trains_as_long_on_many_shards_and_on_every_text_of_an_id(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 50, " ".join(rng.choices(["mild", "day", "tree", "sun"], k=30)) + f" t{i}") for i in range(300)]
+    data = spark.createDataFrame(rows + rows[:40], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    packed = []
+    monkeypatch.setattr(toxicity, "train", lambda parts, rounds: packed.append((parts, rounds)) or (toxicity.start().model, None))
+    for size in (1 << 30, 1 << 12):
+        monkeypatch.setattr(toxicity, "SHARD_BYTES", size)
+        assert toxicity.toxicity(data, labels, lang_col=None).count() == 340
+    one, many = ([*toxicity.shards(parts.toArrow().to_batches())] for parts, _ in packed)
+    assert len(one) == 1 and len(many) > 1 and packed[0][1] == packed[1][1]
+    for kept in (one, many):
+        assert sum(len(s.y) for s in kept) == 6 * 40 and sum(int(s.y.sum()) for s in kept) == 6 * 20
+
+
 def test_toxicity_knows_unseen_forms_among_many_words(spark, monkeypatch):
     # 250,000 distinct words, far more than buckets; no toxic form occurs twice
     rng = random.Random(4)
